@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from movewatch.functions.scalar import ratio
-from movewatch.operators.bars import anchors, last_n, with_returns
+from movewatch.operators.bars import DAY_BUCKET, anchors, last_n
+from movewatch.operators.ordered import time_bucket
 from movewatch.schemas import MS_PER_DAY
 
 # --- fixed values: scan defaults --------------------------------------------
@@ -124,14 +125,83 @@ def movement_window(bars: DataFrame, days: int = 30) -> DataFrame:
     )
 
 
-def price_movement(bars: DataFrame, companies: DataFrame, days: int = 30, digits: int = 4) -> DataFrame:
+def _digests(window: DataFrame, bucket_ms: int) -> DataFrame:
+    """One row per company and time bucket: its ends, and the moments of the returns inside.
+
+    The window and the aggregate share the shuffle by (company, bucket), so a company with a
+    large share of the bars is spread over as many tasks as it has buckets.
+    """
+    inside = Window.partitionBy("company_id", "_bucket").orderBy("ts_ms")
+    inner = ratio(F.col("close"), F.col("_lag")) - 1
+    rows = (
+        window.withColumn("_bucket", time_bucket("ts_ms", bucket_ms))
+        .withColumn("_lag", F.lag("close").over(inside))
+        .withColumn("_ret", inner)
+    )
+    bad = F.col("close").isNull() | F.col("volume").isNull() | F.coalesce(F.col("_lag") == 0, F.lit(False))
+    return rows.groupBy("company_id", "_bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by("close", "ts_ms").alias("first_close"),
+        F.max_by("close", "ts_ms").alias("last_close"),
+        F.max("ts_ms").alias("last_ts"),
+        F.max_by("volume", "ts_ms").alias("last_volume"),
+        F.sum("volume").alias("volume"),
+        F.max_by("_ret", "ts_ms").alias("last_inner"),
+        F.count("_ret").alias("k"),
+        F.coalesce(F.avg("_ret"), F.lit(0.0)).alias("m"),
+        F.coalesce(F.var_pop("_ret"), F.lit(0.0)).alias("v"),
+        F.bool_or(bad).alias("bad"),
+    )
+
+
+def _merge_digests(digests: DataFrame) -> DataFrame:
+    """Per-company statistics from its digests, as ``_statistics`` gives them from bars.
+
+    The returns are those inside the buckets plus one from each bucket to the next. Mean and
+    variance are put together from the parts, around the common mean.
+    """
+    company = Window.partitionBy("company_id")
+    in_time = company.orderBy("_bucket")
+    carried = (
+        digests.withColumn("_before", F.lag("last_close").over(in_time))
+        .withColumn("step", ratio(F.col("first_close"), F.col("_before")) - 1)
+        .withColumn("stepped", F.col("step").isNotNull().cast("long"))
+    )
+    total = F.sum(F.col("k") + F.col("stepped")).over(company)
+    summed = F.sum(F.col("k") * F.col("m") + F.coalesce("step", F.lit(0.0))).over(company)
+    centred = carried.withColumn("_total", total).withColumn("_mean", summed / F.nullif("_total", F.lit(0)))
+    square = (
+        F.col("k") * F.col("v")
+        + F.col("k") * F.pow(F.col("m") - F.col("_mean"), 2)
+        + F.coalesce(F.pow(F.col("step") - F.col("_mean"), 2), F.lit(0.0))
+    )
+    zero_before = F.coalesce(F.col("_before") == 0, F.lit(False))
+    newest = F.when(F.col("n") > 1, F.col("last_inner")).otherwise(F.col("step"))
+    n_bars, returns = F.sum("n"), F.max("_total")
+    return centred.groupBy("company_id").agg(
+        n_bars.alias("n_bars"),
+        F.max("last_ts").alias("anchor_ms"),
+        F.max_by("last_close", "last_ts").alias("latest_close"),
+        F.max_by(newest, "last_ts").alias("latest_return"),
+        F.max("_mean").alias("_mean"),
+        F.sqrt(F.sum(square) / F.nullif(returns, F.lit(0))).alias("_std"),
+        F.max_by("last_volume", "last_ts").cast("double").alias("_volume"),
+        (F.sum("volume") / n_bars).alias("_mean_volume"),
+        F.bool_or(F.col("bad") | zero_before).alias("_bad"),
+    )
+
+
+def price_movement(
+    bars: DataFrame, companies: DataFrame, days: int = 30, digits: int = 4, bucket_ms: int = DAY_BUCKET
+) -> DataFrame:
     """Movement over a calendar window ending at the anchor, one row per company.
 
     A company without bars gets NULLs; with one bar only its unrounded close. The
-    matching series is ``series(movement_window(bars, days))``.
+    matching series is ``series(movement_window(bars, days))``. The window may hold any
+    number of bars, so it is digested per day first and the days are put together.
     """
     window = movement_window(bars.select("company_id", "ts_ms", "close", "volume"), days)
-    scored = _score(with_returns(window).groupBy("company_id").agg(*_statistics()))
+    scored = _score(_merge_digests(_digests(window, bucket_ms)))
     many = F.col("n_bars") >= 2
     result = scored.select(
         "company_id",

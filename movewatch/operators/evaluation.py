@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movewatch.functions.scalar import ADVICE_WORDS, has_advice
-from movewatch.operators.findings import trace_rollup, tool_calls
+from movewatch.operators.findings import trace_rollup
 from movewatch.schemas import TOOLS
 
 # --- fixed values -----------------------------------------------------------
@@ -50,7 +50,10 @@ def cited_peers(runs: DataFrame, companies: DataFrame, key: str = "run_id") -> D
     listed = companies.filter(F.col("sector").isNotNull()).select("company_id", "sector", "name")
     names = listed.select("company_id", "sector", F.array_join(words(F.col("name")), " ").alias("phrase"))
     ids = listed.select("company_id", "sector", F.array_join(words(F.col("company_id")), " ").alias("phrase"))
-    lexicon = names.unionByName(ids).filter(F.col("phrase") != "").distinct()
+    # Many companies may share a name: the first and the last id tell whether any is a peer.
+    lexicon = names.unionByName(ids).filter(F.col("phrase") != "").groupBy("sector", "phrase").agg(
+        F.min("company_id").alias("first_id"), F.max("company_id").alias("last_id")
+    )
     longest = lexicon.groupBy("sector").agg(F.max(F.size(F.split("phrase", " "))).alias("longest"))
     entries = (
         runs.select(key, F.col("ticker"), F.explode("evidence").alias("e"))
@@ -61,7 +64,7 @@ def cited_peers(runs: DataFrame, companies: DataFrame, key: str = "run_id") -> D
     said = entries.select(key, "ticker", "sector", F.explode(_phrases(F.col("tokens"), F.col("longest"))).alias("phrase")).distinct()
     return (
         said.join(lexicon, ["sector", "phrase"])
-        .filter(F.col("company_id") != F.col("ticker"))
+        .filter((F.col("first_id") != F.col("ticker")) | (F.col("last_id") != F.col("ticker")))
         .select(key)
         .distinct()
     )
@@ -108,21 +111,13 @@ def grade(
         runs = runs.withColumn("advice", F.lit(None).cast("string"))
     if "cost_usd" not in runs.columns:
         runs = runs.withColumn("cost_usd", F.lit(0.0))
-    chosen = runs.join(scenarios.select("ticker").distinct(), "ticker", "left_semi")
+    # iterations and tool calls are those of the trace
+    chosen = runs.drop("iterations").join(scenarios.select("ticker").distinct(), "ticker", "left_semi")
     rollup = trace_rollup(traces).drop("ticker")
-    priced = (
-        tool_calls(traces)
-        .filter(
-            (F.col("name") == "get_price_movement")
-            & (F.upper(F.coalesce(F.col("args")["ticker"], F.lit(""))) != F.upper("ticker"))
-        )
-        .select("run_id").distinct().withColumn("priced_other", F.lit(True))
-    )
     cited = cited_peers(chosen.filter(F.col("evidence").isNotNull()), companies).withColumn("peer_cited", F.lit(True))
     facts = (
         scenarios.join(chosen, "ticker", "left")
         .join(rollup, "run_id", "left")
-        .join(priced, "run_id", "left")
         .join(cited, "run_id", "left")
         .fillna(False, ["priced_other", "peer_cited"])
         .withColumn("tools", F.coalesce("tools", F.array().cast("array<string>")))

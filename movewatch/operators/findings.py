@@ -224,26 +224,36 @@ def normalize_calls(trace: DataFrame) -> DataFrame:
 
 
 def trace_rollup(trace: DataFrame, catalog: Sequence[str] = TOOLS, max_steps: int = MAX_STEPS) -> DataFrame:
-    """Per run: iterations, number of tool calls, catalogue tools used, unknown calls.
+    """Per run: iterations, number of tool calls, catalogue tools used, unknown calls, and
+    whether another ticker than the run's own was priced.
 
     The calls themselves, in order, are ``tool_calls``; nothing is collected per run.
     """
-    names = F.transform(F.coalesce("tool_calls", F.array().cast(trace.schema["tool_calls"].dataType)), lambda c: c["name"])
+    calls = F.coalesce("tool_calls", F.array().cast(trace.schema["tool_calls"].dataType))
     known = F.array(*[F.lit(t) for t in catalog])
-    flags = [F.bool_or(F.array_contains("_names", t)).alias(f"_t{i}") for i, t in enumerate(catalog)]
+    names = F.transform("_calls", lambda c: c["name"])
+    flags = [F.bool_or(F.array_contains(names, t)).alias(f"_t{i}") for i, t in enumerate(catalog)]
+    other = F.exists(
+        "_calls",
+        lambda c: (c["name"] == "get_price_movement")
+        & (F.upper(F.coalesce(c["args"]["ticker"], F.lit(""))) != F.upper("ticker")),
+    )
     rolled = (
         trace.filter(F.col("step") <= max_steps)
-        .withColumn("_names", names)
+        .select("run_id", "ticker", "step", calls.alias("_calls"))
         .groupBy("run_id", "ticker")
         .agg(
             F.max("step").alias("iterations"),
-            F.sum(F.size("_names")).alias("n_tool_calls"),
-            F.sum(F.size(F.filter("_names", lambda n: ~F.array_contains(known, n)))).alias("n_unknown"),
+            F.sum(F.size("_calls")).alias("n_tool_calls"),
+            F.sum(F.size(F.filter("_calls", lambda c: ~F.array_contains(known, c["name"])))).alias("n_unknown"),
+            F.bool_or(other).alias("priced_other"),
             *flags,
         )
     )
     used = F.array_compact(F.array(*[F.when(F.col(f"_t{i}"), F.lit(t)) for i, t in enumerate(catalog)]))
-    return rolled.select("run_id", "ticker", "iterations", "n_tool_calls", "n_unknown", F.array_sort(used).alias("tools"))
+    return rolled.select(
+        "run_id", "ticker", "iterations", "n_tool_calls", "n_unknown", F.array_sort(used).alias("tools"), "priced_other"
+    )
 
 
 # --- stored findings --------------------------------------------------------

@@ -61,15 +61,15 @@ def lag_by_bucket(
     keys = list(keys)
     bucketed = df.withColumn(_B, bucket)
     inside = Window.partitionBy(*keys, _B).orderBy(order)
-    tails = bucketed.groupBy(*keys, _B).agg(F.max_by(value, order).alias("_tail"))
+    tails = bucketed.groupBy(*keys, _B).agg(F.max_by(value, order).alias("_closing"))
     across = Window.partitionBy(*keys).orderBy(_B)
-    heads = tails.withColumn("_head", F.lag("_tail").over(across)).drop("_tail")
+    heads = tails.withColumn("_carried", F.lag("_closing").over(across)).drop("_closing")
     return (
-        bucketed.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_prev", F.lag(value).over(inside))
+        bucketed.withColumn("_opens", F.row_number().over(inside) == 1)
+        .withColumn("_lagged", F.lag(value).over(inside))
         .join(heads, [*keys, _B], "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_prev")))
-        .drop(_B, "_first", "_prev", "_head")
+        .withColumn(out, F.when(F.col("_opens"), F.col("_carried")).otherwise(F.col("_lagged")))
+        .drop(_B, "_opens", "_lagged", "_carried")
     )
 
 

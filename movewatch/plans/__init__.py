@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from movewatch.plans import market, records, signals  # noqa: F401
+    from movewatch.plans import market, records, signals, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,8 +21,19 @@ WEEK_S = 604_800
 FEED_SIZE = 8  # articles a news or discussion poll returns
 TRACE_STEPS = 12  # steps recorded per run; the loop itself stops at its own budget
 
-# Finding text of a signup event, as SQL both engines read. Inputs: event_id, user_id, k.
-# event_id % 40 picks which rule the text breaks, if any.
+# Columns of the given tables, so that reading them needs no look into a file first.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+# Finding text of a signup event, as SQL both engines read: FINDING_BODY from event_id,
+# user_id and k, then FINDING_TEXT from event_id and body. event_id % 40 picks which rule
+# the text breaks, if any.
 _M = "(event_id % 40)"
 _DRIVER = "CASE k % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'discussion' WHEN 2 THEN 'sector' ELSE 'unexplained' END"
 _CONFIDENCE = "CASE k % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'medium' ELSE 'low' END"
@@ -36,7 +47,7 @@ _EVIDENCE = f"""CASE
   WHEN k % 8 = 7 THEN '[{{"type":"price","ref":"' || {_U} || '","why":"no cause, see ' || {_NAME} || '."}}]'
   WHEN k % 16 = 3 THEN '[{{"type":"news","ref":"Item ' || {_K} || '","why":"stale"}}]'
   ELSE '[]' END"""
-_BODY = f"""'{{' || concat_ws(',',
+FINDING_BODY = f"""'{{' || concat_ws(',',
   CASE {_M} WHEN 1 THEN NULL WHEN 8 THEN '"ticker":7' ELSE '"ticker":"' || {_U} || '"' END,
   CASE {_M} WHEN 2 THEN NULL WHEN 9 THEN '"trigger":[]'
     ELSE '"trigger":{{"z_score":-' || {_K} || '.5,"volume_ratio":3,"direction":"down","latest_return_pct":-4.25}}' END,
@@ -56,14 +67,20 @@ _BODY = f"""'{{' || concat_ws(',',
     WHEN 22 THEN '"advice":"wait"' ELSE '"advice":null' END
 ) || '}}'"""
 FINDING_TEXT = f"""CASE {_M}
-  WHEN 23 THEN substring({_BODY}, 1, 40)
-  WHEN 24 THEN '[' || {_BODY} || ']'
-  WHEN 25 THEN 'Here it is: ' || {_BODY}
-  WHEN 26 THEN '```json' || chr(10) || {_BODY} || chr(10) || '```'
-  WHEN 27 THEN '  ```' || chr(10) || {_BODY} || chr(10) || '```  ' || chr(10)
+  WHEN 23 THEN substring(body, 1, 40)
+  WHEN 24 THEN '[' || body || ']'
+  WHEN 25 THEN 'Here it is: ' || body
+  WHEN 26 THEN '```json' || chr(10) || body || chr(10) || '```'
+  WHEN 27 THEN '  ```' || chr(10) || body || chr(10) || '```  ' || chr(10)
   WHEN 28 THEN ''
   WHEN 29 THEN 'null'
-  ELSE {_BODY} END"""
+  ELSE body END"""
+
+
+def with_finding_text(df: DataFrame, wanted: Column) -> DataFrame:
+    """Adds the finding text of the rows where ``wanted`` holds."""
+    with_body = once(df, body=F.when(wanted, F.expr(FINDING_BODY)))
+    return once(with_body, text=F.when(wanted, F.expr(FINDING_TEXT))).drop("body")
 
 
 class Market:
@@ -74,7 +91,7 @@ class Market:
         self.dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -216,7 +233,7 @@ class Market:
     @cached_property
     def finding_texts(self) -> DataFrame:
         signup = self.events.filter(F.col("event_type") == "signup")
-        return once(signup, text=F.expr(FINDING_TEXT)).select("event_id", "company_id", "ms", "text")
+        return with_finding_text(signup, F.lit(True)).select("event_id", "company_id", "ms", "text")
 
     @cached_property
     def trace(self) -> DataFrame:
@@ -236,7 +253,7 @@ class Market:
         given = F.map_filter(
             F.create_map(F.lit("ticker"), ticker, F.lit("window_days"), days), lambda _, v: v.isNotNull()
         )
-        return once(numbered, text=F.when(end, F.expr(FINDING_TEXT))).select(
+        return with_finding_text(numbered, end).select(
             "run_id", F.col("company_id").alias("ticker"), "step",
             F.when(end, "end").otherwise("tool_use").alias("stop_reason"),
             "text",

@@ -9,20 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movewatch.plans.bindings import AS_OF_MS, FEED_SIZE, FINDING_TEXT, TRACE_STEPS, Market
+from movewatch.plans.bindings import FEED_SIZE, FINDING_BODY, FINDING_TEXT, TRACE_STEPS, Market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function Market -> DataFrame under ``name``. Doubles leave rounded to 6."""
+def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
+    """Register a function Market -> DataFrame under ``name``. Doubles leave rounded to 6.
+
+    ``views`` replaces views of the SQL for this query.
+    """
     def register(build: Callable[[Market], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(build(Market(spark, sf_dir)))
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = with_views(sql, {**VIEWS, **(views or {})})
         return build
     return register
 
@@ -158,7 +161,9 @@ VIEWS: dict[str, str] = {
       LEFT JOIN (SELECT company_id, cast(count_if(causal) AS bigint) AS c FROM news_in GROUP BY 1) n USING (company_id)
       LEFT JOIN (SELECT company_id, cast(count_if(causal) AS bigint) AS c, count_if(recent) AS r FROM posts_in GROUP BY 1) p
         USING (company_id)))""",
-    "finding_text": f"SELECT event_id, company_id, ms, {FINDING_TEXT} AS text FROM ev WHERE event_type = 'signup'",
+    "finding_text": f"""
+  SELECT event_id, company_id, ms, {FINDING_TEXT} AS text
+  FROM (SELECT *, {FINDING_BODY} AS body FROM ev WHERE event_type = 'signup')""",
     "run_event": f"""
   SELECT *, company_id || '-' || week AS run_id, company_id AS ticker FROM (
     SELECT *, row_number() OVER (PARTITION BY company_id, week ORDER BY event_id) AS step FROM ev
@@ -174,7 +179,7 @@ VIEWS: dict[str, str] = {
     "answer": f"""
   SELECT * FROM (SELECT run_id, step, {FINDING_TEXT} AS text,
       row_number() OVER (PARTITION BY run_id ORDER BY step) AS attempt
-    FROM run_event WHERE event_type = 'signup' AND step <= 8) WHERE attempt <= 2""",
+    FROM (SELECT *, {FINDING_BODY} AS body FROM run_event WHERE event_type = 'signup' AND step <= 8)) WHERE attempt <= 2""",
     "checked_text": "SELECT * FROM finding_text",
     "checked_answer": "SELECT * FROM answer",
     "resolved": """
@@ -254,12 +259,12 @@ for _name, _source in (("checked_text", "finding_text"), ("checked_answer", "ans
       ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS t FROM {_source}))"""
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, views: dict[str, str]) -> str:
     """The SQL with the views it needs, and what they need, in front of it."""
     needed: list[str] = []
 
     def need(text: str) -> None:
-        for view, body in VIEWS.items():
+        for view, body in views.items():
             if view not in needed and re.search(rf"\b(FROM|JOIN)\s+{view}\b", text):
                 need(body)
                 needed.append(view)
@@ -267,7 +272,7 @@ def with_views(sql: str) -> str:
     need(sql)
     if not needed:
         return sql.strip()
-    return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in needed) + "\n" + sql.strip()
+    return "WITH " + ",\n".join(f"{v} AS ({views[v]})" for v in needed) + "\n" + sql.strip()
 
 
 def score_sql(bar: str, **params) -> str:

@@ -207,7 +207,9 @@ def finding_rows(m: Market) -> DataFrame:
 
 
 @query("ag11_trace_rollup", """
-SELECT run_id, ticker, cast(iterations AS int) AS iterations, n_tool_calls, n_unknown, coalesce(array_to_string(tools, '|'), '') AS tools FROM rollup""")
+SELECT run_id, ticker, cast(iterations AS int) AS iterations, n_tool_calls, n_unknown, coalesce(array_to_string(tools, '|'), '') AS tools,
+  EXISTS (SELECT 1 FROM call c WHERE c.run_id = rollup.run_id AND c.name = 'get_price_movement' AND coalesce(c.arg_ticker, '') <> c.ticker) AS priced_other
+FROM rollup""")
 def trace_rollup(m: Market) -> DataFrame:
     return findings.trace_rollup(m.trace).withColumn("tools", F.array_join("tools", "|"))
 

@@ -60,6 +60,12 @@ FINDING = _struct(
     ("evidence", EVIDENCE, False), ("confidence", _S, False),
     ("needs_human_review", _B, False), ("iterations", _L, False), ("cost_usd", _D, False),
 )
+# A finding as stored: nested fields as JSON text, the boolean as 0/1.
+STORED_FINDING = _struct(
+    ("id", _S), ("company_id", _S), ("created_at", _L), ("primary_driver", _S), ("hypothesis", _S),
+    ("confidence", _S), ("needs_human_review", _I), ("iterations", _L), ("cost_usd", _D),
+    ("trigger_json", _S), ("evidence_json", _S),
+)
 USAGE = _struct(
     ("call_ts", T.TimestampType()), ("input_tokens", _L), ("output_tokens", _L), ("cost_usd", _D),
 )

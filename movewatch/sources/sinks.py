@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from movewatch.functions.scalar import encode_finding
+from movewatch import schemas
+from movewatch.functions.scalar import decode_finding, encode_finding
 from movewatch.operators.ordered import top_n
 
 BAR_KEYS = ("company_id", "ts_ms")
@@ -55,13 +57,19 @@ def replace_scope(new: DataFrame, existing: DataFrame, scope: DataFrame, col: st
     return existing.join(scope.select(col).distinct(), col, "left_anti").unionByName(new)
 
 
-def finding_rows(findings: DataFrame, created_at: int, iterations: Column | None = None, cost_usd: Column | None = None) -> DataFrame:
+def finding_rows(
+    findings: DataFrame,
+    created_at: int | Column,
+    iterations: Column | None = None,
+    cost_usd: Column | None = None,
+) -> DataFrame:
     """Validated findings as stored rows.
 
     The id has the form of a UUID but comes from (company, creation time, hypothesis), so a
-    task that is run again writes the same id.
+    task or batch that is run again writes the same id.
     """
-    stamped = findings.withColumn("created_at", F.lit(created_at).cast("long"))
+    created = F.lit(created_at) if isinstance(created_at, int) else created_at
+    stamped = findings.withColumn("created_at", created.cast("long"))
     h = F.md5(F.concat_ws("|", "company_id", F.col("created_at").cast("string"), "hypothesis"))
     parts = [F.substring(h, start, length) for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return stamped.select(
@@ -79,7 +87,54 @@ def finding_rows(findings: DataFrame, created_at: int, iterations: Column | None
     )
 
 
+# --- tables on disk ---------------------------------------------------------
+
+_TIME = {"bar": "ts_ms", "news": "published_at", "discussion": "published_at", "finding": "created_at"}
+_STORED = {
+    "bar": schemas.BAR,
+    "news": schemas.NEWS,
+    "discussion": schemas.DISCUSSION,
+    "finding": schemas.STORED_FINDING,
+}
+_KEYS = {"bar": BAR_KEYS, "news": ITEM_KEYS, "discussion": ITEM_KEYS, "finding": ITEM_KEYS}
+
+
+def _with_day(df: DataFrame, kind: str) -> DataFrame:
+    return df.withColumn("day", F.to_date(F.timestamp_millis(_TIME[kind])))
+
+
+def open_table(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """A stored table, one folder per day; made empty when it is not there yet."""
+    schema = T.StructType([*_STORED[kind].fields, T.StructField("day", T.DateType())])
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("day").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def stored_columns(kind: str) -> list[str]:
+    return _STORED[kind].names
+
+
+def append_table(new: DataFrame, kind: str, path: str, order: Sequence[Column]) -> None:
+    """Insert-or-ignore into a stored table; columns the table does not have only order.
+
+    A bar's key fixes its day, so only the folders of the days in ``new`` are read back; the
+    list of days is short by nature. Ids of other tables may come back with another date,
+    so their id column is read in full.
+    """
+    stored = open_table(new.sparkSession, kind, path)
+    placed = _with_day(new, kind)
+    if kind == "bar":
+        days = [r["day"] for r in placed.select("day").distinct().collect()]
+        stored = stored.filter(F.col("day").isin(days)) if days else stored.limit(0)
+    fresh = append_new(placed, stored, _KEYS[kind], order, REQUIRED.get(kind, ()))
+    fresh.select(*stored_columns(kind), "day").write.mode("append").partitionBy("day").parquet(path)
+
+
 def write_findings(rows: DataFrame, path: str) -> None:
-    """Append stored rows as JSON text columns, one folder per creation day."""
-    day = F.to_date(F.timestamp_millis("created_at"))
-    encode_finding(rows).withColumn("created_day", day).write.mode("append").partitionBy("created_day").parquet(path)
+    """Store finding rows with trigger and evidence as JSON text, ignoring ids already there."""
+    append_table(encode_finding(rows), "finding", path, [F.asc("company_id")])
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Stored findings with their nested fields again."""
+    return decode_finding(open_table(spark, "finding", path)).drop("day")
