@@ -99,7 +99,7 @@ def pct_label(c: Column | str) -> Column:
     """'+1.25%' / '-0.40%'; zero counts as positive."""
     c = _col(c)
     sign = F.when(c >= 0, F.lit("+")).otherwise(F.lit(""))
-    return F.when(c.isNotNull(), F.concat(sign, F.format_string("%.2f%%", c)))
+    return F.concat(sign, _fixed(c, "%.2f%%"))
 
 
 def price_label(c: Column | str) -> Column:
@@ -107,17 +107,21 @@ def price_label(c: Column | str) -> Column:
     return F.format_number(_col(c), 2)
 
 
+def _fixed(c: Column, pattern: str) -> Column:
+    """printf text of a number; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.format_string(pattern, c))
+
+
 def trigger_labels(df: DataFrame, col: str = "trigger") -> DataFrame:
     """Display texts of a trigger: signed z, volume multiple, arrow and absolute return."""
     t = F.col(col)
-    z, ret = t["z_score"], t["latest_return_pct"]
+    z = t["z_score"]
+    plus = F.when(z > 0, F.lit("z +")).otherwise(F.lit("z "))
+    arrow = F.when(t["direction"] == "up", F.lit("▲ ")).otherwise(F.lit("▼ "))
     return df.withColumns({
-        "z_label": F.concat(F.when(z > 0, F.lit("z +")).otherwise(F.lit("z ")), F.format_string("%.2f", z)),
-        "volume_label": F.concat(F.lit("vol ×"), F.format_string("%.1f", t["volume_ratio"])),
-        "return_label": F.concat(
-            F.when(t["direction"] == "up", F.lit("▲ ")).otherwise(F.lit("▼ ")),
-            F.format_string("%.2f%%", F.abs(ret)),
-        ),
+        "z_label": F.concat(plus, _fixed(z, "%.2f")),
+        "volume_label": F.concat(F.lit("vol ×"), _fixed(t["volume_ratio"], "%.1f")),
+        "return_label": F.concat(arrow, _fixed(F.abs(t["latest_return_pct"]), "%.2f%%")),
     })
 
 

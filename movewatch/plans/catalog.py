@@ -47,23 +47,26 @@ _FENCE = r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$"
 def _score(bar: str, n: int = 30, least: int = 30, z: float = 2.0, vol: float = 2.5) -> str:
     """Score query over a bar view."""
     return f"""
-  SELECT company_id, n_bars, anchor_ms, latest_close, latest_return,
-    coalesce((latest_return - m) / nullif(sd, 0), 0) AS z_score,
-    coalesce(v / nullif(mv, 0), 0) AS volume_ratio,
-    CASE WHEN latest_return > 0 THEN 'up' ELSE 'down' END AS direction,
-    'ok' AS status,
-    abs(coalesce((latest_return - m) / nullif(sd, 0), 0)) >= {z}
-      OR coalesce(v / nullif(mv, 0), 0) >= {vol} AS flagged
+  SELECT company_id, n_bars, anchor_ms, latest_close, latest_return, z_score, volume_ratio,
+    CASE WHEN NOT bad THEN CASE WHEN latest_return > 0 THEN 'up' ELSE 'down' END END AS direction,
+    CASE WHEN bad THEN 'bad_data' ELSE 'ok' END AS status,
+    coalesce(abs(z_score) >= {z} OR volume_ratio >= {vol}, false) AS flagged
   FROM (
-    SELECT company_id, count(*) AS n_bars, max(ts_ms) AS anchor_ms, arg_max(close, ts_ms) AS latest_close,
-      arg_max(ret, ts_ms) AS latest_return, avg(ret) AS m, stddev_pop(ret) AS sd,
-      arg_max(volume, ts_ms) AS v, avg(volume) AS mv
+    SELECT company_id, n_bars, anchor_ms, latest_close, bad,
+      CASE WHEN NOT bad THEN r END AS latest_return,
+      CASE WHEN NOT bad THEN coalesce((r - m) / nullif(sd, 0), 0) END AS z_score,
+      CASE WHEN NOT bad THEN coalesce(v / nullif(mv, 0), 0) END AS volume_ratio
     FROM (
-      SELECT *, close / nullif(lag(close) OVER (PARTITION BY company_id ORDER BY ts_ms), 0) - 1 AS ret
-      FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY ts_ms DESC) AS rn FROM {bar})
-      WHERE rn <= {n}
-    ) GROUP BY company_id
-  ) WHERE n_bars >= {least}"""
+      SELECT company_id, count(*) AS n_bars, max(ts_ms) AS anchor_ms, arg_max(close, ts_ms) AS latest_close,
+        arg_max(ret, ts_ms) AS r, avg(ret) AS m, stddev_pop(ret) AS sd, arg_max(volume, ts_ms) AS v, avg(volume) AS mv,
+        bool_or(close IS NULL OR volume IS NULL OR coalesce(prev = 0, false)) AS bad
+      FROM (
+        SELECT *, close / nullif(prev, 0) - 1 AS ret FROM (
+          SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY ts_ms) AS prev FROM (
+            SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY ts_ms DESC) AS rn FROM {bar})
+          WHERE rn <= {n}))
+      GROUP BY company_id)
+    WHERE n_bars >= {least})"""
 
 
 def _field_checks() -> str:
@@ -158,8 +161,8 @@ VIEWS: dict[str, str] = {
         CASE WHEN m.sector IS NULL THEN 0
           ELSE count(*) OVER (PARTITION BY m.sector, m.direction, m.day) - 1 END AS peers_alike
       FROM moves m
-      LEFT JOIN (SELECT company_id, cast(count_if(causal) AS bigint) AS c FROM news_in GROUP BY 1) n USING (company_id)
-      LEFT JOIN (SELECT company_id, cast(count_if(causal) AS bigint) AS c, count_if(recent) AS r FROM posts_in GROUP BY 1) p
+      LEFT JOIN (SELECT company_id, count(*) FILTER (causal) AS c FROM news_in GROUP BY 1) n USING (company_id)
+      LEFT JOIN (SELECT company_id, count(*) FILTER (causal) AS c, count(*) FILTER (recent) AS r FROM posts_in GROUP BY 1) p
         USING (company_id)))""",
     "finding_text": f"""
   SELECT event_id, company_id, ms, {FINDING_TEXT} AS text
@@ -183,8 +186,8 @@ VIEWS: dict[str, str] = {
     "checked_text": "SELECT * FROM finding_text",
     "checked_answer": "SELECT * FROM answer",
     "resolved": """
-  SELECT run_id, CASE WHEN count_if(reason IS NULL) > 0 THEN 'accepted' WHEN count(*) >= 2 THEN 'failed' ELSE 'open' END AS outcome,
-    CASE WHEN count_if(reason IS NULL) = 0 THEN arg_max(reason, attempt) END AS reason,
+  SELECT run_id, CASE WHEN count(*) FILTER (reason IS NULL) > 0 THEN 'accepted' WHEN count(*) >= 2 THEN 'failed' ELSE 'open' END AS outcome,
+    CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN arg_max(reason, attempt) END AS reason,
     coalesce(min(step) FILTER (reason IS NULL), max(step)) AS decided_step,
     arg_min(j, attempt) FILTER (reason IS NULL) AS j
   FROM checked_answer GROUP BY run_id""",
@@ -206,7 +209,7 @@ VIEWS: dict[str, str] = {
   SELECT company_id AS ticker, CASE cast(company_id AS bigint) % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'sector' ELSE 'unexplained' END AS expected_driver
   FROM company""",
     "rollup": """
-  SELECT run_id, ticker, max(step) AS iterations, count(name) AS n_tool_calls, cast(count_if(name = 'get_weather') AS bigint) AS n_unknown,
+  SELECT run_id, ticker, max(step) AS iterations, count(name) AS n_tool_calls, count(*) FILTER (name = 'get_weather') AS n_unknown,
     list_sort(list_distinct(list(name) FILTER (name <> 'get_weather'))) AS tools
   FROM (SELECT e.run_id, e.ticker, e.step, c.name FROM run_event e LEFT JOIN call c USING (run_id, step) WHERE e.step <= 8)
   GROUP BY ALL""",

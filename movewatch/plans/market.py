@@ -57,18 +57,20 @@ def score_ticks(m: Market) -> DataFrame:
 @query("an2_price_movement", """
 SELECT c.company_id, coalesce(n_bars, 0) AS n_bars,
   round(CASE WHEN n_bars >= 2 THEN round(latest_close, 4) ELSE latest_close END, 6) AS latest_close,
-  round(CASE WHEN n_bars >= 2 THEN ret * 100 END, 4) AS latest_return_pct,
-  round(CASE WHEN n_bars >= 2 THEN coalesce((ret - mu) / nullif(sd, 0), 0) END, 4) AS z_score,
-  round(CASE WHEN n_bars >= 2 THEN coalesce(v / nullif(mv, 0), 0) END, 4) AS volume_ratio,
-  CASE WHEN n_bars >= 2 THEN CASE WHEN ret > 0 THEN 'up' ELSE 'down' END END AS direction
+  round(CASE WHEN scored THEN ret * 100 END, 4) AS latest_return_pct,
+  round(CASE WHEN scored THEN coalesce((ret - mu) / nullif(sd, 0), 0) END, 4) AS z_score,
+  round(CASE WHEN scored THEN coalesce(v / nullif(mv, 0), 0) END, 4) AS volume_ratio,
+  CASE WHEN scored THEN CASE WHEN ret > 0 THEN 'up' ELSE 'down' END END AS direction
 FROM company c LEFT JOIN (
   SELECT company_id, count(*) AS n_bars, arg_max(close, ts_ms) AS latest_close, arg_max(r, ts_ms) AS ret,
-    avg(r) AS mu, stddev_pop(r) AS sd, arg_max(volume, ts_ms) AS v, avg(volume) AS mv
-  FROM (SELECT b.*, close / nullif(lag(close) OVER (PARTITION BY b.company_id ORDER BY ts_ms), 0) - 1 AS r
-    FROM bar b JOIN anchor a USING (company_id) WHERE ts_ms >= anchor_ms - 10 * 86400000)
+    avg(r) AS mu, stddev_pop(r) AS sd, arg_max(volume, ts_ms) AS v, avg(volume) AS mv,
+    count(*) >= 2 AND NOT bool_or(coalesce(prev = 0, false)) AS scored
+  FROM (SELECT *, close / nullif(prev, 0) - 1 AS r FROM (
+    SELECT b.*, lag(close) OVER (PARTITION BY b.company_id ORDER BY ts_ms) AS prev
+    FROM bar b JOIN anchor a USING (company_id) WHERE ts_ms >= anchor_ms - 2592000000))
   GROUP BY company_id) s USING (company_id)""")
 def price_movement(m: Market) -> DataFrame:
-    return anomaly.price_movement(m.bars, m.companies, days=10)
+    return anomaly.price_movement(m.bars, m.companies)
 
 
 @query("an3_compute_trigger", f"SELECT {_TRIGGER_COLUMNS} FROM ({score_sql('bar', least=2)})")
@@ -77,7 +79,7 @@ def compute_trigger(m: Market) -> DataFrame:
 
 
 @query("an4_all_fired", """
-SELECT count(*) AS scored, cast(count_if(flagged) AS bigint) AS fired, coalesce(bool_and(flagged), false) AS all_fired FROM score""")
+SELECT count(*) AS scored, count(*) FILTER (flagged) AS fired, coalesce(bool_and(flagged), false) AS all_fired FROM score""")
 def all_fired(m: Market) -> DataFrame:
     return anomaly.assert_all_flagged(anomaly.score_watchlist(m.bars))
 

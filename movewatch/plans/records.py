@@ -178,9 +178,9 @@ def finding_view(m: Market) -> DataFrame:
 
 @query("rm2_driver_history", """
 SELECT cast(date_trunc('week', make_timestamp(created_at * 1000)) AS date)::varchar AS week, count(*) AS n,
-  cast(count_if(primary_driver = 'news') AS bigint) AS n_news, cast(count_if(primary_driver = 'discussion') AS bigint) AS n_discussion,
-  cast(count_if(primary_driver = 'sector') AS bigint) AS n_sector, cast(count_if(primary_driver = 'unexplained') AS bigint) AS n_unexplained,
-  cast(count_if(confidence = 'high') AS bigint) AS n_high, cast(count_if(confidence = 'medium') AS bigint) AS n_medium, cast(count_if(confidence = 'low') AS bigint) AS n_low
+  count(*) FILTER (primary_driver = 'news') AS n_news, count(*) FILTER (primary_driver = 'discussion') AS n_discussion,
+  count(*) FILTER (primary_driver = 'sector') AS n_sector, count(*) FILTER (primary_driver = 'unexplained') AS n_unexplained,
+  count(*) FILTER (confidence = 'high') AS n_high, count(*) FILTER (confidence = 'medium') AS n_medium, count(*) FILTER (confidence = 'low') AS n_low
 FROM finding GROUP BY 1""")
 def driver_history(m: Market) -> DataFrame:
     history = findings.driver_history(m.findings, "week")
@@ -265,7 +265,7 @@ def result_table(m: Market) -> DataFrame:
 
 
 @query("ag10_eval_summary", f"""
-SELECT cast(count_if({_ALL}) AS bigint) AS passed, count(*) AS total, round(sum(cost_usd), 6) AS total_cost, bool_and({_ALL}) AS all_pass FROM graded""")
+SELECT count(*) FILTER ({_ALL}) AS passed, count(*) AS total, round(sum(cost_usd), 6) AS total_cost, bool_and({_ALL}) AS all_pass FROM graded""")
 def eval_summary(m: Market) -> DataFrame:
     return evaluation.eval_summary(_evaluate(m)[1])
 

@@ -48,15 +48,14 @@ class NewestBarsScan(StatefulProcessor):
         self.bars = handle.getValueState("bars", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f[["ts_ms", "close", "volume"]] for f in rows]
-        if self.bars.exists():
-            ts, close, volume = self.bars.get()
-            # stored bars first: a copy of a stored time stamp is ignored
-            frames.insert(0, pd.DataFrame({"ts_ms": ts, "close": close, "volume": volume}))
-        merged = pd.concat(frames).drop_duplicates("ts_ms").sort_values("ts_ms").tail(self.n)
-        close = [None if pd.isna(c) else float(c) for c in merged["close"]]
-        volume = [None if pd.isna(v) else int(v) for v in merged["volume"]]
-        ts = [int(t) for t in merged["ts_ms"]]
+        stored = self.bars.get()
+        # stored bars come first: a copy of a stored time stamp is ignored
+        seen = {t: (c, v) for t, c, v in zip(*stored)} if stored else {}
+        for frame in rows:
+            for t, c, v in zip(frame["ts_ms"].tolist(), frame["close"].tolist(), frame["volume"].tolist()):
+                seen.setdefault(int(t), (None if pd.isna(c) else float(c), None if pd.isna(v) else int(v)))
+        ts = sorted(seen)[-self.n:]
+        close, volume = [seen[t][0] for t in ts], [seen[t][1] for t in ts]
         self.bars.update((ts, close, volume))
         if len(ts) >= self.min_bars:
             yield pd.DataFrame([score_row(key[0], ts, close, volume, self.z, self.vol)])
