@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from movewatch.functions.scalar import ratio
 from movewatch.operators.bars import DAY_BUCKET, anchors, last_n
+from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import time_bucket
 from movewatch.schemas import MS_PER_DAY
 
@@ -71,7 +72,7 @@ def score_watchlist(
     reuses its partitioning.
     """
     if watchlist is not None:
-        bars = bars.join(watchlist.select("company_id"), "company_id", "left_semi")
+        bars = lookup(bars, watchlist.select("company_id"), ["company_id"], "ts_ms", "left_semi")
     newest_first = Window.partitionBy("company_id").orderBy(F.desc("ts_ms"))
     window = (
         last_n(bars.select("company_id", "ts_ms", "close", "volume"), n)
@@ -119,7 +120,7 @@ def assert_all_flagged(scores: DataFrame) -> DataFrame:
 def movement_window(bars: DataFrame, days: int = 30) -> DataFrame:
     """Bars of the last ``days`` calendar days before each company's anchor, start included."""
     return (
-        bars.join(anchors(bars), "company_id")
+        lookup(bars, anchors(bars), ["company_id"], "ts_ms")
         .filter(F.col("ts_ms") >= F.col("anchor_ms") - F.lit(days * MS_PER_DAY))
         .drop("anchor_ms")
     )

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from movewatch.functions.scalar import ms_to_ts
 from movewatch.operators.anomaly import with_trigger
+from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import top_n
 from movewatch.schemas import EVIDENCE, MS_PER_DAY
 
@@ -60,9 +61,9 @@ def _in_window(items: DataFrame, moves: DataFrame, text: str) -> DataFrame:
     """Items of flagged companies up to the end of the session, marked causal or not."""
     baseline = F.col("anchor_ms") - F.lit(MS_PER_DAY) * F.col("_days")
     spans = moves.select("company_id", "anchor_ms", "window_from", "window_to", "_days")
+    wanted = items.select("company_id", "id", "published_at", F.col(text).alias("text"))
     return (
-        items.select("company_id", "id", "source", "published_at", F.col(text).alias("text"))
-        .join(spans, "company_id")
+        lookup(wanted, spans, ["company_id"], "id")
         .filter(F.col("published_at") < F.col("window_to"))
         .filter(F.col("published_at") >= F.least(baseline, F.col("window_from")))
         .withColumn("causal", F.col("published_at") >= F.col("window_from"))
@@ -120,13 +121,14 @@ def attribute(
         F.sort_array(F.collect_list(F.struct("rank", F.col("company_id").alias("ref"), "name"))).alias("leaders")
     )
 
-    joined = (
+    counted = (
         moves.join(_counts(news_in, "news"), "company_id", "left")
         .join(_counts(posts_in, "posts"), "company_id", "left")
         .join(_newest(news_in, p.max_evidence, "news_refs"), "company_id", "left")
         .join(_newest(posts_in, p.max_evidence, "post_refs"), "company_id", "left")
-        .join(movers.join(leaders, group), group, "left")
-        .fillna(0, ["news_causal", "posts_causal", "posts_recent", "peers_alike"])
+    )
+    joined = lookup(counted, movers.join(leaders, group), group, "company_id", "left").fillna(
+        0, ["news_causal", "posts_causal", "posts_recent", "peers_alike"]
     )
     crowd = (F.col("posts_causal") >= 1) & (
         F.col("posts_causal") / F.lit(2.0)

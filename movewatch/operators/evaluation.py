@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from movewatch.functions.scalar import ADVICE_WORDS, has_advice
 from movewatch.operators.findings import trace_rollup
+from movewatch.operators.joins import lookup
 from movewatch.schemas import TOOLS
 
 # --- fixed values -----------------------------------------------------------
@@ -55,15 +56,14 @@ def cited_peers(runs: DataFrame, companies: DataFrame, key: str = "run_id") -> D
         F.min("company_id").alias("first_id"), F.max("company_id").alias("last_id")
     )
     longest = lexicon.groupBy("sector").agg(F.max(F.size(F.split("phrase", " "))).alias("longest"))
-    entries = (
-        runs.select(key, F.col("ticker"), F.explode("evidence").alias("e"))
-        .select(key, "ticker", words(F.concat_ws(" ", "e.type", "e.ref", "e.why")).alias("tokens"))
-        .join(listed.select(F.col("company_id").alias("ticker"), "sector"), "ticker")
-        .join(longest, "sector")
+    cited = runs.select(key, "ticker", F.explode("evidence").alias("e")).select(
+        key, "ticker", words(F.concat_ws(" ", "e.type", "e.ref", "e.why")).alias("tokens")
     )
+    sectors = listed.select(F.col("company_id").alias("ticker"), "sector")
+    entries = lookup(lookup(cited, sectors, ["ticker"], key), longest, ["sector"], key)
     said = entries.select(key, "ticker", "sector", F.explode(_phrases(F.col("tokens"), F.col("longest"))).alias("phrase")).distinct()
     return (
-        said.join(lexicon, ["sector", "phrase"])
+        lookup(said, lexicon, ["sector", "phrase"], key)
         .filter((F.col("first_id") != F.col("ticker")) | (F.col("last_id") != F.col("ticker")))
         .select(key)
         .distinct()
@@ -112,11 +112,12 @@ def grade(
     if "cost_usd" not in runs.columns:
         runs = runs.withColumn("cost_usd", F.lit(0.0))
     # iterations and tool calls are those of the trace
-    chosen = runs.drop("iterations").join(scenarios.select("ticker").distinct(), "ticker", "left_semi")
+    chosen = lookup(runs.drop("iterations"), scenarios, ["ticker"], "run_id")
+    idle = scenarios.join(runs.select("ticker"), "ticker", "left_anti")
     rollup = trace_rollup(traces).drop("ticker")
     cited = cited_peers(chosen.filter(F.col("evidence").isNotNull()), companies).withColumn("peer_cited", F.lit(True))
     facts = (
-        scenarios.join(chosen, "ticker", "left")
+        chosen.unionByName(idle, allowMissingColumns=True)
         .join(rollup, "run_id", "left")
         .join(cited, "run_id", "left")
         .fillna(False, ["priced_other", "peer_cited"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from movewatch.operators.joins import lookup
 from movewatch.operators.retrieval import latest_signals, ordered_peers
 
 STAGGER_S = 0.05
@@ -44,7 +45,8 @@ def graph_nodes(
     counts = signals.groupBy("parent_id").agg(
         F.count_if(F.col("node_type") == "news").alias("n_news"), F.count(F.lit(1)).alias("n_signals")
     )
-    placed = signals.unionByName(peer_nodes).join(counts, "parent_id", "left").fillna(0, ["n_news", "n_signals"])
+    children = signals.unionByName(peer_nodes)
+    placed = lookup(children, counts, ["parent_id"], "node_id", "left").fillna(0, ["n_news", "n_signals"])
     offset = (
         F.when(F.col("node_type") == "discussion", F.col("n_news"))
         .when(F.col("node_type") == "relatedCompany", F.col("n_signals"))

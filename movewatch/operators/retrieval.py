@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from movewatch.functions.scalar import blank_nulls, ms_to_s
+from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import positions, top_n
 from movewatch.schemas import MS_PER_DAY
 
@@ -30,12 +31,13 @@ def peer_groups(companies: DataFrame, null_safe: bool = False) -> DataFrame:
     other members of its sector. A company without sector has no peers, or, with
     ``null_safe``, those that have none either.
     """
-    counts = companies.groupBy("sector").agg((F.count(F.lit(1)) - 1).alias("_n"))
-    joined = companies.alias("c").join(
-        counts.alias("g"), F.col("c.sector").eqNullSafe(F.col("g.sector")), "left"
-    )
-    n = F.col("_n") if null_safe else F.when(F.col("c.sector").isNotNull(), F.col("_n")).otherwise(0)
-    return joined.select("c.company_id", "c.name", "c.sector", n.alias("n_peers"))
+    # A missing sector gets a key of its own, as NULL does not join.
+    key = F.concat(F.col("sector").isNull().cast("string"), F.coalesce("sector", F.lit("")))
+    keyed = companies.withColumn("_key", key)
+    counts = keyed.groupBy("_key").agg((F.count(F.lit(1)) - 1).alias("_n"))
+    joined = lookup(keyed, counts, ["_key"], "company_id")
+    n = F.col("_n") if null_safe else F.when(F.col("sector").isNotNull(), F.col("_n")).otherwise(0)
+    return joined.select("company_id", "name", "sector", n.alias("n_peers"))
 
 
 def peers(companies: DataFrame, requested: DataFrame, null_safe: bool = False) -> DataFrame:
@@ -81,7 +83,8 @@ def unified_signals(news: DataFrame, discussion: DataFrame) -> DataFrame:
 
 def _since_anchor(items: DataFrame, anchor: DataFrame, days: int) -> DataFrame:
     start = F.col("anchor_ms") - F.lit(days * MS_PER_DAY)
-    return items.join(anchor.select("company_id", "anchor_ms"), "company_id").filter(F.col("published_at") >= start)
+    found = lookup(items, anchor.select("company_id", "anchor_ms"), ["company_id"], "id")
+    return found.filter(F.col("published_at") >= start)
 
 
 def news_window(news: DataFrame, anchor: DataFrame, days: int = 7) -> DataFrame:
@@ -125,7 +128,7 @@ def event_markers(news: DataFrame, discussion: DataFrame, bounds: DataFrame) ->
         return df.select("company_id", "id", "published_at", F.lit(kind).alias("type"), F.lit(rank).alias("type_rank"))
     both = shape(news, "news", 0).unionByName(shape(discussion, "discussion", 1))
     return (
-        both.join(bounds, "company_id")
+        lookup(both, bounds, ["company_id"], "id")
         .filter(F.col("published_at").between(F.col("from_ms"), F.col("to_ms")))
         .select("company_id", ms_to_s("published_at").alias("time"), F.col("id").alias("signal_id"), "type", "type_rank")
     )
@@ -138,9 +141,9 @@ def nearest_signal(points: DataFrame, markers: DataFrame, tol_s: int = MARKER_TO
 
     Time is cut into buckets as wide as the tolerance. A point's match is then in its own
     bucket, or is the last marker of the bucket before or the first of the one after; so
-    each bucket gets those two along with its own rows, and two running windows find the
-    neighbours. Rows stay linear in points + markers: no candidate pairs are formed. Both
-    sides hold distinct seconds, so a bucket has at most 2 * tol_s + 2 rows.
+    each bucket gets those two along with its own rows, and a running window in each
+    direction finds the neighbours. Rows stay linear in points + markers: no candidate pairs
+    are formed. Both sides hold distinct seconds, so a bucket has at most 2 * tol_s + 2 rows.
     """
     tol = F.lit(tol_s)
     marker = (
@@ -165,12 +168,14 @@ def nearest_signal(points: DataFrame, markers: DataFrame, tol_s: int = MARKER_TO
         .unionByName(point)
         .withColumn("mt", F.when(~F.col("is_point"), F.struct(F.col("time").alias("t"), "m")))
     )
-    order = Window.partitionBy("company_id", "b").orderBy("time")
-    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both frames grow from the start of their order, which costs one step per row; a frame
+    # that ends at the far side would be evaluated anew for every row.
+    group = Window.partitionBy("company_id", "b")
+    upto = group.orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = group.orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        rows.withColumn("p", F.last("mt", ignorenulls=True).over(upto))
-        .withColumn("n", F.first("mt", ignorenulls=True).over(onward))
+        rows.withColumn("n", F.last("mt", ignorenulls=True).over(onward))
+        .withColumn("p", F.last("mt", ignorenulls=True).over(upto))
         .filter("is_point")
     )
     back, ahead = F.col("time") - F.col("p.t"), F.col("n.t") - F.col("time")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movewatch.functions.scalar import iso_to_ms
+from movewatch.operators.joins import lookup
 
 PER_FEED = 5
 
@@ -159,7 +160,7 @@ def ingest_bars(raw: DataFrame, on_bad: str = "stop", poll: Sequence[str] = ())
     )
     late = F.col("reason").isNull() & (F.col("ts_ms") > F.col("_bad_ts"))
     return (
-        rows.join(first, ["company_id", *poll], "left")
+        lookup(rows, first, ["company_id", *poll], "ts_ms", "left")
         .withColumn("reason", F.when(late, "after_bad").otherwise(F.col("reason")))
         .drop("_bad_ts", *poll)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from movewatch import schemas
 from movewatch.functions.scalar import decode_finding, encode_finding
+from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import top_n
 
 BAR_KEYS = ("company_id", "ts_ms")
@@ -54,7 +55,8 @@ def replace_scope(new: DataFrame, existing: DataFrame, scope: DataFrame, col: st
 
     Rows outside the scope stay as they are; running it again changes nothing.
     """
-    return existing.join(scope.select(col).distinct(), col, "left_anti").unionByName(new)
+    outside = lookup(existing, scope.select(col), [col], F.struct(*existing.columns), "left_anti")
+    return outside.select(*existing.columns).unionByName(new)
 
 
 def finding_rows(

@@ -2,91 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from movewatch.operators.anomaly import N_WINDOW, VOL_THRESHOLD, Z_THRESHOLD, score_watchlist
 from movewatch.operators.attribution import AttributionParams, attribute
 from movewatch.session import STATE_STORE
 from movewatch.sources import sinks
 from movewatch.streaming.ingest import ORDERS, run_batches
-
-STATE = "ts array<bigint>, close array<double>, volume array<bigint>"
-SCORE = (
-    "company_id string, n_bars bigint, anchor_ms bigint, latest_close double, latest_return double, "
-    "z_score double, volume_ratio double, direction string, status string, flagged boolean"
-)
-
-
-def newest_bars(n: int):
-    """Cuts each Arrow batch to the newest n bars per company, before any shuffle.
-
-    Only the newest n can end up in a company's state, so a hot company sends n rows per
-    batch on and not all of them.
-    """
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ordered = frame.sort_values(["company_id", "ts_ms"], kind="stable")
-            distinct = ordered.drop_duplicates(["company_id", "ts_ms"])
-            yield distinct.groupby("company_id").tail(n)
-    return cut
-
-
-class NewestBarsScan(StatefulProcessor):
-    """State per company: its newest n bars by time. Each batch that touches a company gives
-    its score over the state after the batch, as a batch scan of all bars would."""
-
-    def __init__(self, n: int, z: float, vol: float, min_bars: int):
-        self.n, self.z, self.vol, self.min_bars = n, z, vol, min_bars
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bars = handle.getValueState("bars", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.bars.get()
-        # stored bars come first: a copy of a stored time stamp is ignored
-        seen = {t: (c, v) for t, c, v in zip(*stored)} if stored else {}
-        for frame in rows:
-            for t, c, v in zip(frame["ts_ms"].tolist(), frame["close"].tolist(), frame["volume"].tolist()):
-                seen.setdefault(int(t), (None if pd.isna(c) else float(c), None if pd.isna(v) else int(v)))
-        ts = sorted(seen)[-self.n:]
-        close, volume = [seen[t][0] for t in ts], [seen[t][1] for t in ts]
-        self.bars.update((ts, close, volume))
-        if len(ts) >= self.min_bars:
-            yield pd.DataFrame([score_row(key[0], ts, close, volume, self.z, self.vol)])
-
-    def close(self) -> None:
-        pass
-
-
-def score_row(company: str, ts: list, close: list, volume: list, z: float, vol: float) -> dict:
-    """``score_watchlist`` for one company's bars in time order."""
-    row = {
-        "company_id": company, "n_bars": len(ts), "anchor_ms": ts[-1], "latest_close": close[-1],
-        "latest_return": None, "z_score": None, "volume_ratio": None, "direction": None,
-        "status": "bad_data", "flagged": False,
-    }
-    if None in close or None in volume or 0 in close[:-1]:
-        return row
-    row["status"] = "ok"
-    if len(ts) < 2:
-        return row
-    c = np.array(close)
-    returns = c[1:] / c[:-1] - 1
-    spread, mean_volume = returns.std(), float(np.mean(volume))
-    score = (returns[-1] - returns.mean()) / spread if spread else 0.0
-    ratio = volume[-1] / mean_volume if mean_volume else 0.0
-    row.update(
-        latest_return=float(returns[-1]), z_score=float(score), volume_ratio=float(ratio),
-        direction="up" if returns[-1] > 0 else "down",
-        flagged=bool(abs(score) >= z or ratio >= vol),
-    )
-    return row
+from movewatch.streaming.worker import SCORE, NewestBarsScan, newest_bars
 
 
 def stream_scan(

@@ -8,7 +8,7 @@ from movewatch import schemas
 from movewatch.operators.anomaly import score_watchlist
 from movewatch.operators.attribution import attribute
 from movewatch.sources import sinks
-from movewatch.streaming import ingest, scan
+from movewatch.streaming import ingest, scan, worker
 
 
 def batches(spark, tmp_path, parts, schema):
@@ -84,7 +84,7 @@ def test_stream_scan_reports_each_batch(spark, tmp_path):
 
 def test_newest_bars_cut_is_per_arrow_batch(spark):
     df = spark.range(5000, numPartitions=1).select(F.lit("hot").alias("company_id"), F.col("id").alias("ts_ms"), F.lit(1.0).alias("close"), F.lit(1).cast("long").alias("volume"))
-    out = df.mapInPandas(scan.newest_bars(30), df.schema)
+    out = df.mapInPandas(worker.newest_bars(30), df.schema)
     assert out.count() <= 60 and out.agg(F.max("ts_ms")).first()[0] == 4999
 
 
