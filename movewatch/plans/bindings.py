@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from movewatch.functions.scalar import once
 from movewatch.operators.findings import validate_findings
-from movewatch.operators.ordered import top_n
+from movewatch.operators.ordered import positions, time_bucket
 from movewatch.session import configure
 
 AS_OF_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z, the end of the event month
-WEEK_S = 604_800
 FEED_SIZE = 8  # articles a news or discussion poll returns
-TRACE_STEPS = 12  # steps recorded per run; the loop itself stops at its own budget
+RUN_STEPS = 12  # steps recorded per run; the loop itself stops at its own budget
+ID_BUCKET = 4096  # events per bucket when numbering a company's events in id order
 
 # Columns of the given tables, so that reading them needs no look into a file first.
 SCHEMAS = {
@@ -95,13 +95,12 @@ class Market:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Events with epoch ms, the number k of props, company id and epoch week."""
+        """Events with epoch ms, the number k of props and the company id."""
         ms = F.unix_millis(F.col("ts").cast("timestamp"))
         return self.table("events").withColumns({
             "ms": ms,
             "k": F.get_json_object("props", "$.k").cast("int"),
             "company_id": F.col("user_id").cast("string"),
-            "week": F.floor(ms / F.lit(WEEK_S * 1000)).cast("string"),
         })
 
     @cached_property
@@ -179,10 +178,16 @@ class Market:
         """News with k below 30, so that all four drivers occur."""
         return self.news.filter(F.substring("headline", 6, 9).cast("int") < 30)
 
-    def _poll(self, event_type: str) -> DataFrame:
-        """The first FEED_SIZE events of a type per company and week, as one poll each."""
-        e = self.events.filter(F.col("event_type") == event_type)
-        return top_n(e, ["company_id", "week"], [F.asc("event_id")], FEED_SIZE, "n")
+    def _dealt(self, events: DataFrame, size: int) -> DataFrame:
+        """A company's events in id order, dealt into groups of ``size``: group_no and n."""
+        placed = positions(events, ["company_id"], ["event_id"], time_bucket("event_id", ID_BUCKET))
+        group_no = F.floor(F.col("position") / F.lit(size)).cast("string")
+        return placed.withColumn("group_no", group_no).withColumn("n", (F.col("position") % size).cast("int"))
+
+    def _polls(self, event_type: str, item: Column) -> DataFrame:
+        """All events of a type as polls of FEED_SIZE items each, oldest first."""
+        dealt = self._dealt(self.events.filter(F.col("event_type") == event_type), FEED_SIZE)
+        return dealt.groupBy("company_id", "group_no").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def _iso(self, good: Column) -> Column:
         text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -190,7 +195,7 @@ class Market:
 
     @cached_property
     def news_polls(self) -> DataFrame:
-        """(ticker, week, payload): article ids repeat over tickers, some lack URL or date."""
+        """(ticker, payload): article ids repeat over tickers, some lack URL or date."""
         half = F.floor(F.col("event_id") / F.lit(2)).cast("string")
         url = F.when(F.col("event_id") % 7 != 3, F.concat(F.lit("https://example.org/"), half)).otherwise("")
         article = F.struct(
@@ -203,8 +208,7 @@ class Market:
                 F.struct(F.lit("wire").alias("displayName")).alias("provider"),
             ).alias("content"),
         )
-        polls = self._poll("error").groupBy("company_id", "week").agg(F.sort_array(F.collect_list(article)).alias("a"))
-        return polls.select(F.col("company_id").alias("ticker"), "week", F.to_json("a").alias("payload"))
+        return self._polls("error", article).select(F.col("company_id").alias("ticker"), F.to_json("items").alias("payload"))
 
     @cached_property
     def discussion_polls(self) -> DataFrame:
@@ -214,10 +218,8 @@ class Market:
             F.concat(F.lit("Post "), F.col("k").cast("string")).alias("body"),
             self._iso(F.col("event_id") % 11 != 5).alias("created_at"),
         )
-        polls = self._poll("click").groupBy("company_id", "week").agg(F.sort_array(F.collect_list(message)).alias("m"))
-        return polls.select(
-            F.col("company_id").alias("ticker"), "week", F.to_json(F.struct(F.col("m").alias("messages"))).alias("payload")
-        )
+        payload = F.to_json(F.struct(F.col("items").alias("messages")))
+        return self._polls("click", message).select(F.col("company_id").alias("ticker"), payload.alias("payload"))
 
     @cached_property
     def bar_feed(self) -> DataFrame:
@@ -237,9 +239,11 @@ class Market:
 
     @cached_property
     def trace(self) -> DataFrame:
-        """Runs per company and week; a signup event is a final answer, others are tool calls."""
-        run = F.concat_ws("-", "company_id", "week")
-        numbered = top_n(self.events.withColumn("run_id", run), ["run_id"], [F.asc("event_id")], TRACE_STEPS, "step")
+        """All events as runs of RUN_STEPS steps per company; a signup event is a final answer,
+        the others are tool calls."""
+        numbered = self._dealt(self.events, RUN_STEPS).withColumns({
+            "run_id": F.concat_ws("-", "company_id", "group_no"), "step": F.col("n") + 1,
+        })
         end = F.col("event_type") == "signup"
         tool = (
             F.when(F.col("k") % 13 == 0, "get_weather")

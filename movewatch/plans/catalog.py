@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movewatch.plans.bindings import FEED_SIZE, FINDING_BODY, FINDING_TEXT, TRACE_STEPS, Market
+from movewatch.plans.bindings import FEED_SIZE, FINDING_BODY, FINDING_TEXT, RUN_STEPS, Market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,12 +89,16 @@ def _items(kind: str, text: str, prefix: str, source: str) -> str:
   FROM ev WHERE event_type = '{kind}'"""
 
 
+# 0-based place of an event in its company. Not row_number(): a filter on a remainder of
+# that makes DuckDB 2.0 drop rows (its top_n_window_elimination).
+_PLACE = "count(*) OVER (PARTITION BY company_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1"
+
+
 def _poll(kind: str) -> str:
     return f"""
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY company_id, week ORDER BY event_id) AS n
-    FROM ev WHERE event_type = '{kind}'
-  ) WHERE n <= {FEED_SIZE}"""
+  SELECT *, p // {FEED_SIZE} AS poll, p % {FEED_SIZE} + 1 AS n FROM (
+    SELECT *, {_PLACE} AS p
+    FROM ev WHERE event_type = '{kind}')"""
 
 
 def _signals_in(items: str, text: str) -> str:
@@ -110,8 +114,7 @@ def _signals_in(items: str, text: str) -> str:
 VIEWS: dict[str, str] = {
     "ev": """
   SELECT event_id, ts, user_id, event_type, value, cast(json_extract_string(props, '$.k') AS int) AS k,
-    epoch_us(ts) // 1000 AS ms, cast(user_id AS varchar) AS company_id,
-    cast(epoch_us(ts) // 604800000000 AS varchar) AS week
+    epoch_us(ts) // 1000 AS ms, cast(user_id AS varchar) AS company_id
   FROM events""",
     "company": """
   SELECT cast(c_custkey AS varchar) AS company_id, c_name AS name, c_mktsegment AS sector
@@ -168,9 +171,8 @@ VIEWS: dict[str, str] = {
   SELECT event_id, company_id, ms, {FINDING_TEXT} AS text
   FROM (SELECT *, {FINDING_BODY} AS body FROM ev WHERE event_type = 'signup')""",
     "run_event": f"""
-  SELECT *, company_id || '-' || week AS run_id, company_id AS ticker FROM (
-    SELECT *, row_number() OVER (PARTITION BY company_id, week ORDER BY event_id) AS step FROM ev
-  ) WHERE step <= {TRACE_STEPS}""",
+  SELECT *, company_id || '-' || (p // {RUN_STEPS}) AS run_id, company_id AS ticker, p % {RUN_STEPS} + 1 AS step
+  FROM (SELECT *, {_PLACE} AS p FROM ev)""",
     "call": """
   SELECT run_id, ticker, step, 0 AS call_no,
     CASE WHEN k % 13 = 0 THEN 'get_weather' WHEN event_type = 'error' THEN 'get_news'

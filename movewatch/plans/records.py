@@ -11,6 +11,7 @@ from movewatch.operators.attribution import attribute
 from movewatch.operators.anomaly import score_watchlist
 from movewatch.plans.bindings import AS_OF_MS, Market
 from movewatch.plans.catalog import query
+from movewatch.session import materialized
 from movewatch.sources import sinks, tables
 
 # --- text functions ---------------------------------------------------------
@@ -220,12 +221,13 @@ def tool_coverage(m: Market) -> DataFrame:
     return rolled.select("run_id", (F.size("tools") >= evaluation.MIN_TOOLS).alias("covered"))
 
 
-def _runs(m: Market) -> DataFrame:
-    return findings.resolve_runs(m.trace).withColumn("cost_usd", F.col("iterations") / F.lit(100.0))
+def _runs(trace: DataFrame) -> DataFrame:
+    return findings.resolve_runs(trace).withColumn("cost_usd", F.col("iterations") / F.lit(100.0))
 
 
 def _evaluate(m: Market) -> tuple[DataFrame, DataFrame]:
-    return evaluation.evaluate(_runs(m), m.scenarios, m.trace, m.companies)
+    trace = materialized(m.trace, "trace")  # read for answers, steps and tool calls
+    return evaluation.evaluate(_runs(trace), m.scenarios, trace, m.companies)
 
 
 _CHECKS = "correct_driver, confidence_in_band, boundary_respected, scenario_evidence"
@@ -242,7 +244,8 @@ for _id, _check in zip(("ev1", "ev2", "ev3"), evaluation.CHECK_NAMES):
 for _id, _kind, _driver in (("ev4", "news", "news"), ("ev5", "peer", "sector"), ("ev6", "exhaustive", "unexplained")):
 
     def _one_scenario(m: Market, kind: str = _kind) -> DataFrame:
-        wide = evaluation.grade(_runs(m), m.scenarios.filter(F.col("check_name") == kind), m.trace, m.companies)
+        trace = materialized(m.trace, "trace")
+        wide = evaluation.grade(_runs(trace), m.scenarios.filter(F.col("check_name") == kind), trace, m.companies)
         return wide.select("run_id", "ticker", F.col("scenario_evidence").alias("passed"))
 
     query(

@@ -32,7 +32,7 @@ def ingest_bars(m: Market) -> DataFrame:
 
 
 _FEED = """
-SELECT *, min(rn) FILTER (bad) OVER (PARTITION BY company_id, week) AS first_bad
+SELECT *, min(rn) FILTER (bad) OVER (PARTITION BY company_id, poll) AS first_bad
 FROM (SELECT *, n AS rn, {bad} AS bad FROM ({poll}) WHERE n <= 5)"""
 _NEWS_FEED = _FEED.format(bad="event_id % 7 <> 3 AND event_id % 11 = 5", poll=_poll("error"))
 _POST_FEED = _FEED.format(bad="event_id % 11 = 5", poll=_poll("click"))
@@ -40,12 +40,11 @@ _NEWS_ROWS = f"""
 SELECT cast(event_id // 2 AS varchar) AS id, company_id, 'Item ' || k AS headline, '' AS summary, 'wire' AS source,
   CASE WHEN event_id % 7 <> 3 THEN 'https://example.org/' || (event_id // 2) ELSE '' END AS url,
   CASE WHEN event_id % 11 <> 5 THEN ms END AS published_at, cast(rn - 1 AS int) AS pos,
-  CASE WHEN rn > coalesce(first_bad, 99) THEN 'after_bad' WHEN event_id % 7 = 3 THEN 'no_url' WHEN bad THEN 'bad_date' END AS reason,
-  week
+  CASE WHEN rn > coalesce(first_bad, 99) THEN 'after_bad' WHEN event_id % 7 = 3 THEN 'no_url' WHEN bad THEN 'bad_date' END AS reason
 FROM ({_NEWS_FEED})"""
 
 
-@query("src3_ingest_news", f"SELECT * EXCLUDE (week) FROM ({_NEWS_ROWS})")
+@query("src3_ingest_news", _NEWS_ROWS)
 def ingest_news(m: Market) -> DataFrame:
     return feeds.ingest_news(m.news_polls)
 
@@ -60,7 +59,7 @@ def ingest_discussion(m: Market) -> DataFrame:
 
 
 @query("sink1_append_news", f"""
-SELECT * EXCLUDE (reason, week, rank) FROM (
+SELECT * EXCLUDE (reason, rank) FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY company_id, published_at, pos) AS rank FROM ({_NEWS_ROWS}) WHERE reason IS NULL)
 WHERE rank = 1 AND id NOT IN (SELECT id FROM news)""")
 def append_news(m: Market) -> DataFrame:
@@ -312,6 +311,15 @@ def attribute(m: Market) -> DataFrame:
     )
 
 
+@query("at1_attribute_defaults", """
+SELECT company_id, driver AS primary_driver, confidence, news_causal, posts_causal, peers_alike FROM attributed""",
+       views={"score03": "SELECT * FROM score", "rare_news": "SELECT * FROM news"})
+def attribute_defaults(m: Market) -> DataFrame:
+    """The default thresholds and all news."""
+    found = attribution.attribute(score_watchlist(m.bars).filter("flagged"), m.news, m.discussion, m.companies)
+    return found.select("company_id", "primary_driver", "confidence", "news_causal", "posts_causal", "peers_alike")
+
+
 @query("at2_confidence", """
 SELECT driver AS primary_driver, confidence, driver = 'unexplained' AS needs_human_review, count(*) AS n FROM attributed GROUP BY ALL""")
 def confidence(m: Market) -> DataFrame:
