@@ -113,7 +113,7 @@ def grade(
         runs = runs.withColumn("cost_usd", F.lit(0.0))
     # iterations and tool calls are those of the trace
     chosen = lookup(runs.drop("iterations"), scenarios, ["ticker"], "run_id")
-    idle = scenarios.join(runs.select("ticker"), "ticker", "left_anti")
+    idle = scenarios.join(runs.select("ticker").distinct(), "ticker", "left_anti")
     rollup = trace_rollup(traces).drop("ticker")
     cited = cited_peers(chosen.filter(F.col("evidence").isNotNull()), companies).withColumn("peer_cited", F.lit(True))
     facts = (

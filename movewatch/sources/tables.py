@@ -26,6 +26,12 @@ def discussion(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.DISCUSSION).parquet(path)
 
 
+def named_companies(spark: SparkSession, rows: tuple = schemas.SEED_COMPANIES) -> DataFrame:
+    """A fixed company list with its order, for seeding and for the watchlist union."""
+    listed = [(*row, place) for place, row in enumerate(rows)]
+    return spark.createDataFrame(listed, "company_id string, name string, sector string, ordinal int")
+
+
 def list_findings(findings: DataFrame, ticker: str | None = None, limit: int = 50) -> DataFrame:
     """Newest findings, of one ticker if given; the limit is at least 1 and at most 200."""
     if limit < 1:

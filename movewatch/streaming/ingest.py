@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from movewatch.session import configure
 from movewatch.sources import feeds, sinks
 
 KINDS: dict[str, Callable[..., DataFrame]] = {
@@ -26,8 +27,16 @@ ORDERS = {
 def run_batches(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Start ``each`` on the stream's batches: every interval, or once over what is there."""
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    """Start ``each`` on the stream's batches: every interval, or once over what is there.
+
+    Spark turns adaptive execution off in a stream's session, as state must keep its
+    partitions. The jobs of ``each`` are plain batch jobs and get it back.
+    """
+    def with_settings(batch: DataFrame, batch_id: int) -> None:
+        configure(batch.sparkSession)
+        each(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(with_settings).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -8,6 +8,7 @@ from movewatch import schemas
 from movewatch.operators import graph, retrieval
 from movewatch.operators.anomaly import scan_watchlist
 from movewatch.operators.bars import anchors, price_bounds
+from movewatch.sources import tables
 
 
 def test_peers(companies, spark):
@@ -103,6 +104,9 @@ def test_watchlist_keeps_the_first_occurrence(spark):
     demo = spark.createDataFrame([("NMBS", 0), ("AAPL", 1)], "company_id string, ordinal int")
     got = retrieval.watchlist(real, demo).orderBy("list_no", "ordinal").collect()
     assert [r["company_id"] for r in got] == ["AAPL", "MSFT", "NMBS"]
+    lists = tables.named_companies(spark), tables.named_companies(spark, schemas.DEMO_COMPANIES)
+    got = retrieval.watchlist(*lists).orderBy("list_no", "ordinal").collect()
+    assert [r["company_id"] for r in got] == ["AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "NMBS", "ORCH", "HLIX", "VRTA", "DRFT"]
 
 
 def test_known_companies(companies, spark):
