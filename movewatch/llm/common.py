@@ -39,3 +39,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: Rows that go to Python at once: whole texts of a megabyte each still fit.
+BATCH_ROWS = 256
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the rows in a batch for Python in its session."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
