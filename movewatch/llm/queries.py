@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movewatch.llm import html_text, mixing, quality, sharding, simhash, url_filter
+from movewatch.llm import html_text, mixing, neighbours, quality, sharding, simhash, url_filter
 from movewatch.llm.common import table, utf8_bytes, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op5_url_filter", r"""
     WITH parts AS (
         SELECT page_id,
