@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movewatch.llm import html_text, mixing, neighbours, quality, sharding, simhash, url_filter
+from movewatch.llm import html_text, mixing, neighbours, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from movewatch.llm.common import table, utf8_bytes, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+
+
 @query("op2_mix_sources", r"""
     WITH docs AS (
         SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -128,6 +133,11 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_later(table(spark, sf_dir, "documents").select("doc_id", "text"), 20)
+
+
 @query("op9_shards")
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
