@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movewatch.llm import html_text, mixing, neighbours, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from movewatch.llm import decontaminate, html_text, mixing, neighbours, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from movewatch.llm.common import table, utf8_bytes, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_nearest_neighbours")
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
