@@ -165,3 +165,155 @@ def near_duplicates(df: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = lookup(rooted.select("fp", "root"), ids, ["root"], "fp").select("fp", "component_id")
     return lookup(prints, named, ["fp"], "doc_id")
+
+
+# --- near copies in the wide sense: a similarity rather than a few bits ---
+
+#: Words of a wide fingerprint, and the differing bits up to which two are linked. Sets of shingles with a Jaccard
+#: similarity s differ in about arccos(2 s / (1 + s)) / pi of the bits: 39 of 256 for 0.8; 44 leaves room for chance.
+WIDE, WIDE_BUDGET = 4, 44
+#: Bits of a segment by which candidates meet, and how many of its least certain bits each side may flip.
+KEY_BITS, FLIPS = 21, 4
+ALL_PAIRS = 1024
+_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_SUBSETS = np.array([[m >> i & 1 for i in range(FLIPS)] for m in range(1 << FLIPS)], np.uint64)
+
+
+def wide_print(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wide fingerprint of a text (``WIDE`` numbers) and its candidate keys.
+
+    A bit is as certain as its majority is large. In each segment of the first word the least certain
+    bits are flipped in every combination, so two texts meet if each bit that differs is among those of either.
+    """
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.zeros(WIDE, np.uint64), np.zeros(1, np.int64)
+    joined = b" ".join(found)
+    ends = [e + i for i, e in enumerate(accumulate(map(len, found)))]
+    span = min(words, len(found))
+    starts = [0, *(e + 1 for e in ends[: len(found) - span])]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[span - 1 :])], np.uint64)
+    mixed = hashes[:, None] ^ _SALTS
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(29)).astype(">u8")
+    margin = 2 * np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) - len(hashes)
+    fps = np.packbits(margin > 0).view(">u8").astype(np.uint64)
+    keys = []
+    for segment in range(64 // KEY_BITS):
+        own = margin[segment * KEY_BITS : (segment + 1) * KEY_BITS]
+        value = int(np.packbits(np.concatenate((np.zeros(32 - KEY_BITS, bool), own > 0))).view(">u4")[0])
+        unsure = np.argsort(np.abs(own), kind="stable")[:FLIPS]
+        masks = (_SUBSETS << (KEY_BITS - 1 - unsure).astype(np.uint64)).sum(axis=1)
+        keys.append((np.uint64(value) ^ masks) << np.uint64(2) | np.uint64(segment))
+    return fps, np.concatenate(keys).view(np.int64)
+
+
+def _wide_prints(words: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_print(t, words) for t in batch.column(0).to_pylist()]
+            fps = np.array([m[0] for m in made], np.uint64).reshape(-1, WIDE).view(np.int64)
+            keys = pa.array([m[1] for m in made], pa.list_(pa.int64()))
+            arrays = [*(batch.column(c) for c in range(1, width)), *(pa.array(fps[:, i].copy()) for i in range(WIDE)), keys]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], *(f"f{i}" for i in range(WIDE)), "keys"])
+    return run
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _crowd_links(fps: np.ndarray) -> tuple[list, list]:
+    """Links that join everything in a large bucket that some chain of linked pairs joins.
+
+    Neighbours in the orders of the words are joined first. Then only pairs with a member outside the
+    largest group so far can still join anything, so each of those members is compared with all others.
+    """
+    n = len(fps)
+    left, right = [], []
+    if n > ALL_PAIRS:
+        for word in range(WIDE):
+            order = np.argsort(fps[:, word], kind="stable")
+            near = np.flatnonzero(_distance(fps[order[1:]], fps[order[:-1]]) <= WIDE_BUDGET)
+            left.append(order[near])
+            right.append(order[near + 1])
+        root = local_roots(n, np.concatenate(left), np.concatenate(right))
+        outside = np.flatnonzero(root != np.bincount(root).argmax())
+    else:
+        outside = np.arange(n)
+    for i in outside:
+        near = np.flatnonzero(_distance(fps, fps[i]) <= WIDE_BUDGET)
+        left.append(np.full(len(near), i))
+        right.append(near)
+    return left, right
+
+
+def wide_bucket_links(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as trees: member, root) between wide fingerprints of the same bucket. Sorted by key; whole buckets."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    length = np.repeat(size, size)
+    place = np.arange(len(key)) - np.repeat(first, size)
+    left, right = [], []
+    for step in range(1, int(size[size <= PAIRWISE].max(initial=1))):
+        a = np.flatnonzero((length <= PAIRWISE) & (place + step < length))
+        a = a[np.bitwise_count(fps[a, 0] ^ fps[a + step, 0]) <= WIDE_BUDGET]
+        a = a[_distance(fps[a], fps[a + step]) <= WIDE_BUDGET]
+        left.append(a)
+        right.append(a + step)
+    for start, count in zip(first[size > PAIRWISE], size[size > PAIRWISE]):
+        a, b = _crowd_links(fps[start : start + count])
+        left += [x + start for x in a]
+        right += [x + start for x in b]
+    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    nodes, at = np.unique(np.concatenate((node[left], node[right])), return_inverse=True)
+    root = local_roots(len(nodes), at[: len(left)], at[len(left) :])
+    member = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[member], nodes[root[member]]
+
+
+def _wide_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(key, node, *fps) -> pa.RecordBatch:
+        links = wide_bucket_links(key, node, np.stack(fps, axis=1).view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["u", "v"])
+
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            done = int(np.searchsorted(columns[0], columns[0][-1]))
+            if done:
+                yield emit(*(c[:done] for c in columns))
+            held, rows = [[c[done:] for c in columns]], len(columns[0]) - done
+    if rows:
+        yield emit(*(np.concatenate(x) for x in zip(*held)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each group of near copies only the one with the smallest doc_id.
+
+    Near copies are texts whose wide fingerprints over shingles of ``words`` words are linked (``WIDE_BUDGET``),
+    directly or over others. Null ids come last, equal ids in the order of a hash of the row; of rows that agree in every
+    column one stays. Texts without words are copies of each other. An empty table gives an empty one.
+    """
+    row = F.xxhash64(*[F.col(c) for c in docs.columns])
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    narrow = batched(docs).select(F.col("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), row.alias("row"))
+    fields = ", ".join(f"f{i} long" for i in range(WIDE))
+    prints = narrow.mapInArrow(_wide_prints(words, 4), f"doc_id long, own string, row long, {fields}, keys array<long>")
+    fps = [F.col(f"f{i}") for i in range(WIDE)]
+    prints = materialized(prints.withColumn("node", F.xxhash64(*fps)), "wide-prints")
+    distinct = prints.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)], F.min("keys").alias("keys"))
+    rows = distinct.select(F.explode("keys").alias("key"), "node", *fps)
+    links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_link, "u long, v long")
+    roots = components(links).select(F.col("node").alias("linked"), "root")
+    rooted = lookup(prints.select("doc_id", "own", "row", F.col("node").alias("linked")), roots, ["linked"], "row", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "own", "row")
+    stay = rooted.groupBy(F.coalesce("root", "linked").alias("root")).agg(F.min(order).alias("stay"))
+    a, b = free_name(docs, "_own"), free_name(docs, "_row")
+    chosen = stay.select(F.col("stay.own").alias(a), F.col("stay.row").alias(b))
+    return docs.withColumns({a: own, b: row}).join(chosen, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)
