@@ -172,18 +172,20 @@ def near_duplicates(df: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc
 #: Words of a wide fingerprint, and the differing bits up to which two are linked. Sets of shingles with a Jaccard
 #: similarity s differ in about arccos(2 s / (1 + s)) / pi of the bits: 39 of 256 for 0.8; 44 leaves room for chance.
 WIDE, WIDE_BUDGET = 4, 44
-#: Bits of a segment by which candidates meet, and how many of its least certain bits each side may flip.
-KEY_BITS, FLIPS = 21, 4
+#: Bits of a segment by which candidates meet, three to a word, and how many of its least certain bits each side may flip.
+KEY_BITS, FLIPS = 21, 2
 ALL_PAIRS = 1024
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_SUBSETS = np.array([[m >> i & 1 for i in range(FLIPS)] for m in range(1 << FLIPS)], np.uint64)
+_SEGMENTS = np.arange(WIDE * (64 // KEY_BITS))[:, None]
+_VALUES = 1 << np.arange(KEY_BITS - 1, -1, -1)
+_SUBSETS = np.array([[m >> i & 1 for m in range(1 << FLIPS)] for i in range(FLIPS)])
 
 
 def wide_print(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The wide fingerprint of a text (``WIDE`` numbers) and its candidate keys.
 
-    A bit is as certain as its majority is large. In each segment of the first word the least certain
-    bits are flipped in every combination, so two texts meet if each bit that differs is among those of either.
+    A bit is as certain as its majority is large. In each segment the least certain bits are flipped in every
+    combination, so two texts meet if in some segment each bit that differs is among those of either.
     """
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
@@ -199,14 +201,10 @@ def wide_print(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = (mixed ^ mixed >> np.uint64(29)).astype(">u8")
     margin = 2 * np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) - len(hashes)
     fps = np.packbits(margin > 0).view(">u8").astype(np.uint64)
-    keys = []
-    for segment in range(64 // KEY_BITS):
-        own = margin[segment * KEY_BITS : (segment + 1) * KEY_BITS]
-        value = int(np.packbits(np.concatenate((np.zeros(32 - KEY_BITS, bool), own > 0))).view(">u4")[0])
-        unsure = np.argsort(np.abs(own), kind="stable")[:FLIPS]
-        masks = (_SUBSETS << (KEY_BITS - 1 - unsure).astype(np.uint64)).sum(axis=1)
-        keys.append((np.uint64(value) ^ masks) << np.uint64(2) | np.uint64(segment))
-    return fps, np.concatenate(keys).view(np.int64)
+    own = margin.reshape(WIDE, 64)[:, : 64 // KEY_BITS * KEY_BITS].reshape(-1, KEY_BITS)
+    unsure = np.argsort(np.abs(own), axis=1, kind="stable")[:, :FLIPS]
+    keys = (((own > 0) @ _VALUES)[:, None] ^ _VALUES[unsure] @ _SUBSETS) << 4 | _SEGMENTS
+    return fps, keys.ravel()
 
 
 def _wide_prints(words: int, width: int):
