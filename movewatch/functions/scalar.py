@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.schemas import EVIDENCE, TRIGGER
+from movewatch.schemas import TRIGGER
 
 # --- fixed values: patterns that must match what the finding contract uses ---
 FENCE = r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$"
@@ -13,6 +13,8 @@ ADVICE_WORDS = ("buy", "sell", "hold", "price target", "recommend")
 # -----------------------------------------------------------------------------
 
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}($|[T ])"
+# Date and time with or without dashes and colons, down to the hour, minute or second.
+_ISO_PARTS = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})([.]\d+)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 
 
 def _col(c: Column | str) -> Column:
@@ -39,10 +41,18 @@ def ratio(num: Column, den: Column) -> Column:
 def iso_to_ms(c: Column | str) -> Column:
     """ISO-8601 text to epoch milliseconds; NULL when the text is not a valid date.
 
-    A value without an offset is read in the session zone (UTC here).
+    A value without an offset is read in the session zone (UTC here). Forms that Spark's own
+    parser refuses (no seconds, no dashes) are completed first.
     """
     c = _col(c)
-    return F.when(c.rlike(_ISO_DATE), F.unix_millis(F.try_to_timestamp(c)))
+    part = lambda i: F.regexp_extract(c, _ISO_PARTS, i)
+    of_time = lambda i: F.when(part(i) != "", part(i)).otherwise("00")
+    day = F.concat_ws("-", part(1), part(3), part(4))
+    offset = F.regexp_replace(part(9), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    offset = F.when(offset.endswith(":"), F.concat(offset, F.lit("00"))).otherwise(offset)
+    full = F.concat(day, F.lit(" "), F.concat_ws(":", of_time(5), of_time(6), of_time(7)), part(8), offset)
+    known = F.when(c.rlike(_ISO_DATE), F.try_to_timestamp(c))
+    return F.unix_millis(F.coalesce(known, F.when(c.rlike(_ISO_PARTS), F.try_to_timestamp(full))))
 
 
 def ms_to_s(c: Column | str) -> Column:
@@ -150,22 +160,36 @@ def advice_hit(c: Column | str, words: tuple[str, ...] = ADVICE_WORDS) -> Column
     return F.regexp_extract(_col(c), _word_pattern(words), 1)
 
 
+def evidence_entries(entries: Column | str) -> Column:
+    """A JSON array, as a variant, to typed evidence entries; an entry that is no object has its text as ``ref``."""
+    def entry(v: Column) -> Column:
+        held = F.schema_of_variant(v).startswith("OBJECT")
+        ref = F.when(held, F.try_variant_get(v, "$.ref", "string")).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.struct(
+            F.try_variant_get(v, "$.type", "string").alias("type"), ref.alias("ref"), F.try_variant_get(v, "$.why", "string").alias("why")
+        )
+    return F.transform(F.try_variant_get(_col(entries), "$", "array<variant>"), entry)
+
+
 def encode_finding(df: DataFrame) -> DataFrame:
-    """Nested trigger and evidence to JSON text, boolean to 0/1."""
+    """Nested trigger and evidence to JSON text, boolean to 0/1. Texts that are there already are kept as they are."""
+    def text(name: str) -> Column:
+        made = F.to_json(name)
+        return F.coalesce(F.col(f"{name}_json"), made) if f"{name}_json" in df.columns else made
     return df.withColumns({
-        "trigger_json": F.to_json("trigger"),
-        "evidence_json": F.to_json("evidence"),
+        "trigger_json": text("trigger"),
+        "evidence_json": text("evidence"),
         "needs_human_review": F.col("needs_human_review").cast("int"),
     }).drop("trigger", "evidence")
 
 
 def decode_finding(df: DataFrame) -> DataFrame:
-    """The reverse of ``encode_finding``."""
+    """Typed trigger and evidence beside the JSON text of ``encode_finding``, which may hold more."""
     return df.withColumns({
         "trigger": F.from_json("trigger_json", TRIGGER),
-        "evidence": F.from_json("evidence_json", EVIDENCE),
+        "evidence": evidence_entries(F.try_parse_json("evidence_json")),
         "needs_human_review": F.col("needs_human_review") != 0,
-    }).drop("trigger_json", "evidence_json")
+    })
 
 
 def _camel(name: str) -> str:

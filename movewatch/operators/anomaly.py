@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,8 +19,13 @@ VOL_THRESHOLD = 2.5
 # ----------------------------------------------------------------------------
 
 
+def _missing(name: str) -> Column:
+    """NULL or NaN; Spark orders NaN above all numbers, so it must not reach a comparison."""
+    return F.col(name).isNull() | F.isnan(F.col(name).cast("double"))
+
+
 def _statistics() -> list:
-    bad = F.col("close").isNull() | F.col("volume").isNull() | F.coalesce(F.col("prev_close") == 0, F.lit(False))
+    bad = _missing("close") | _missing("volume") | F.coalesce(F.col("prev_close") == 0, F.lit(False))
     return [
         F.count(F.lit(1)).alias("n_bars"),
         F.max("ts_ms").alias("anchor_ms"),
@@ -43,7 +48,7 @@ def _score(stats: DataFrame) -> DataFrame:
         "company_id",
         "n_bars",
         "anchor_ms",
-        "latest_close",
+        F.when(~_missing("latest_close"), F.col("latest_close")).alias("latest_close"),
         F.when(ok, F.col("latest_return")).alias("latest_return"),
         F.when(ok, z).alias("z_score"),
         F.when(ok, vol).alias("volume_ratio"),
@@ -64,7 +69,7 @@ def score_watchlist(
 
     Companies with fewer than ``min_bars`` (default n) bars are left out. Mean, deviation
     and mean volume include the latest bar. ``flagged`` compares unrounded values. A
-    company with a NULL close or volume, or a zero previous close, gets status 'bad_data'
+    company with a NULL or NaN close or volume, or a zero previous close, gets status 'bad_data'
     and NULL scores, and does not disturb the others.
 
     One shuffle, by company: each map task keeps n bars per company, the returns reuse
@@ -139,7 +144,7 @@ def _digests(window: DataFrame, bucket_ms: int) -> DataFrame:
         .withColumn("_lag", F.lag("close").over(inside))
         .withColumn("_ret", inner)
     )
-    bad = F.col("close").isNull() | F.col("volume").isNull() | F.coalesce(F.col("_lag") == 0, F.lit(False))
+    bad = _missing("close") | _missing("volume") | F.coalesce(F.col("_lag") == 0, F.lit(False))
     return rows.groupBy("company_id", "_bucket").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by("close", "ts_ms").alias("first_close"),

@@ -10,7 +10,7 @@ words; the numbers below are this library's reading of them:
   anchor up to the end of the session;
 * moved alike: a peer flagged in the same direction on the same session.
 
-Order of causes: news, discussion, sector (at least ``min_peers`` peers), unexplained.
+Order of causes: news (at least ``min_news`` items), discussion, sector (at least ``min_peers`` peers), unexplained.
 News outside the causal window counts as none.
 """
 
@@ -25,6 +25,7 @@ from movewatch.functions.scalar import ms_to_ts
 from movewatch.operators.anomaly import with_trigger
 from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import top_n
+from movewatch.operators.retrieval import since
 from movewatch.schemas import EVIDENCE, MS_PER_DAY
 
 
@@ -33,8 +34,9 @@ class AttributionParams:
     zone: str = "UTC"
     surge: float = 2.0
     min_peers: int = 2
+    min_news: int = 1
     baseline_days: int = 7
-    max_evidence: int = 3  # newest items, or strongest peers, listed as evidence
+    max_evidence: int = 3  # newest items, or strongest peers, shown with a finding; evidence_items has all
 
 
 def prior_weekday(day: Column) -> Column:
@@ -57,96 +59,145 @@ def with_session(scores: DataFrame, zone: str = "UTC") -> DataFrame:
     )
 
 
-def _in_window(items: DataFrame, moves: DataFrame, text: str) -> DataFrame:
-    """Items of flagged companies up to the end of the session, marked causal or not."""
-    baseline = F.col("anchor_ms") - F.lit(MS_PER_DAY) * F.col("_days")
-    spans = moves.select("company_id", "anchor_ms", "window_from", "window_to", "_days")
-    wanted = items.select("company_id", "id", "published_at", F.col(text).alias("text"))
+def _moves(flagged: DataFrame, companies: DataFrame, p: AttributionParams) -> DataFrame:
+    baseline = F.col("anchor_ms") - F.lit(MS_PER_DAY * p.baseline_days)
     return (
-        lookup(wanted, spans, ["company_id"], "id")
+        with_session(flagged, p.zone)
+        .join(companies.select("company_id", "name", "sector"), "company_id", "left")
+        .withColumn("recent_from", baseline)
+    )
+
+
+def _in_window(news: DataFrame, discussion: DataFrame, moves: DataFrame) -> DataFrame:
+    """News and posts of flagged companies up to the end of the session, marked causal or not.
+
+    The earliest date any move asks for is a filter at the scan of both tables, so of a long
+    history only its end is read and shuffled. Both go through one join.
+    """
+    spans = moves.select("company_id", "window_from", "window_to", "recent_from")
+    earliest = spans.agg(F.min(F.least("recent_from", "window_from"))).scalar()
+    latest = spans.agg(F.max("window_to")).scalar()
+
+    def shape(items: DataFrame, kind: str, text: str) -> DataFrame:
+        wanted = since(items, earliest).filter(F.col("published_at") < latest)
+        return wanted.select("company_id", "id", "published_at", F.col(text).alias("text"), F.lit(kind).alias("kind"))
+
+    both = shape(news, "news", "headline").unionByName(shape(discussion, "discussion", "title"))
+    return (
+        lookup(both, spans, ["company_id"], "id")
         .filter(F.col("published_at") < F.col("window_to"))
-        .filter(F.col("published_at") >= F.least(baseline, F.col("window_from")))
+        .filter(F.col("published_at") >= F.least("recent_from", "window_from"))
         .withColumn("causal", F.col("published_at") >= F.col("window_from"))
-        .withColumn("recent", F.col("published_at") >= baseline)
+        .withColumn("recent", F.col("published_at") >= F.col("recent_from"))
     )
 
 
-def _counts(window: DataFrame, prefix: str) -> DataFrame:
+def _counts(window: DataFrame) -> DataFrame:
+    def n(kind: str, mark: str) -> Column:
+        return F.count_if((F.col("kind") == kind) & F.col(mark))
     return window.groupBy("company_id").agg(
-        F.count_if("causal").alias(f"{prefix}_causal"), F.count_if("recent").alias(f"{prefix}_recent")
+        n("news", "causal").alias("news_causal"), n("discussion", "causal").alias("posts_causal"), n("discussion", "recent").alias("posts_recent")
     )
 
 
-def _newest(window: DataFrame, k: int, out: str) -> DataFrame:
-    """The k newest causal items of each company as one small array."""
+def _newest(window: DataFrame, k: int) -> DataFrame:
+    """The k newest causal items of each company and kind as small arrays."""
     order = [F.desc("published_at"), F.asc("id")]
-    best = top_n(window.filter("causal"), ["company_id"], order, k, "rank")
-    return best.groupBy("company_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", F.col("text").alias("ref")))).alias(out)
-    )
+    best = top_n(window.filter("causal"), ["company_id", "kind"], order, k, "rank")
 
+    def refs(kind: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", F.col("text").alias("ref")))))
+    return best.groupBy("company_id").agg(refs("news").alias("news_refs"), refs("discussion").alias("post_refs"))
 
-def attribute(
-    flagged: DataFrame,
-    news: DataFrame,
-    discussion: DataFrame,
-    companies: DataFrame,
-    params: AttributionParams = AttributionParams(),
-) -> DataFrame:
-    """One finding per flagged company.
 
-    ``flagged`` are rows of ``score_watchlist``. Items join to moves on the company, with
-    one move per company, so a company with very many items is a split of its own join
-    side and never multiplies; counts are combined before they are shuffled. Peers are
-    counted per (sector, direction, session), not paired.
-    """
-    p = params
-    moves = (
-        with_session(flagged, p.zone)
-        .join(companies.select("company_id", "name", "sector"), "company_id", "left")
-        .withColumn("_days", F.lit(p.baseline_days))
-    )
-    news_in = _in_window(news, moves, "headline")
-    posts_in = _in_window(discussion, moves, "title")
+_GROUP = ("sector", "direction", "session_day")
+
 
-    group = ["sector", "direction", "session_day"]
+def _peers_alike(moves: DataFrame, k: int) -> DataFrame:
+    """Per (sector, direction, session): how many other companies moved alike, and the strongest of them."""
     placed = moves.filter(F.col("sector").isNotNull())
-    movers = placed.groupBy(*group).agg((F.count(F.lit(1)) - 1).alias("peers_alike"))
+    movers = placed.groupBy(*_GROUP).agg((F.count(F.lit(1)) - 1).alias("peers_alike"))
     # one more than needed, since a company is not its own peer
     strongest = top_n(
-        placed.select(*group, "company_id", "name", "z_score"), group,
-        [F.desc(F.abs("z_score")), F.asc("company_id")], p.max_evidence + 1, "rank",
+        placed.select(*_GROUP, "company_id", "name", "z_score"), _GROUP,
+        [F.desc(F.abs("z_score")), F.asc("company_id")], k + 1, "rank",
     )
-    leaders = strongest.groupBy(*group).agg(
+    leaders = strongest.groupBy(*_GROUP).agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col("company_id").alias("ref"), "name"))).alias("leaders")
     )
+    return movers.join(leaders, [*_GROUP])
 
-    counted = (
-        moves.join(_counts(news_in, "news"), "company_id", "left")
-        .join(_counts(posts_in, "posts"), "company_id", "left")
-        .join(_newest(news_in, p.max_evidence, "news_refs"), "company_id", "left")
-        .join(_newest(posts_in, p.max_evidence, "post_refs"), "company_id", "left")
-    )
-    joined = lookup(counted, movers.join(leaders, group), group, "company_id", "left").fillna(
-        0, ["news_causal", "posts_causal", "posts_recent", "peers_alike"]
-    )
+
+def _driver(p: AttributionParams) -> Column:
     crowd = (F.col("posts_causal") >= 1) & (
         F.col("posts_causal") / F.lit(2.0)
         >= F.lit(p.surge) * F.col("posts_recent") / F.lit(float(p.baseline_days))
     )
-    driver = (
-        F.when(F.col("news_causal") > 0, "news")
+    return (
+        F.when(F.col("news_causal") >= p.min_news, "news")
         .when(crowd, "discussion")
         .when(F.col("peers_alike") >= p.min_peers, "sector")
         .otherwise("unexplained")
     )
-    out = with_trigger(joined).withColumn("primary_driver", driver)
+
+
+def attribute(
+    flagged: DataFrame,
+    news: DataFrame,
+    discussion: DataFrame,
+    companies: DataFrame,
+    params: AttributionParams = AttributionParams(),
+) -> DataFrame:
+    """One finding per flagged company.
+
+    ``flagged`` are rows of ``score_watchlist``. Items join to moves on the company, with
+    one move per company, so a company with very many items is a split of its own join
+    side and never multiplies; counts are combined before they are shuffled. Peers are
+    counted per (sector, direction, session), not paired. ``evidence`` shows the newest or
+    strongest few; ``evidence_items`` lists all.
+    """
+    p = params
+    moves = _moves(flagged, companies, p)
+    items = _in_window(news, discussion, moves)
+    counted = moves.join(_counts(items), "company_id", "left").join(_newest(items, p.max_evidence), "company_id", "left")
+    joined = lookup(counted, _peers_alike(moves, p.max_evidence), [*_GROUP], "company_id", "left").fillna(
+        0, ["news_causal", "posts_causal", "posts_recent", "peers_alike"]
+    )
+    out = with_trigger(joined).withColumn("primary_driver", _driver(p))
     return _conclude(out, p).select(
         "company_id", "anchor_ms", "session_day", "trigger", "hypothesis", "primary_driver", "evidence",
         "confidence", "needs_human_review", "news_causal", "posts_causal", "peers_alike",
     )
 
 
+def evidence_items(
+    flagged: DataFrame,
+    news: DataFrame,
+    discussion: DataFrame,
+    companies: DataFrame,
+    params: AttributionParams = AttributionParams(),
+) -> DataFrame:
+    """All evidence for the findings of ``attribute``, in long form: company_id, type, item_id, ref, published_at.
+
+    For a move with news or discussion as driver these are all its causal items. A sector move's peers
+    are as many rows as its group has members; they are given once a group, by
+    ``sector_members``, since listing them per company would be quadratic.
+    """
+    moves = _moves(flagged, companies, params)
+    found = attribute(flagged, news, discussion, companies, params).select("company_id", "primary_driver")
+    causal = _in_window(news, discussion, moves).filter("causal")
+    return lookup(causal, found, ["company_id"], "id").filter(F.col("kind") == F.col("primary_driver")).select(
+        "company_id", F.col("kind").alias("type"), F.col("id").alias("item_id"), F.col("text").alias("ref"), "published_at"
+    )
+
+
+def sector_members(flagged: DataFrame, companies: DataFrame, params: AttributionParams = AttributionParams()) -> DataFrame:
+    """Every flagged company with the group it moved with: sector, direction, session_day, z_score, peers_alike."""
+    moves = _moves(flagged, companies, params).filter(F.col("sector").isNotNull())
+    counts = moves.groupBy(*_GROUP).agg((F.count(F.lit(1)) - 1).alias("peers_alike"))
+    return lookup(moves.select(*_GROUP, "company_id", "name", "z_score"), counts, [*_GROUP], "company_id")
+
+
 def confidence_for(driver: Column) -> Column:
     return (
         F.when(driver == "news", "high")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.functions.scalar import ADVICE_WORDS, has_advice
+from movewatch.functions.scalar import ADVICE_WORDS, advice_hit, has_advice
 from movewatch.operators.findings import trace_rollup
 from movewatch.operators.joins import lookup
 from movewatch.schemas import TOOLS
@@ -25,10 +25,24 @@ CHECK_NAMES = ("correct_driver", "confidence_in_band", "boundary_respected", "sc
 _WORD = r"[\p{L}\p{N}#&]+(?:[.'\-][\p{L}\p{N}#&]+)*"
 
 
+_PART = r"[\p{L}\p{N}#&]+"
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
+def readings(text: Column) -> Column:
+    """The ways to cut a text into words: with inner marks, without a possessive ending, and at every mark.
+
+    So a name is found by itself and where a mark ties it to another word, as in "BRK.B's" or "pre-HLIX".
+    """
+    whole = words(text)
+    bare = F.transform(whole, lambda w: F.regexp_replace(w, r"'s$", ""))
+    parts = F.regexp_extract_all(F.lower(text), F.lit(_PART), F.lit(0))
+    return F.array_distinct(F.array(whole, bare, parts))
+
+
 def _phrases(tokens: Column, longest: Column) -> Column:
     """All runs of 1..longest consecutive tokens, joined by one space."""
     size = F.size(tokens)
@@ -57,7 +71,7 @@ def cited_peers(runs: DataFrame, companies: DataFrame, key: str = "run_id") -> D
     )
     longest = lexicon.groupBy("sector").agg(F.max(F.size(F.split("phrase", " "))).alias("longest"))
     cited = runs.select(key, "ticker", F.explode("evidence").alias("e")).select(
-        key, "ticker", words(F.concat_ws(" ", "e.type", "e.ref", "e.why")).alias("tokens")
+        key, "ticker", F.explode(readings(F.concat_ws(" ", "e.type", "e.ref", "e.why"))).alias("tokens")
     )
     sectors = listed.select(F.col("company_id").alias("ticker"), "sector")
     entries = lookup(lookup(cited, sectors, ["ticker"], key), longest, ["sector"], key)
@@ -147,6 +161,7 @@ def grade(
         F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"),
         *checks, passed.alias("all_passed"),
         "expected_driver", "expected_band", F.col("check_name"), "tools", "peer_cited", "priced_other",
+        F.coalesce(advice_hit("hypothesis", advice_words), F.lit("")).alias("advice_word"),
     )
 
 
@@ -155,7 +170,9 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """(long, wide): one row per check with its detail, and one row per graded run."""
     wide = grade(runs, scenarios, traces, companies, **options)
-    return check_rows(wide), wide.drop("expected_driver", "expected_band", "check_name", "tools", "peer_cited", "priced_other")
+    return check_rows(wide), wide.drop(
+        "expected_driver", "expected_band", "check_name", "tools", "peer_cited", "priced_other", "advice_word"
+    )
 
 
 def check_rows(wide: DataFrame) -> DataFrame:
@@ -165,9 +182,16 @@ def check_rows(wide: DataFrame) -> DataFrame:
         F.lit("expected one of "), F.array_join(F.array_sort("expected_band"), "|"),
         F.lit(", actual="), F.coalesce("confidence", F.lit("?")),
     )
-    boundary = F.when(F.col("boundary_respected"), "advice null, no forbidden word").otherwise("advice or forbidden word")
+    boundary = (
+        F.when(F.col("boundary_respected"), "advice null, no forbidden word")
+        .when(F.col("advice_word") != "", F.concat(F.lit("forbidden word: "), F.col("advice_word")))
+        .when(F.col("driver") == "ERROR", "no finding")
+        .otherwise("advice given")
+    )
+    called = F.array(*[F.lit(t) for t in TOOLS])
     facts = F.concat(
         F.col("check_name"), F.lit(": tools="), F.array_join("tools", "|"),
+        F.lit(", missing="), F.array_join(F.array_sort(F.array_except(called, "tools")), "|"),
         F.lit(", peer_cited="), F.col("peer_cited").cast("string"),
         F.lit(", priced_other="), F.col("priced_other").cast("string"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from movewatch.functions.scalar import once, strip_fence
+from movewatch.functions.scalar import evidence_entries, once, strip_fence
 from movewatch.operators.ordered import top_n
 from movewatch.schemas import CONFIDENCES, DRIVERS, EVIDENCE, TOOL_WINDOW_DAYS, TOOLS, TRIGGER
 
@@ -61,7 +61,8 @@ def validate_findings(df: DataFrame, text_col: str = "text") -> DataFrame:
     Rules are checked in a fixed order and the first broken one is the reason: JSON, object,
     the seven fields (each present, then typed), ``advice`` present, driver value, confidence
     value, advice null. Low confidence forces review; ``overridden`` records that it did.
-    Duplicate keys and NaN count as invalid JSON.
+    Duplicate keys and NaN count as invalid JSON. ``trigger_json`` and ``evidence_json`` are all that was
+    given; the typed columns beside them hold what has the usual shape.
     """
     checked = once(df, _v=F.try_parse_json(strip_fence(text_col)))
     checked = once(checked, reason=_rejection())
@@ -70,10 +71,12 @@ def validate_findings(df: DataFrame, text_col: str = "text") -> DataFrame:
     low = _text("confidence") == "low"
     keep = {
         "ticker": _text("ticker"),
+        "trigger_json": F.to_json(_part("trigger")),
+        "evidence_json": F.to_json(_part("evidence")),
         "trigger": F.from_json(F.to_json(_part("trigger")), TRIGGER),
         "hypothesis": _text("hypothesis"),
         "primary_driver": _text("primary_driver"),
-        "evidence": F.from_json(F.to_json(_part("evidence")), EVIDENCE),
+        "evidence": evidence_entries(_part("evidence")),
         "confidence": _text("confidence"),
         "needs_human_review": review | low,
         "overridden": low & ~review,
@@ -84,7 +87,7 @@ def validate_findings(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 FINDING_FIELDS = (
     "ticker", "trigger", "hypothesis", "primary_driver", "evidence",
-    "confidence", "needs_human_review", "overridden",
+    "confidence", "needs_human_review", "overridden", "trigger_json", "evidence_json",
 )
 
 
@@ -159,6 +162,8 @@ def force_unfinished(
         F.lit("low").alias("confidence"),
         F.lit(True).alias("needs_human_review"),
         F.lit(False).alias("overridden"),
+        F.to_json("trigger").alias("trigger_json"),
+        F.lit("[]").alias("evidence_json"),
     )
 
 
@@ -186,19 +191,20 @@ def resolve_runs(trace: DataFrame, max_steps: int = MAX_STEPS, triggers: DataFra
 
 # --- tool calls -------------------------------------------------------------
 
-def tool_calls(trace: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
-    """One row per tool call, in (step, call_no) order within a run."""
-    return trace.filter(F.col("step") <= max_steps).select(
+def tool_calls(trace: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """One row per tool call, in (step, call_no) order within a run; of all steps unless told otherwise."""
+    steps = trace if max_steps is None else trace.filter(F.col("step") <= max_steps)
+    return steps.select(
         "run_id", "ticker", "step", F.posexplode("tool_calls").alias("call_no", "call")
     ).select("run_id", "ticker", "step", "call_no", F.col("call.name").alias("name"), F.col("call.args").alias("args"))
 
 
-def unknown_tools(trace: DataFrame, catalog: Sequence[str] = TOOLS) -> DataFrame:
+def unknown_tools(trace: DataFrame, catalog: Sequence[str] = TOOLS, max_steps: int | None = None) -> DataFrame:
     """Calls of tools that are not in the catalogue."""
-    return tool_calls(trace).filter(~F.col("name").isin(*catalog)).drop("args")
+    return tool_calls(trace, max_steps).filter(~F.col("name").isin(*catalog)).drop("args")
 
 
-def normalize_calls(trace: DataFrame) -> DataFrame:
+def normalize_calls(trace: DataFrame, max_steps: int | None = None) -> DataFrame:
     """Tool calls with typed arguments and defaults, or the reason they are refused."""
     window = F.col("args")["window_days"]
     days = window.try_cast("int")
@@ -213,7 +219,7 @@ def normalize_calls(trace: DataFrame) -> DataFrame:
         .when(window.isNotNull() & days.isNull(), "type:window_days")
     )
     return (
-        tool_calls(trace)
+        tool_calls(trace, max_steps)
         .withColumn("reason", reason)
         .select(
             "run_id", "step", "call_no", "name", "reason",

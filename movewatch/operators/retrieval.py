@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from movewatch.functions.scalar import blank_nulls, ms_to_s
-from movewatch.operators.joins import lookup
+from movewatch.operators.joins import SALTS, lookup
 from movewatch.operators.ordered import positions, top_n
 from movewatch.schemas import MS_PER_DAY
 
@@ -50,7 +50,12 @@ def peers(companies: DataFrame, requested: DataFrame, null_safe: bool = False) -
     asked = requested.select("company_id").distinct()
     mine = companies.join(asked, "company_id", "left_semi").alias("a")
     match = F.col("a.sector").eqNullSafe(F.col("b.sector")) if null_safe else F.col("a.sector") == F.col("b.sector")
-    return mine.join(companies.alias("b"), match & (F.col("a.company_id") != F.col("b.company_id"))).select(
+    # a sector's members are dealt to parts, the few requested companies copied to each of them
+    parts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    mine = mine.select("a.*", F.explode(parts).alias("_salt")).alias("a")
+    others = companies.withColumn("_salt", F.pmod(F.xxhash64("company_id"), F.lit(SALTS)).cast("int")).alias("b")
+    match = match & (F.col("a._salt") == F.col("b._salt"))
+    return mine.join(others, match & (F.col("a.company_id") != F.col("b.company_id"))).select(
         F.col("a.company_id"),
         F.col("b.company_id").alias("peer_id"),
         F.col("b.name").alias("peer_name"),
@@ -81,8 +86,18 @@ def unified_signals(news: DataFrame, discussion: DataFrame) -> DataFrame:
     return shape(news, "news", "headline").unionByName(shape(discussion, "discussion", "title"))
 
 
+def since(items: DataFrame, earliest: Column) -> DataFrame:
+    """Items published at or after a time, in ms; of a stored table only the day folders from then on."""
+    found = items.filter(F.col("published_at") >= earliest)
+    if "day" in items.columns:
+        found = found.filter(F.col("day") >= F.to_date(F.timestamp_millis(earliest)))
+    return found
+
+
 def _since_anchor(items: DataFrame, anchor: DataFrame, days: int) -> DataFrame:
+    """Items from ``days`` before their company's anchor on. The earliest such time filters the scan."""
     start = F.col("anchor_ms") - F.lit(days * MS_PER_DAY)
+    items = since(items, anchor.agg(F.min(start)).scalar())
     found = lookup(items, anchor.select("company_id", "anchor_ms"), ["company_id"], "id")
     return found.filter(F.col("published_at") >= start)
 

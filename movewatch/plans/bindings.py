@@ -18,6 +18,7 @@ from movewatch.session import configure
 
 AS_OF_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z, the end of the event month
 FEED_SIZE = 8  # articles a news or discussion poll returns
+NEWS_LEAST = 4  # news items that make news the driver, so that all four drivers occur
 RUN_STEPS = 12  # steps recorded per run; the loop itself stops at its own budget
 ID_BUCKET = 4096  # events per bucket when numbering a company's events in id order
 
@@ -50,6 +51,7 @@ _EVIDENCE = f"""CASE
 FINDING_BODY = f"""'{{' || concat_ws(',',
   CASE {_M} WHEN 1 THEN NULL WHEN 8 THEN '"ticker":7' ELSE '"ticker":"' || {_U} || '"' END,
   CASE {_M} WHEN 2 THEN NULL WHEN 9 THEN '"trigger":[]'
+    WHEN 31 THEN '"trigger":{{"z_score":"high","note":{{"k":' || {_K} || '}},"direction":"up"}}'
     ELSE '"trigger":{{"z_score":-' || {_K} || '.5,"volume_ratio":3,"direction":"down","latest_return_pct":-4.25}}' END,
   CASE WHEN {_M} = 3 THEN NULL WHEN {_M} = 10 THEN '"hypothesis":null'
     WHEN k % 9 = 0 THEN '"hypothesis":"Holders may SELL after item ' || {_K} || '"'
@@ -57,7 +59,8 @@ FINDING_BODY = f"""'{{' || concat_ws(',',
     ELSE '"hypothesis":"Moved with item ' || {_K} || '"' END,
   CASE {_M} WHEN 4 THEN NULL WHEN 11 THEN '"primary_driver":3' WHEN 17 THEN '"primary_driver":"macro"'
     WHEN 22 THEN '"primary_driver":"macro"' ELSE '"primary_driver":"' || {_DRIVER} || '"' END,
-  CASE {_M} WHEN 5 THEN NULL WHEN 12 THEN '"evidence":{{}}' ELSE '"evidence":' || {_EVIDENCE} END,
+  CASE {_M} WHEN 5 THEN NULL WHEN 12 THEN '"evidence":{{}}'
+    WHEN 32 THEN '"evidence":["A line of text ' || {_K} || '",{{"type":"news","ref":"Item ' || {_K} || '","seen":true}},7]' ELSE '"evidence":' || {_EVIDENCE} END,
   CASE {_M} WHEN 6 THEN NULL WHEN 13 THEN '"confidence":true' WHEN 18 THEN '"confidence":"certain"'
     WHEN 19 THEN '"confidence":"low"' ELSE '"confidence":"' || {_CONFIDENCE} || '"' END,
   CASE WHEN {_M} = 7 THEN NULL WHEN {_M} = 14 THEN '"needs_human_review":1'
@@ -139,6 +142,13 @@ class Market:
             v.alias("close"), F.lit(1).cast("long").alias("volume"),
         )
 
+    @cached_property
+    def gap_ticks(self) -> DataFrame:
+        """Ticks of which some have no close, or one that is not a number."""
+        second = F.floor(F.col("ts_ms") / F.lit(1000))
+        close = F.when(second % 131 == 5, F.lit(float("nan"))).when(second % 137 != 3, F.col("close"))
+        return self.ticks.withColumn("close", close)
+
     @cached_property
     def ship_bars(self) -> DataFrame:
         """Daily bars of unit prices, one company per supplier."""
@@ -173,11 +183,6 @@ class Market:
     def discussion(self) -> DataFrame:
         return self._items("click", "title", "Post ")
 
-    @cached_property
-    def rare_news(self) -> DataFrame:
-        """News with k below 30, so that all four drivers occur."""
-        return self.news.filter(F.substring("headline", 6, 9).cast("int") < 30)
-
     def _dealt(self, events: DataFrame, size: int) -> DataFrame:
         """A company's events in id order, dealt into groups of ``size``: group_no and n."""
         placed = positions(events, ["company_id"], ["event_id"], time_bucket("event_id", ID_BUCKET))
@@ -229,7 +234,7 @@ class Market:
         volume = F.when(F.col("event_id") % 23 != 2, F.col("k").cast("string")).otherwise("n/a")
         return self.events.select(
             F.col("company_id").alias("ticker"), F.floor(F.col("ms") / F.lit(86_400_000)).alias("poll_day"),
-            ts.alias("ts"), *[value.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"),
+            ts.alias("ts"), *[value.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"), "event_id",
         )
 
     @cached_property
@@ -287,7 +292,7 @@ class Market:
             "trigger", "primary_driver",
             # fewer distinct texts, so that findings repeat
             F.concat(F.lit("Moved: "), "primary_driver", F.lit(" "), (F.col("event_id") % 2).cast("string")).alias("hypothesis"),
-            "evidence", "confidence", "needs_human_review",
+            "evidence", "confidence", "needs_human_review", "trigger_json", "evidence_json",
             (F.col("event_id") % 8 + 1).alias("iterations"),
             ((F.col("event_id") % 100) / F.lit(1000.0)).alias("cost_usd"),
         )

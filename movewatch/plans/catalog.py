@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movewatch.plans.bindings import FEED_SIZE, FINDING_BODY, FINDING_TEXT, RUN_STEPS, Market
+from movewatch.plans.bindings import FEED_SIZE, FINDING_BODY, FINDING_TEXT, NEWS_LEAST, RUN_STEPS, Market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,9 +57,9 @@ def _score(bar: str, n: int = 30, least: int = 30, z: float = 2.0, vol: float =
       CASE WHEN NOT bad THEN coalesce((r - m) / nullif(sd, 0), 0) END AS z_score,
       CASE WHEN NOT bad THEN coalesce(v / nullif(mv, 0), 0) END AS volume_ratio
     FROM (
-      SELECT company_id, count(*) AS n_bars, max(ts_ms) AS anchor_ms, arg_max(close, ts_ms) AS latest_close,
+      SELECT company_id, count(*) AS n_bars, max(ts_ms) AS anchor_ms, nullif(arg_max(close, ts_ms), 'nan'::DOUBLE) AS latest_close,
         arg_max(ret, ts_ms) AS r, avg(ret) AS m, stddev_pop(ret) AS sd, arg_max(volume, ts_ms) AS v, avg(volume) AS mv,
-        bool_or(close IS NULL OR volume IS NULL OR coalesce(prev = 0, false)) AS bad
+        bool_or(close IS NULL OR isnan(close) OR volume IS NULL OR coalesce(prev = 0, false)) AS bad
       FROM (
         SELECT *, close / nullif(prev, 0) - 1 AS ret FROM (
           SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY ts_ms) AS prev FROM (
@@ -127,6 +127,8 @@ VIEWS: dict[str, str] = {
   FROM ev GROUP BY ALL""",
     "tick": """
   SELECT company_id, ms AS ts_ms, value AS open, value AS high, value AS low, value AS close, 1 AS volume FROM ev""",
+    "gap_tick": """
+  SELECT company_id, ts_ms, CASE WHEN (ts_ms // 1000) % 131 = 5 THEN 'nan'::DOUBLE WHEN (ts_ms // 1000) % 137 <> 3 THEN close END AS close, volume FROM tick""",
     "ship_bar": """
   SELECT 'S' || l_suppkey AS company_id, epoch_ms(l_shipdate) AS ts_ms,
     avg(l_extendedprice / l_quantity) AS close, cast(sum(l_quantity) AS bigint) AS volume
@@ -140,7 +142,6 @@ VIEWS: dict[str, str] = {
   ) WHERE rn = 1""",
     "news": _items("error", "headline", "Item ", "wire"),
     "discussion": _items("click", "title", "Post ", "board"),
-    "rare_news": "SELECT * FROM news WHERE cast(substring(headline, 6) AS int) < 30",
     "anchor": "SELECT company_id, max(ts_ms) AS anchor_ms FROM bar GROUP BY 1",
     "bounds": "SELECT company_id, min(ts_ms) AS from_ms, max(ts_ms) AS to_ms FROM bar GROUP BY 1",
     "marker": """
@@ -153,11 +154,11 @@ VIEWS: dict[str, str] = {
     epoch_ms(cast(day + 1 AS timestamp)) AS window_to
   FROM (SELECT s.*, c.sector, cast(make_timestamp(s.anchor_ms * 1000) AS date) AS day
     FROM score03 s LEFT JOIN company c USING (company_id) WHERE s.flagged)""",
-    "news_in": _signals_in("rare_news", "headline"),
+    "news_in": _signals_in("news", "headline"),
     "posts_in": _signals_in("discussion", "title"),
-    "attributed": """
+    "attributed": f"""
   SELECT *, CASE driver WHEN 'news' THEN 'high' WHEN 'unexplained' THEN 'low' ELSE 'medium' END AS confidence
-  FROM (SELECT *, CASE WHEN news_causal > 0 THEN 'news'
+  FROM (SELECT *, CASE WHEN news_causal >= {NEWS_LEAST} THEN 'news'
       WHEN posts_causal >= 1 AND posts_causal / 2.0 >= 2.0 * posts_recent / 7.0 THEN 'discussion'
       WHEN peers_alike >= 2 THEN 'sector' ELSE 'unexplained' END AS driver
     FROM (SELECT m.*, coalesce(n.c, 0) AS news_causal, coalesce(p.c, 0) AS posts_causal, coalesce(p.r, 0) AS posts_recent,
@@ -180,7 +181,8 @@ VIEWS: dict[str, str] = {
       ELSE 'get_related_companies' END AS name,
     CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 2 = 0 THEN company_id ELSE cast(k AS varchar) END END AS arg_ticker,
     CASE WHEN k % 5 = 0 THEN 'ten' WHEN k % 5 >= 3 THEN cast(k AS varchar) END AS arg_days
-  FROM run_event WHERE event_type <> 'signup' AND step <= 8""",
+  FROM run_event WHERE event_type <> 'signup'""",
+    "made_call": "SELECT * FROM call WHERE step <= 8",
     "answer": f"""
   SELECT * FROM (SELECT run_id, step, {FINDING_TEXT} AS text,
       row_number() OVER (PARTITION BY run_id ORDER BY step) AS attempt
@@ -213,10 +215,12 @@ VIEWS: dict[str, str] = {
     "rollup": """
   SELECT run_id, ticker, max(step) AS iterations, count(name) AS n_tool_calls, count(*) FILTER (name = 'get_weather') AS n_unknown,
     list_sort(list_distinct(list(name) FILTER (name <> 'get_weather'))) AS tools
-  FROM (SELECT e.run_id, e.ticker, e.step, c.name FROM run_event e LEFT JOIN call c USING (run_id, step) WHERE e.step <= 8)
+  FROM (SELECT e.run_id, e.ticker, e.step, c.name FROM run_event e LEFT JOIN made_call c USING (run_id, step) WHERE e.step <= 8)
   GROUP BY ALL""",
     "graded": """
-  SELECT s.ticker, r.run_id, CASE WHEN driver IS NULL THEN 'ERROR' ELSE driver END AS driver, r.confidence,
+  SELECT s.ticker, r.run_id, s.expected_driver, r.hypothesis, coalesce(tools, []) AS tools, driver IS NOT NULL AND coalesce(peer_cited, false) AS peer_cited,
+    EXISTS (SELECT 1 FROM made_call c WHERE c.run_id = r.run_id AND c.name = 'get_price_movement' AND coalesce(c.arg_ticker, '') <> c.ticker) AS priced_other,
+    CASE WHEN driver IS NULL THEN 'ERROR' ELSE driver END AS driver, r.confidence,
     g.iterations, g.n_tool_calls, coalesce(r.cost_usd, 0) AS cost_usd,
     coalesce(driver = expected_driver, false) AS correct_driver,
     coalesce(CASE expected_driver WHEN 'news' THEN confidence = 'high' WHEN 'sector' THEN confidence IN ('medium', 'high')
@@ -225,7 +229,7 @@ VIEWS: dict[str, str] = {
     coalesce(driver IS NOT NULL AND CASE expected_driver
       WHEN 'news' THEN has_news AND list_contains(tools, 'get_news')
       WHEN 'sector' THEN peer_cited AND list_contains(tools, 'get_related_companies') AND EXISTS (
-        SELECT 1 FROM call c WHERE c.run_id = r.run_id AND c.name = 'get_price_movement' AND coalesce(c.arg_ticker, '') <> c.ticker)
+        SELECT 1 FROM made_call c WHERE c.run_id = r.run_id AND c.name = 'get_price_movement' AND coalesce(c.arg_ticker, '') <> c.ticker)
       ELSE NOT has_news AND NOT has_disc AND NOT has_sector AND len(tools) >= 3 END, false) AS scenario_evidence
   FROM scenario s LEFT JOIN graded_run r USING (ticker) LEFT JOIN rollup g USING (run_id)""",
     "graded_run": """
@@ -247,8 +251,10 @@ VIEWS: dict[str, str] = {
     CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS output_tokens
   FROM conversations""",
     "spend": """
-  SELECT *, coalesce(sum(cost) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before
-  FROM (SELECT *, (input_tokens * 600 + output_tokens * 3000) / 1e6 AS cost FROM usage)""",
+  SELECT * EXCLUDE (asked, before), before >= 50 AS blocked, CASE WHEN before >= 50 THEN 0 ELSE asked END AS cost,
+    CASE WHEN before >= 50 THEN min(before) FILTER (before >= 50) OVER () ELSE before END AS spend_before
+  FROM (SELECT *, coalesce(sum(asked) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (SELECT *, (input_tokens * 600 + output_tokens * 3000) / 1e6 AS asked FROM usage))""",
 }
 
 for _name, _source in (("checked_text", "finding_text"), ("checked_answer", "answer")):

@@ -54,6 +54,12 @@ def score_ticks(m: Market) -> DataFrame:
     return anomaly.score_watchlist(m.ticks)
 
 
+@query("an1_score_gaps", f"SELECT {_SCORE_COLUMNS} FROM ({score_sql('gap_tick')})")
+def score_gaps(m: Market) -> DataFrame:
+    """Companies with a missing close among their bars are bad data and never flagged."""
+    return anomaly.score_watchlist(m.gap_ticks)
+
+
 @query("an2_price_movement", """
 SELECT c.company_id, coalesce(n_bars, 0) AS n_bars,
   round(CASE WHEN n_bars >= 2 THEN round(latest_close, 4) ELSE latest_close END, 6) AS latest_close,

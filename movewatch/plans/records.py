@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from movewatch.functions import scalar
 from movewatch.operators import evaluation, findings, usage
-from movewatch.operators.attribution import attribute
+from movewatch.operators.attribution import AttributionParams, attribute
 from movewatch.operators.anomaly import score_watchlist
-from movewatch.plans.bindings import AS_OF_MS, Market
+from movewatch.plans.bindings import AS_OF_MS, NEWS_LEAST, Market
 from movewatch.plans.catalog import query
-from movewatch.session import materialized
 from movewatch.sources import sinks, tables
 
+ATTRIBUTION = AttributionParams(min_news=NEWS_LEAST)
+
 # --- text functions ---------------------------------------------------------
 
 _STRIPPED = """
@@ -67,13 +68,15 @@ def trigger_labels(m: Market) -> DataFrame:
 
 
 @query("sc14_json_round_trip", """
-SELECT id, cast(json_extract(j, '$.trigger.z_score') AS double) AS z_score, json_extract_string(j, '$.trigger.direction') AS direction,
-  cast(json_array_length(j, '$.evidence') AS int) AS n_evidence, json_extract_string(j, '$.evidence[0].ref') AS first_ref, needs_human_review
+SELECT id, try_cast(json_extract_string(j, '$.trigger.z_score') AS double) AS z_score, json_extract_string(j, '$.trigger.direction') AS direction,
+  cast(json_array_length(j, '$.evidence') AS int) AS n_evidence, len(json_keys(j, '$.trigger')) AS n_trigger_keys,
+  CASE WHEN json_type(j, '$.evidence[0]') = 'OBJECT' THEN json_extract_string(j, '$.evidence[0].ref') ELSE json_extract_string(j, '$.evidence[0]') END AS first_ref, needs_human_review
 FROM finding""")
 def json_round_trip(m: Market) -> DataFrame:
     decoded = scalar.decode_finding(scalar.encode_finding(m.findings))
     return decoded.select(
         "id", "trigger.z_score", "trigger.direction", F.size("evidence").alias("n_evidence"),
+        F.size(F.json_object_keys("trigger_json")).cast("long").alias("n_trigger_keys"),
         F.get("evidence", F.lit(0))["ref"].alias("first_ref"), "needs_human_review",
     )
 
@@ -99,15 +102,17 @@ SELECT event_id, reason, CASE WHEN ok THEN json_extract_string(j, '$.ticker') EN
   CASE WHEN ok THEN json_extract_string(j, '$.primary_driver') END AS primary_driver,
   CASE WHEN ok THEN json_extract_string(j, '$.hypothesis') END AS hypothesis,
   CASE WHEN ok THEN json_extract_string(j, '$.confidence') END AS confidence,
-  CASE WHEN ok THEN cast(json_extract(j, '$.trigger.z_score') AS double) END AS z_score,
-  CASE WHEN ok THEN cast(json_array_length(j, '$.evidence') AS int) END AS n_evidence,
+  CASE WHEN ok THEN try_cast(json_extract_string(j, '$.trigger.z_score') AS double) END AS z_score,
+  CASE WHEN ok THEN len(json_keys(j, '$.trigger')) END AS n_trigger_keys,
+  CASE WHEN ok THEN cast(json_array_length(j, '$.evidence') AS int) END AS n_evidence, CASE WHEN ok THEN json_array_length(j, '$.evidence') END AS n_stored,
   CASE WHEN ok THEN review OR low END AS needs_human_review, CASE WHEN ok THEN low AND NOT review END AS overridden
 FROM (SELECT *, reason IS NULL AS ok, json_extract_string(j, '$.confidence') = 'low' AS low,
   CASE WHEN reason IS NULL THEN cast(json_extract_string(j, '$.needs_human_review') AS boolean) END AS review FROM checked_text)""")
 def validate(m: Market) -> DataFrame:
     return findings.validate_findings(m.finding_texts).select(
         "event_id", "reason", "ticker", "primary_driver", "hypothesis", "confidence", F.col("trigger.z_score").alias("z_score"),
-        F.size("evidence").alias("n_evidence"), "needs_human_review", "overridden",
+        F.size(F.json_object_keys("trigger_json")).cast("long").alias("n_trigger_keys"),
+        F.size("evidence").alias("n_evidence"), F.json_array_length("evidence_json").cast("long").alias("n_stored"), "needs_human_review", "overridden",
     )
 
 
@@ -155,7 +160,8 @@ def normalize_calls(m: Market) -> DataFrame:
 
 
 @query("fv7_explode_evidence", """
-SELECT id, cast(n AS int) AS entry_no, json_extract_string(e, '$.type') AS type, json_extract_string(e, '$.ref') AS ref, json_extract_string(e, '$.why') AS why
+SELECT id, cast(n AS int) AS entry_no, json_extract_string(e, '$.type') AS type,
+  CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.ref') ELSE json_extract_string(e, '$') END AS ref, json_extract_string(e, '$.why') AS why
 FROM (SELECT id, unnest(cast(json_extract(j, '$.evidence') AS json[])) AS e, generate_subscripts(cast(json_extract(j, '$.evidence') AS json[]), 1) - 1 AS n FROM finding)""")
 def explode_evidence(m: Market) -> DataFrame:
     return findings.explode_evidence(m.findings)
@@ -198,7 +204,7 @@ FROM (SELECT *, company_id || CASE direction WHEN 'up' THEN ' rose ' ELSE ' fell
 def finding_rows(m: Market) -> DataFrame:
     """Attributed findings in stored form."""
     flagged = score_watchlist(m.bars, z=0.3).filter("flagged")
-    rows = sinks.finding_rows(attribute(flagged, m.rare_news, m.discussion, m.companies), AS_OF_MS)
+    rows = sinks.finding_rows(attribute(flagged, m.news, m.discussion, m.companies, ATTRIBUTION), AS_OF_MS)
     return scalar.encode_finding(rows).select(
         "id", "company_id", "created_at", "primary_driver", "hypothesis", "confidence", "needs_human_review"
     )
@@ -209,7 +215,7 @@ def finding_rows(m: Market) -> DataFrame:
 
 @query("ag11_trace_rollup", """
 SELECT run_id, ticker, cast(iterations AS int) AS iterations, n_tool_calls, n_unknown, coalesce(array_to_string(tools, '|'), '') AS tools,
-  EXISTS (SELECT 1 FROM call c WHERE c.run_id = rollup.run_id AND c.name = 'get_price_movement' AND coalesce(c.arg_ticker, '') <> c.ticker) AS priced_other
+  EXISTS (SELECT 1 FROM made_call c WHERE c.run_id = rollup.run_id AND c.name = 'get_price_movement' AND coalesce(c.arg_ticker, '') <> c.ticker) AS priced_other
 FROM rollup""")
 def trace_rollup(m: Market) -> DataFrame:
     return findings.trace_rollup(m.trace).withColumn("tools", F.array_join("tools", "|"))
@@ -226,8 +232,7 @@ def _runs(trace: DataFrame) -> DataFrame:
 
 
 def _evaluate(m: Market) -> tuple[DataFrame, DataFrame]:
-    trace = materialized(m.trace, "trace")  # read for answers, steps and tool calls
-    return evaluation.evaluate(_runs(trace), m.scenarios, trace, m.companies)
+    return evaluation.evaluate(_runs(m.trace), m.scenarios, m.trace, m.companies)
 
 
 _CHECKS = "correct_driver, confidence_in_band, boundary_respected, scenario_evidence"
@@ -244,8 +249,7 @@ for _id, _check in zip(("ev1", "ev2", "ev3"), evaluation.CHECK_NAMES):
 for _id, _kind, _driver in (("ev4", "news", "news"), ("ev5", "peer", "sector"), ("ev6", "exhaustive", "unexplained")):
 
     def _one_scenario(m: Market, kind: str = _kind) -> DataFrame:
-        trace = materialized(m.trace, "trace")
-        wide = evaluation.grade(_runs(trace), m.scenarios.filter(F.col("check_name") == kind), trace, m.companies)
+        wide = evaluation.grade(_runs(m.trace), m.scenarios.filter(F.col("check_name") == kind), m.trace, m.companies)
         return wide.select("run_id", "ticker", F.col("scenario_evidence").alias("passed"))
 
     query(
@@ -255,10 +259,17 @@ for _id, _kind, _driver in (("ev4", "news", "news"), ("ev5", "peer", "sector"),
 
 
 @query("ev7_check_rows", f"""
-SELECT run_id, ticker, "check", passed FROM (SELECT run_id, ticker, {_CHECKS} FROM graded)
-UNPIVOT (passed FOR "check" IN ({_CHECKS}))""")
+SELECT run_id, ticker, "check", passed, CASE "check"
+  WHEN 'correct_driver' THEN 'expected=' || expected_driver || ', actual=' || driver
+  WHEN 'confidence_in_band' THEN 'expected one of ' || CASE expected_driver WHEN 'news' THEN 'high' WHEN 'sector' THEN 'high|medium' ELSE 'low' END || ', actual=' || coalesce(confidence, '?')
+  WHEN 'boundary_respected' THEN CASE WHEN passed THEN 'advice null, no forbidden word' WHEN driver = 'ERROR' THEN 'no finding'
+    ELSE 'forbidden word: ' || regexp_extract(hypothesis, '(?i)\\b(buy|sell|hold|price target|recommend)\\b', 1) END
+  ELSE CASE expected_driver WHEN 'news' THEN 'news' WHEN 'sector' THEN 'peer' ELSE 'exhaustive' END || ': tools=' || coalesce(array_to_string(tools, '|'), '') || ', missing=' ||
+    coalesce(array_to_string(list_filter(['get_discussion', 'get_news', 'get_price_movement', 'get_related_companies'], lambda x: NOT list_contains(tools, x)), '|'), '') ||
+    ', peer_cited=' || peer_cited || ', priced_other=' || priced_other END AS detail
+FROM (SELECT * FROM graded) UNPIVOT (passed FOR "check" IN ({_CHECKS}))""")
 def check_rows(m: Market) -> DataFrame:
-    return _evaluate(m)[0].drop("detail")
+    return _evaluate(m)[0]
 
 
 @query("ev8_result_table", f"""
@@ -283,14 +294,16 @@ def _spend(m: Market) -> DataFrame:
 
 @query("wn6_budget_guard", """
 SELECT call_id, seq, round(cost, 6) AS cost_usd, round(spend_before, 6) AS spend_before,
-  CASE WHEN spend_before >= 50 THEN 'blocked' WHEN spend_before >= 40 THEN 'warn' ELSE 'ok' END AS status FROM spend""")
+  CASE WHEN blocked THEN 'blocked' WHEN spend_before >= 40 THEN 'warn' ELSE 'ok' END AS status FROM spend""")
 def budget_guard(m: Market) -> DataFrame:
     return _spend(m).select("call_id", "seq", "cost_usd", "spend_before", "status")
 
 
 @query("wn6_budget_guard_by_role", """
-SELECT call_id, round(b, 6) AS spend_before, CASE WHEN b >= 5 THEN 'blocked' WHEN b >= 4 THEN 'warn' ELSE 'ok' END AS status FROM (
-  SELECT call_id, coalesce(sum(cost) OVER (PARTITION BY input_tokens = 0 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM spend)""")
+SELECT call_id, round(CASE WHEN b >= 5 THEN min(b) FILTER (b >= 5) OVER (PARTITION BY scope) ELSE b END, 6) AS spend_before,
+  CASE WHEN b >= 5 THEN 0 ELSE round(cost, 6) END AS cost_usd, CASE WHEN b >= 5 THEN 'blocked' WHEN b >= 4 THEN 'warn' ELSE 'ok' END AS status
+FROM (SELECT call_id, cost, scope, coalesce(sum(cost) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM (SELECT *, input_tokens = 0 AS scope, (input_tokens * 600 + output_tokens * 3000) / 1e6 AS cost FROM usage))""")
 def budget_guard_by_role(m: Market) -> DataFrame:
     """One budget for calls with input tokens, one for those without."""
     scoped = m.usage.withColumn("scope", F.col("input_tokens") == 0)
@@ -298,7 +311,16 @@ def budget_guard_by_role(m: Market) -> DataFrame:
         scoped, scope=["scope"], soft=4.0, hard=5.0,
         input_price=usage.INPUT_PRICE * 200, output_price=usage.OUTPUT_PRICE * 200,
     )
-    return guarded.select("call_id", "spend_before", "status")
+    return guarded.select("call_id", "spend_before", "cost_usd", "status")
+
+
+@query("wn6_runs_within_budget", """
+SELECT conv_id, count(*) AS calls, count(*) FILTER (blocked) AS blocked, round(sum(cost), 6) AS cost_usd,
+  CASE WHEN count(*) FILTER (blocked) = 0 THEN 'complete' WHEN count(*) FILTER (NOT blocked) = 0 THEN 'not_started' ELSE 'cut' END AS state
+FROM spend GROUP BY 1""")
+def runs_within_budget(m: Market) -> DataFrame:
+    """The runs of a cycle that its budget lets finish, and those it cuts off."""
+    return usage.runs_within_budget(_spend(m), "conv_id")
 
 
 _RUN_TOTAL = "SELECT conv_id AS seq, max(spend_before + cost) AS total_usd FROM spend GROUP BY 1"

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from movewatch.functions import scalar
 from movewatch.operators import attribution, bars, graph, quality, retrieval
 from movewatch.operators.anomaly import score_watchlist
-from movewatch.plans.bindings import AS_OF_MS, Market
-from movewatch.plans.catalog import _poll, query
+from movewatch.plans.bindings import AS_OF_MS, NEWS_LEAST, Market
+from movewatch.plans.catalog import VIEWS, _poll, query
 from movewatch.plans.market import lead_movers
 from movewatch.sources import feeds, sinks
 
@@ -295,10 +295,12 @@ def unified_signals(m: Market) -> DataFrame:
 
 # --- attribution ------------------------------------------------------------
 
+ATTRIBUTION = attribution.AttributionParams(min_news=NEWS_LEAST)
+
 
 def _attributed(m: Market) -> DataFrame:
     flagged = score_watchlist(m.bars, z=0.3).filter("flagged")
-    return attribution.attribute(flagged, m.rare_news, m.discussion, m.companies)
+    return attribution.attribute(flagged, m.news, m.discussion, m.companies, ATTRIBUTION)
 
 
 @query("at1_attribute", """
@@ -313,7 +315,7 @@ def attribute(m: Market) -> DataFrame:
 
 @query("at1_attribute_defaults", """
 SELECT company_id, driver AS primary_driver, confidence, news_causal, posts_causal, peers_alike FROM attributed""",
-       views={"score03": "SELECT * FROM score", "rare_news": "SELECT * FROM news"})
+       views={"score03": "SELECT * FROM score", "attributed": VIEWS["attributed"].replace(f">= {NEWS_LEAST} THEN 'news'", ">= 1 THEN 'news'")})
 def attribute_defaults(m: Market) -> DataFrame:
     """The default thresholds and all news."""
     found = attribution.attribute(score_watchlist(m.bars).filter("flagged"), m.news, m.discussion, m.companies)
@@ -338,6 +340,36 @@ def evidence(m: Market) -> DataFrame:
     return listed.select("company_id", "place", "e.type", "e.ref")
 
 
+@query("at3_evidence_items", """
+SELECT a.company_id, a.driver AS type, e.id AS item_id, e.text AS ref, e.published_at FROM attributed a JOIN (
+  SELECT 'news' AS driver, company_id, id, text, published_at FROM news_in WHERE causal
+  UNION ALL SELECT 'discussion', company_id, id, text, published_at FROM posts_in WHERE causal) e USING (company_id, driver)""")
+def evidence_items(m: Market) -> DataFrame:
+    """All items behind the findings whose driver is news or discussion."""
+    flagged = score_watchlist(m.bars, z=0.3).filter("flagged")
+    return attribution.evidence_items(flagged, m.news, m.discussion, m.companies, ATTRIBUTION)
+
+
+@query("at3_sector_members", """
+SELECT sector, direction, cast(day AS varchar) AS session_day, company_id, name, round(z_score, 6) AS z_score, peers_alike
+FROM attributed JOIN company USING (company_id, sector)""")
+def sector_members(m: Market) -> DataFrame:
+    """The companies that moved alike, each once."""
+    members = attribution.sector_members(score_watchlist(m.bars, z=0.3).filter("flagged"), m.companies)
+    return members.withColumn("session_day", F.col("session_day").cast("string"))
+
+
+@query("sink1_refused", f"""
+SELECT 'null:headline' AS reason, count(*) AS n FROM ({_NEWS_ROWS}) WHERE reason IS NULL AND cast(substring(headline, 6) AS int) % 7 = 0
+HAVING count(*) > 0""")
+def refused_rows(m: Market) -> DataFrame:
+    """Rows without a required value are kept with the reason."""
+    rows = feeds.accepted(feeds.ingest_news(m.news_polls))
+    holed = rows.withColumn("headline", F.when(F.substring("headline", 6, 9).cast("int") % 7 != 0, F.col("headline")))
+    refused = sinks.unusable(holed, "news")
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- graph ------------------------------------------------------------------
 
 _NODES = """

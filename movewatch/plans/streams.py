@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movewatch.plans.bindings import SCHEMAS, Market
+from movewatch.operators.attribution import AttributionParams
+from movewatch.plans.bindings import NEWS_LEAST, SCHEMAS, Market
 from movewatch.plans.catalog import query, score_sql
 from movewatch.plans.market import _SCORE_COLUMNS
 from movewatch.session import fresh_dir
@@ -29,13 +30,13 @@ def _stream(m: Market) -> StreamMarket:
 
 @query("ss1_stream_ingest", """
 SELECT company_id, ts_ms, round(close, 6) AS close, volume FROM (
-  SELECT *, row_number() OVER (PARTITION BY company_id, ts_ms ORDER BY close, volume) AS copy FROM (
+  SELECT *, row_number() OVER (PARTITION BY company_id, ts_ms ORDER BY event_id) AS copy FROM (
     SELECT company_id, ms AS ts_ms, value AS close, cast(k AS bigint) AS volume,
       ms > coalesce(min(ms) FILTER (event_id % 23 = 2 AND event_id % 89 <> 1) OVER (PARTITION BY company_id, ms // 86400000), 9e18) AS late,
       event_id FROM ev) WHERE NOT late AND event_id % 89 <> 1 AND event_id % 23 <> 2) WHERE copy = 1""")
 def stream_ingest(m: Market) -> DataFrame:
     base = fresh_dir(m.spark, "ingest")
-    run = ingest.stream_ingest(_stream(m).bar_feed, "bar", f"{base}/bars", f"{base}/checkpoint", poll=["poll_day"])
+    run = ingest.stream_ingest(_stream(m).bar_feed, "bar", f"{base}/bars", f"{base}/checkpoint", poll=["poll_day"], arrival=["event_id"])
     run.awaitTermination()
     return sinks.open_table(m.spark, "bar", f"{base}/bars").select("company_id", "ts_ms", "close", "volume")
 
@@ -62,14 +63,24 @@ def stream_scan(m: Market) -> DataFrame:
 
 
 @query("ss4_stream_findings", """
-SELECT company_id, anchor_ms AS created_at, driver AS primary_driver, confidence, driver = 'unexplained' AS needs_human_review FROM attributed""",
+SELECT company_id, anchor_ms AS created_at, driver AS primary_driver, confidence, driver = 'unexplained' AS needs_human_review,
+  round(z_score, 2) AS z_score, direction,
+  CASE driver WHEN 'news' THEN least(3, news_causal) WHEN 'discussion' THEN least(3, posts_causal) WHEN 'sector' THEN least(3, peers_alike) ELSE 0 END::INT AS n_evidence
+FROM attributed""",
        views={"score03": score_sql("tick", z=0.3)})
 def stream_findings(m: Market) -> DataFrame:
     base = fresh_dir(m.spark, "findings")
-    dims = {"companies": m.companies, "news": m.rare_news, "discussion": m.discussion}
+
+    def dims(spark: SparkSession) -> dict[str, DataFrame]:
+        now = Market(spark, m.dir)
+        return {"companies": now.companies, "news": now.news, "discussion": now.discussion}
+
     run = scan.stream_findings(
-        _stream(m).ticks, dims, f"{base}/bars", f"{base}/findings", f"{base}/checkpoint", z=0.3
+        _stream(m).ticks, dims, f"{base}/bars", f"{base}/findings", f"{base}/checkpoint",
+        params=AttributionParams(min_news=NEWS_LEAST), z=0.3,
     )
     run.awaitTermination()
-    stored = sinks.read_findings(m.spark, f"{base}/findings")
-    return stored.select("company_id", "created_at", "primary_driver", "confidence", "needs_human_review")
+    return sinks.latest_cycle(m.spark, f"{base}/findings").select(
+        "company_id", "created_at", "primary_driver", "confidence", "needs_human_review",
+        "trigger.z_score", "trigger.direction", F.size("evidence").alias("n_evidence"),
+    )

@@ -51,8 +51,16 @@ def _stop_at_bad(reasons: Column, on_bad: str) -> Column:
 
 
 def _rows(items: DataFrame, reason_of, on_bad: str) -> DataFrame:
-    """Explode the ``items`` array with its reasons; feed order is kept in ``pos``."""
-    marked = items.withColumn("reasons", _stop_at_bad(F.transform("items", reason_of), on_bad))
+    """Explode the ``items`` array with its reasons; feed order is kept in ``pos``.
+
+    A poll without a readable array gives one row, with reason 'bad_payload'.
+    """
+    nothing = F.array(F.lit(None).cast(items.schema["items"].dataType.elementType))
+    marked = items.withColumn(
+        "reasons",
+        F.when(F.col("items").isNull(), F.array(F.lit("bad_payload")))
+        .otherwise(_stop_at_bad(F.transform("items", reason_of), on_bad)),
+    ).withColumn("items", F.coalesce("items", nothing))
     return marked.select(
         "ticker", F.posexplode(F.arrays_zip("items", "reasons")).alias("pos", "z")
     ).select("ticker", "pos", F.col("z.items").alias("a"), F.col("z.reasons").alias("reason"))
@@ -63,7 +71,9 @@ def ingest_news(raw: DataFrame, on_bad: str = "stop") -> DataFrame:
 
     The first five articles count; one without a URL is dropped after that cut.
     """
-    items = raw.select("ticker", F.slice(F.from_json("payload", NEWS_PAYLOAD), 1, PER_FEED).alias("items"))
+    # a lone object would be read as an array of one
+    parsed = F.when(F.col("payload").rlike(r"^\s*\["), F.from_json("payload", NEWS_PAYLOAD))
+    items = raw.select("ticker", F.slice(parsed, 1, PER_FEED).alias("items"))
 
     def reason(a: Column) -> Column:
         content = a["content"]
@@ -124,13 +134,14 @@ BAR_FEED = T.StructType([
 ])
 
 
-def ingest_bars(raw: DataFrame, on_bad: str = "stop", poll: Sequence[str] = ()) -> DataFrame:
+def ingest_bars(raw: DataFrame, on_bad: str = "stop", poll: Sequence[str] = (), arrival: Sequence[str] = ()) -> DataFrame:
     """Price-feed rows (ticker, ISO ts, open, high, low, close, volume as text) to bars.
 
     A volume must be a finite number and loses its fraction. Prices may be NaN, stored as
     NULL. With 'stop' the rows of a poll behind its first bad row are refused; a poll is a
     ticker plus the ``poll`` columns. Only (poll, first bad time) pairs are joined back, so
-    good polls cost nothing extra.
+    good polls cost nothing extra. ``arrival`` names columns of the feed to keep: the order in
+    which rows came.
     """
     def price(c: str) -> Column:
         value = F.col(c).try_cast("double")
@@ -144,13 +155,13 @@ def ingest_bars(raw: DataFrame, on_bad: str = "stop", poll: Sequence[str] = ())
         .when(number.isNull() | F.isnan(number) | (F.abs(number) > F.lit(9.2e18)), "bad_volume")
     )
     rows = raw.select(
-        F.col("ticker").alias("company_id"), *poll, ts.alias("ts_ms"),
+        F.col("ticker").alias("company_id"), *dict.fromkeys([*poll, *arrival]), ts.alias("ts_ms"),
         price("open"), price("high"), price("low"), price("close"),
         F.when(F.abs(number) <= F.lit(9.2e18), number).cast("long").alias("volume"),
         bad.alias("reason"),
     )
     if on_bad == "row":
-        return rows.drop(*poll)
+        return rows.drop(*[c for c in poll if c not in arrival])
     if on_bad != "stop":
         raise ValueError(f"on_bad must be 'stop' or 'row', not {on_bad!r}")
     # A bad time stamp has no place in the order; it only refuses its own row.
@@ -162,5 +173,5 @@ def ingest_bars(raw: DataFrame, on_bad: str = "stop", poll: Sequence[str] = ())
     return (
         lookup(rows, first, ["company_id", *poll], "ts_ms", "left")
         .withColumn("reason", F.when(late, "after_bad").otherwise(F.col("reason")))
-        .drop("_bad_ts", *poll)
+        .drop("_bad_ts", *[c for c in poll if c not in arrival])
     )

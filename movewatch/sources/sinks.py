@@ -12,6 +12,7 @@ from movewatch import schemas
 from movewatch.functions.scalar import decode_finding, encode_finding
 from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import top_n
+from movewatch.session import materialized
 
 BAR_KEYS = ("company_id", "ts_ms")
 ITEM_KEYS = ("id",)
@@ -27,6 +28,13 @@ def null_in(columns: Sequence[str]) -> Column:
     return F.expr(" OR ".join(f"{c} IS NULL" for c in columns))
 
 
+def unusable(new: DataFrame, kind: str) -> DataFrame:
+    """The rows that lack a key or a required value, with the first such column as ``reason``."""
+    needed = dict.fromkeys([*_KEYS[kind], *REQUIRED.get(kind, ())])
+    first = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"null:{c}")) for c in needed])
+    return new.withColumn("reason", first).filter(F.col("reason").isNotNull())
+
+
 def append_new(
     new: DataFrame,
     existing: DataFrame,
@@ -38,13 +46,20 @@ def append_new(
 
     Stored rows are never changed. Copies of a key are cut to one per map task before the
     shuffle, and only the key columns of the stored table are read. Running it again on
-    what it already appended yields nothing, so a repeated batch is harmless.
+    what it already appended yields nothing, so a repeated batch is harmless. Rows that lack a
+    key or a required value are not appended; ``unusable`` has them.
     """
     usable = new.filter(~null_in([*keys, *required]))
     first = top_n(usable, keys, order, 1)
     return first.join(existing.select(*keys), list(keys), "left_anti").select(*new.columns)
 
 
+def first_of(new: DataFrame, kind: str, order: Sequence[Column]) -> DataFrame:
+    """The usable rows of a batch, first per key."""
+    keys = _KEYS[kind]
+    return top_n(new.filter(~null_in([*keys, *REQUIRED.get(kind, ())])), keys, order, 1)
+
+
 def seed_missing(seed: DataFrame, existing: DataFrame) -> DataFrame:
     """Companies of a fixed list that are not stored yet."""
     return append_new(seed, existing, ["company_id"], [F.asc("name")], REQUIRED["company"])
@@ -86,6 +101,7 @@ def finding_rows(
         "needs_human_review",
         (iterations if iterations is not None else F.lit(0)).cast("long").alias("iterations"),
         (cost_usd if cost_usd is not None else F.lit(0.0)).cast("double").alias("cost_usd"),
+        *[c for c in ("trigger_json", "evidence_json") if c in findings.columns],
     )
 
 
@@ -140,3 +156,40 @@ def write_findings(rows: DataFrame, path: str) -> None:
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """Stored findings with their nested fields again."""
     return decode_finding(open_table(spark, "finding", path)).drop("day")
+
+
+def write_cycle(rows: DataFrame, path: str, cycle: int) -> None:
+    """Store the findings of one scan cycle as a folder of their own; written again, it replaces itself."""
+    encode_finding(rows).select(*stored_columns("finding")).write.mode("overwrite").parquet(f"{path}/cycle={cycle}")
+
+
+def read_cycles(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of all cycles, with ``cycle``."""
+    schema = T.StructType([*schemas.STORED_FINDING.fields, T.StructField("cycle", T.LongType())])
+    return decode_finding(spark.read.schema(schema).option("basePath", path).parquet(path))
+
+
+def latest_cycle(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of the last cycle: what holds now."""
+    cycles = read_cycles(spark, path)
+    return cycles.filter(F.col("cycle") == cycles.agg(F.max("cycle")).scalar()).drop("cycle")
+
+
+def replace_stored(new: DataFrame, kind: str, path: str, scope: DataFrame) -> None:
+    """``replace_scope`` on a stored table: all rows of the companies in ``scope``, on every day, give way to ``new``.
+
+    Only the days that hold such rows, or get new ones, are written again, each as a whole and in one
+    overwrite. Running it again changes nothing.
+    """
+    spark = new.sparkSession
+    stored = open_table(spark, kind, path)
+    placed = _with_day(new.select(*stored_columns(kind)), kind)
+    touched = lookup(stored, scope.select("company_id").distinct(), ["company_id"], _TIME[kind], "left_semi")
+    days = materialized(touched.select("day").unionByName(placed.select("day")).distinct(), "days")
+    kept = replace_scope(placed, lookup(stored, days, ["day"], _TIME[kind], "left_semi").select(*placed.columns), scope)
+    staged = materialized(kept, "replace")  # a table can't be read and overwritten in one job
+    gone = days.join(staged.select("day").distinct(), "day", "left_anti")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for row in gone.toLocalIterator():  # days that have no rows left
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={row['day']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

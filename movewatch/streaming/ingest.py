@@ -16,12 +16,13 @@ KINDS: dict[str, Callable[..., DataFrame]] = {
     "news": feeds.ingest_news,
     "discussion": feeds.ingest_discussion,
 }
-# Which copy of a key stays when one batch brings several.
+# Items carry their place in the poll. Bars come row by row: the feed names its order itself.
 ORDERS = {
-    "bar": ["close", "volume", "open", "high", "low"],
     "news": ["company_id", "published_at", "pos"],
     "discussion": ["company_id", "published_at", "pos"],
 }
+# Without an arrival order, copies of a bar in one batch are told apart by their values only.
+BAR_TIES = ["close", "volume", "open", "high", "low"]
 
 
 def run_batches(
@@ -41,22 +42,33 @@ def run_batches(
 
 
 def stream_ingest(
-    raw: DataFrame, kind: str, target: str, checkpoint: str, every: str | None = None, **options
+    raw: DataFrame, kind: str, target: str, checkpoint: str, every: str | None = None, arrival: Sequence[str] = (), **options
 ) -> StreamingQuery:
     """Feed rows into the table at ``target``, refused rows into ``target + '_rejected'``.
 
     Rows may be as late as they like. A repeated batch adds nothing: stored keys are skipped
-    and the refused rows of a batch overwrite themselves.
+    and the refused rows of a batch overwrite themselves. What is stored does not depend on where
+    the stream is cut into batches, given that
+
+    * a poll is one input row (news, discussion), or for bars ``poll`` names its columns, or
+      ``on_bad='row'`` refuses bad rows only: one of the two is required;
+    * ``arrival`` names the bar feed's columns that say in which order rows came, so that the first
+      copy of a bar wins in a batch as it does between batches.
     """
     convert = KINDS[kind]
-    order = [F.asc(c) for c in ORDERS[kind]]
+    if kind == "bar":
+        if options.get("on_bad", "stop") == "stop" and not options.get("poll"):
+            raise ValueError("a stream of bars needs the columns of a poll, or on_bad='row'")
+        options["arrival"] = arrival
+    order = [F.asc(c) for c in ORDERS.get(kind, [*arrival, *BAR_TIES])]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = convert(batch, **options).persist()
         try:
             good = feeds.accepted(rows)
             sinks.append_table(good, kind, target, order)
-            feeds.rejected(rows).write.mode("overwrite").parquet(f"{target}_rejected/batch_id={batch_id}")
+            refused = feeds.rejected(rows).unionByName(sinks.unusable(good, kind))
+            refused.write.mode("overwrite").parquet(f"{target}_rejected/batch_id={batch_id}")
         finally:
             rows.unpersist()
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from movewatch import schemas
 from movewatch.operators.anomaly import N_WINDOW, VOL_THRESHOLD, Z_THRESHOLD, score_watchlist
 from movewatch.operators.attribution import AttributionParams, attribute
+from movewatch.operators.bars import last_n
+from movewatch.operators.ordered import top_n
 from movewatch.session import STATE_STORE
 from movewatch.sources import sinks
-from movewatch.streaming.ingest import ORDERS, run_batches
+from movewatch.streaming.ingest import BAR_TIES, run_batches
 from movewatch.streaming.worker import SCORE, NewestBarsScan, newest_bars
 
 
@@ -52,56 +57,75 @@ def stream_scores(bars: DataFrame, target: str, checkpoint: str, every: str | No
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _newest(batch: DataFrame, path: str, batch_id: int, n: int, order: Sequence[Column]) -> DataFrame:
+    """The newest n bars of every company after this batch, kept in a table of their own.
+
+    Two folders take turns: a batch reads the one its predecessor wrote and overwrites the
+    other, so a batch that is run again finds what it found the first time. A bar that is stored
+    already stays as it is.
+    """
+    spark, columns = batch.sparkSession, sinks.stored_columns("bar")
+    rows = sinks.first_of(batch, "bar", order).select(*columns).withColumn("_new", F.lit(1))
+    if batch_id:
+        before = spark.read.schema(schemas.BAR).parquet(f"{path}/{(batch_id - 1) % 2}").withColumn("_new", F.lit(0))
+        rows = top_n(rows.unionByName(before), sinks.BAR_KEYS, [F.asc("_new")], 1)
+    slot = f"{path}/{batch_id % 2}"
+    last_n(rows.drop("_new"), n).write.mode("overwrite").parquet(slot)
+    return spark.read.schema(schemas.BAR).parquet(slot)
+
+
 def scan_cycle(
-    touched: DataFrame,
     bars: DataFrame,
     dims: dict[str, DataFrame],
     findings_path: str,
-    rejected_path: str,
+    cycle: int,
     params: AttributionParams = AttributionParams(),
     **scan_params,
 ) -> None:
-    """Scan the touched companies, attribute the flagged ones and store their findings.
+    """One cycle: score the whole watchlist, attribute all flagged companies, store the findings.
 
-    Companies that could not be scored are written to ``rejected_path``; they do not stop
-    the others.
+    The findings of a cycle are a folder of their own, which a repeated cycle overwrites. Companies that
+    could not be scored go to ``findings_path + '_rejected'``; they do not stop the others.
     """
-    scores = score_watchlist(bars, touched, **scan_params).persist()
+    scores = score_watchlist(bars, **scan_params).persist()
     try:
         found = attribute(scores.filter("flagged"), dims["news"], dims["discussion"], dims["companies"], params)
-        sinks.write_findings(sinks.finding_rows(found, F.col("anchor_ms")), findings_path)
+        sinks.write_cycle(sinks.finding_rows(found, F.col("anchor_ms")), findings_path, cycle)
         bad = scores.filter(F.col("status") != "ok").select("company_id", "anchor_ms", "status")
-        bad.write.mode("overwrite").parquet(rejected_path)
+        bad.write.mode("overwrite").parquet(f"{findings_path}_rejected/cycle={cycle}")
     finally:
         scores.unpersist()
 
 
 def stream_findings(
     bars: DataFrame,
-    dims: dict[str, DataFrame],
+    dims: Callable[[SparkSession], dict[str, DataFrame]],
     bars_path: str,
     findings_path: str,
     checkpoint: str,
     every: str | None = None,
     params: AttributionParams = AttributionParams(),
+    arrival: Sequence[str] = (),
+    n: int = N_WINDOW,
     **scan_params,
 ) -> StreamingQuery:
-    """Bars in, findings out: store the batch, scan its companies over all stored bars,
-    attribute and store. ``dims`` has companies, news and discussion.
+    """Bars in, findings out: store the batch, then run a cycle over the whole watchlist.
+
+    ``dims`` opens companies, news and discussion and is called in every cycle, so items that were stored
+    meanwhile count. As each cycle looks at all companies, a move that others of its sector join later is
+    attributed anew, and the last cycle's findings do not depend on how the bars were cut into batches.
 
-    A finding's creation time is its anchor, so a repeated batch makes the same ids and
-    stores nothing twice. Companies with bad data go to ``findings_path + '_rejected'``.
+    A cycle reads the newest n bars of each company from a table of their own (``bars_path + '_newest'``) and
+    of the items those since the earliest window; the cost of a cycle follows the number of companies and not the history.
     """
-    order = [F.asc(c) for c in ORDERS["bar"]]
+    order = [F.asc(c) for c in [*arrival, *BAR_TIES]]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
             sinks.append_table(rows, "bar", bars_path, order)
-            touched = rows.select("company_id").distinct()
-            stored = sinks.open_table(batch.sparkSession, "bar", bars_path)
-            rejected = f"{findings_path}_rejected/batch_id={batch_id}"
-            scan_cycle(touched, stored, dims, findings_path, rejected, params, **scan_params)
+            newest = _newest(rows, f"{bars_path}_newest", batch_id, n, order)
+            scan_cycle(newest, dims(batch.sparkSession), findings_path, batch_id, params, n=n, **scan_params)
         finally:
             rows.unpersist()
 

@@ -41,6 +41,17 @@ def test_zero_previous_close_is_bad_data(spark):
     assert got["L"]["status"] == "ok" and got["L"]["latest_return"] == -1.0
 
 
+@pytest.mark.parametrize("at", [0, 12, 29])
+def test_a_close_that_is_no_number_is_bad_data(spark, at):
+    rows = [bar("N", i * DAY, float("nan") if i == at else 10.0 + i % 3, 5) for i in range(30)]
+    df = spark.createDataFrame(rows, schemas.BAR)
+    row = anomaly.score_watchlist(df).first()
+    assert (row["status"], row["flagged"], row["z_score"]) == ("bad_data", False, None)
+    assert row["latest_close"] == (None if at == 29 else rows[-1][5])
+    moved = anomaly.price_movement(df, spark.createDataFrame([("N", "n", None)], schemas.COMPANY)).first()
+    assert moved["z_score"] is None and moved["direction"] is None
+
+
 def test_scan_keeps_flagged_with_rounded_trigger(bars, companies):
     got = by_key(anomaly.scan_watchlist(bars, companies), "company_id")
     assert set(got) == {c for c, v in SCORED.items() if v[-1]}

@@ -36,9 +36,13 @@ def test_news_stops_at_a_bad_article(spark):
         feeds.ingest_news(raw, on_bad="guess")
 
 
-def test_payload_that_is_no_json_gives_nothing(spark):
-    raw = spark.createDataFrame([("A", "oops"), ("B", None)], "ticker string, payload string")
-    assert feeds.ingest_news(raw).count() == 0 and feeds.ingest_discussion(raw).count() == 0
+def test_unreadable_polls_are_refused(spark):
+    raw = spark.createDataFrame([("A", "oops"), ("B", None), ("C", "{\"oops\": 1}"), ("D", "[{")], "ticker string, payload string")
+    for ingest in (feeds.ingest_news, feeds.ingest_discussion):
+        got = rows_of(feeds.rejected(ingest(raw)), "company_id", "reason")
+        assert got == [(t, "bad_payload") for t in "ABCD"] and feeds.accepted(ingest(raw)).count() == 0
+    empty = spark.createDataFrame([("A", "[]")], "ticker string, payload string")
+    assert feeds.ingest_news(empty).count() == 0
 
 
 def test_discussion(spark):

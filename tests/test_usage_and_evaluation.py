@@ -13,20 +13,34 @@ def test_budget_limits(spark):
     costs = [39.99, 0.01, 9.99, 0.01, 7.0, 1.0]
     rows = [(i, f"c{i}", 0, round(c / 15e-6 * 3)) for i, c in enumerate(costs)]
     calls = spark.createDataFrame(rows, "seq long, call_id string, input_tokens long, output_tokens long")
-    got = [(round(r["spend_before"], 6), r["status"]) for r in usage.budget_guard(calls, output_price=5.0).orderBy("seq").collect()]
-    assert got == [(0.0, "ok"), (39.99, "ok"), (40.0, "warn"), (49.99, "warn"), (50.0, "blocked"), (57.0, "blocked")]
+    guarded = usage.budget_guard(calls, output_price=5.0)
+    got = [(round(r["spend_before"], 6), r["status"], round(r["cost_usd"], 6)) for r in guarded.orderBy("seq").collect()]
+    # a blocked call is never made: it costs nothing and raises nothing
+    assert got == [
+        (0.0, "ok", 39.99), (39.99, "ok", 0.01), (40.0, "warn", 9.99), (49.99, "warn", 0.01), (50.0, "blocked", 0.0), (50.0, "blocked", 0.0),
+    ]
+
+
+def test_runs_a_budget_cuts_off(spark):
+    rows = [(i, f"c{i}", 0, 1_000_000, f"r{i // 2}") for i in range(8)]  # 15 USD a call
+    calls = spark.createDataFrame(rows, "seq long, call_id string, input_tokens long, output_tokens long, run_id string")
+    states = rows_of(usage.runs_within_budget(usage.budget_guard(calls, bucket=3)), "run_id", "state", "cost_usd")
+    assert states == [("r0", "complete", 30.0), ("r1", "complete", 30.0), ("r2", "not_started", 0.0), ("r3", "not_started", 0.0)]
+    guarded = usage.budget_guard(calls, hard=40.0)
+    assert rows_of(usage.runs_within_budget(guarded), "run_id", "state")[1] == ("r1", "cut")
+    assert guarded.agg(F.sum("cost_usd")).first()[0] == 45.0
 
 
 def test_scopes_have_their_own_budget(spark):
     rows = [(i, f"c{i}", 1_000_000, 0, "x" if i % 3 else "y") for i in range(30)]
     calls = spark.createDataFrame(rows, "seq long, call_id string, input_tokens long, output_tokens long, scope string")
-    guarded = usage.budget_guard(calls, scope=["scope"], buckets=8)
-    assert rows_of(guarded.groupBy("scope").agg(F.max("spend_before").alias("m")), "scope", "m") == [("x", 57.0), ("y", 27.0)]
+    guarded = usage.budget_guard(calls, scope=["scope"], bucket=4)
+    assert rows_of(guarded.groupBy("scope").agg(F.max("spend_before").alias("m")), "scope", "m") == [("x", 51.0), ("y", 27.0)]
 
 
 def test_run_cost_and_cycle(spark):
     log = spark.createDataFrame([(i, round(0.1 * i * i, 4)) for i in range(1, 50)], "seq long, total_usd double")
-    got = [r["cost_usd"] for r in usage.run_cost(log, buckets=8).orderBy("seq").collect()]
+    got = [r["cost_usd"] for r in usage.run_cost(log, bucket=8).orderBy("seq").collect()]
     assert got == [pytest.approx(0.1 * (2 * i - 1)) for i in range(1, 50)]
     total = usage.cycle_cost(usage.run_cost(log)).first()
     assert total["runs"] == 49 and total["cycle_cost"] == pytest.approx(240.1)
