@@ -124,9 +124,12 @@ def assert_all_flagged(scores: DataFrame) -> DataFrame:
 
 def movement_window(bars: DataFrame, days: int = 30) -> DataFrame:
     """Bars of the last ``days`` calendar days before each company's anchor, start included."""
+    anchor, span = anchors(bars), F.lit(days * MS_PER_DAY)
+    # what is older than every company's window is left at the scan
+    earliest = anchor.agg(F.min("anchor_ms") - span).scalar()
     return (
-        lookup(bars, anchors(bars), ["company_id"], "ts_ms")
-        .filter(F.col("ts_ms") >= F.col("anchor_ms") - F.lit(days * MS_PER_DAY))
+        lookup(bars.filter(F.col("ts_ms") >= earliest), anchor, ["company_id"], "ts_ms")
+        .filter(F.col("ts_ms") >= F.col("anchor_ms") - span)
         .drop("anchor_ms")
     )
 

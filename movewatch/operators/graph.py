@@ -93,11 +93,9 @@ def focus_edges(edges: DataFrame, node: str | None = None) -> DataFrame:
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
     ids = nodes.select("node_id")
-    return (
-        edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-        .select(*edges.columns)
-    )
+    # many edges start at one company: its end of the join is salted
+    started = lookup(edges, ids.withColumnRenamed("node_id", "src"), ["src"], "dst", "left_semi")
+    return started.join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def node_diff(old: DataFrame, new: DataFrame) -> DataFrame:

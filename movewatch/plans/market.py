@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.operators import anomaly, bars, retrieval
+from movewatch.operators import anomaly, attribution, bars, retrieval
 from movewatch.operators.ordered import top_n
-from movewatch.plans.bindings import AS_OF_MS, Market
-from movewatch.plans.catalog import query, score_sql
+from movewatch.plans.bindings import AS_OF_MS, NEWS_LEAST, Market
+from movewatch.plans.catalog import VIEWS, query, score_sql
+from movewatch.sources import sinks
 
 _SCORE_COLUMNS = """company_id, n_bars, anchor_ms, round(latest_close, 6) AS latest_close, round(latest_return, 6) AS latest_return,
   round(z_score, 6) AS z_score, round(volume_ratio, 6) AS volume_ratio, direction, status, flagged"""
@@ -123,6 +124,17 @@ def series(m: Market) -> DataFrame:
     return points.select("company_id", "chunk_no", "place", "p.*")
 
 
+@query("an2_movement_series", """
+SELECT company_id, p // 25 AS chunk_no, cast(p % 25 AS int) AS place, ts_ms AS timestamp, round(close, 6) AS close, volume
+FROM (SELECT b.*, row_number() OVER (PARTITION BY b.company_id ORDER BY ts_ms) - 1 AS p FROM bar b JOIN anchor a USING (company_id)
+  WHERE ts_ms >= anchor_ms - 10 * 86400000)""")
+def movement_series(m: Market) -> DataFrame:
+    """The bars behind the price movements of ten days."""
+    chunks = bars.series(anomaly.movement_window(m.bars, days=10), chunk=25)
+    points = chunks.select("company_id", "chunk_no", F.posexplode("series").alias("place", "p"))
+    return points.select("company_id", "chunk_no", "place", "p.*")
+
+
 @query("wn1_returns", """
 SELECT company_id, ts_ms, round(close, 6) AS close, round(prev_close, 6) AS prev_close, round(close / nullif(prev_close, 0) - 1, 6) AS ret
 FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY ts_ms) AS prev_close FROM bar)""")
@@ -190,10 +202,26 @@ def watchlist(m: Market) -> DataFrame:
     return retrieval.watchlist(seen("purchase"), seen("view"))
 
 
+# One cycle with the default thresholds.
+_DEFAULTS = {"score03": "SELECT * FROM score", "attributed": VIEWS["attributed"].replace(f">= {NEWS_LEAST} THEN 'news'", ">= 1 THEN 'news'")}
+
+
+def _cycle(m: Market, flagged: DataFrame) -> DataFrame:
+    found = attribution.attribute(flagged, m.news, m.discussion, m.companies)
+    return sinks.finding_rows(found, F.col("anchor_ms"))
+
+
 @query("ag8_scan_summary", """
 SELECT (SELECT count(*) FROM company) AS scanned, (SELECT count(*) FROM score WHERE flagged) AS flagged,
-  (SELECT count(*) FROM finding f JOIN score s USING (company_id) WHERE s.flagged) AS findings""")
+  (SELECT count(*) FROM attributed) AS findings""", views=_DEFAULTS)
 def scan_summary(m: Market) -> DataFrame:
-    flagged = anomaly.scan_watchlist(m.bars)
-    stored = m.findings.join(flagged.select("company_id"), "company_id", "left_semi")
-    return retrieval.scan_summary(m.companies, flagged, stored)
+    flagged = anomaly.score_watchlist(m.bars).filter("flagged")
+    return retrieval.scan_summary(m.companies, flagged, _cycle(m, flagged))
+
+
+@query("ag8_cycle_findings", """
+SELECT company_id, anchor_ms AS created_at, driver AS primary_driver, confidence FROM attributed""", views=_DEFAULTS)
+def cycle_findings(m: Market) -> DataFrame:
+    """The findings of one scan cycle, as rows."""
+    rows = _cycle(m, anomaly.score_watchlist(m.bars).filter("flagged"))
+    return rows.select("company_id", "created_at", "primary_driver", "confidence")

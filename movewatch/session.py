@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,9 @@ RUNTIME_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+#: The temporary folders of sessions of one process, by application.
+_OWN: dict[str, str] = {}
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,8 +53,8 @@ def local_session(cores: int | str = "*", app: str = "movewatch", memory: str =
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (a bare local one) falls back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session of one process, as in tests, may
+    do without: it gets a temporary folder, the same for its whole life.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -58,9 +62,12 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="movewatch-")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="movewatch-")
+    return _OWN[application]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
