@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from movewatch.session import materialized
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,3 +53,14 @@ def batched(df: DataFrame) -> DataFrame:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``materialized``, after which the shuffle files of the job that made it are given up.
+
+    Spark removes them once the driver's garbage collector finds the job unused, which it otherwise asks for every
+    half hour; until then they take disk beside those of the next job.
+    """
+    out = materialized(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.llm.common import batched, content_key
+from movewatch.llm.common import batched, content_key, settled
 from movewatch.llm.windows import BASES, Kind, PrefixHashes, anchors, batches, span_codes, window_starts
 from movewatch.operators.joins import lookup
-from movewatch.session import materialized
 
 SALTS = 2
 #: Surroundings of a gram up to which its windows are compared in one part, the windows a part has beyond, and the
@@ -199,7 +198,7 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     often = rows.mapInArrow(_anchors(kind, True), "g long").groupBy("g").count().filter("count > 1").select("g")
     placed = rows.mapInArrow(_anchors(kind, False), "g long, s long, k1 long, k2 long, first long, place long")
     shared = lookup(placed, often, ["g"], "k1", "left_semi", SALTS)
-    shared = materialized(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
+    shared = settled(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
 
     occurrence = F.struct("first", "k1", "k2", "place")
     spans = shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(occurrence).alias("head"))
@@ -212,7 +211,8 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     wanted = ends.groupBy(F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")).agg(
         F.collect_list(F.struct("g", F.col("head.place").alias("place"), "spans")).alias("listed")
     )
-    cut = texts.select("k1", "k2", "first", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "first", "text", "listed")
+    # all columns of the texts, used or not: as the same exchange it is made once for all joins of texts
+    cut = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
     segments = cut.mapInArrow(_segments(kind, hot, False), "g long, part int, k1 long, k2 long, first long, low long, raw binary")
     by_gram = segments.repartition("g", "part").sortWithinPartitions("g", "part")
     runs = runs.unionByName(by_gram.mapInArrow(_compare(kind, removed), "k1 long, k2 long, low long, high long"))
@@ -252,4 +252,4 @@ def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
 def to_documents(docs: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key`` and the results of each document's text."""
     k1, k2 = content_key(F.col("text"))
-    return lookup(docs.select(key, k1.alias("k1"), k2.alias("k2")), results, ["k1", "k2"], key).drop("k1", "k2")
+    return lookup(docs.select(key, k1.alias("k1"), k2.alias("k2")), results, ["k1", "k2"], key, "inner", SALTS).drop("k1", "k2")

@@ -85,7 +85,7 @@ def _keep(window: int, with_text: bool):
             n, removed, kept, later, rest = zip(*made) if made else ((),) * 5
             arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64())]
             for gone, left in ((removed, kept), (later, rest)):
-                fields = [pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in left], pa.string())]
+                fields = [pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).digest() for k in left], pa.binary())]
                 fields += [pa.array([k.decode("utf-8", "replace") for k in left], pa.string())] * with_text
                 arrays.append(pa.StructArray.from_arrays(fields, ["n_removed", "kept_sha256", "kept"][: len(fields)]))
             yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "first", "n_words", "own", "copy"])
@@ -103,9 +103,9 @@ def remove_later(docs: DataFrame, words: int = 20, with_text: bool = False, hot:
     kind = Kind(True, words, min(GRAM, words))
     texts = repeats.distinct_texts(docs)
     runs = repeats.repeated_windows(docs, texts, kind, _by_blocks, keep_first=True, hot=hot)
-    rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "first", "runs")
-    fields = "struct<n_removed:long,kept_sha256:string" + ",kept:string" * with_text + ">"
+    rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "first", "runs", "copies")
+    fields = "struct<n_removed:long,kept_sha256:binary" + ",kept:string" * with_text + ">"
     results = rows.mapInArrow(_keep(words, with_text), f"k1 long, k2 long, first long, n_words long, own {fields}, copy {fields}")
     found = repeats.to_documents(docs, results)
     earliest = F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.LAST)) == F.col("first")
-    return found.select("doc_id", "n_words", F.when(earliest, F.col("own")).otherwise(F.col("copy")).alias("r")).select("doc_id", "n_words", "r.*")
+    return found.select("doc_id", "n_words", F.when(earliest, F.col("own")).otherwise(F.col("copy")).alias("r")).select("doc_id", "n_words", "r.*").withColumn("kept_sha256", F.lower(F.hex("kept_sha256")))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from movewatch.llm import repeats
 from movewatch.llm.suffixes import SuffixOrder
@@ -42,7 +43,7 @@ def _keep(window: int, with_text: bool):
             made = [one(t, *r, c) for t, r, c in zip(texts, repeats.listed_runs(batch.column(4)), copied)]
             size, removed, spans, kept = zip(*made) if made else ((), (), (), ())
             arrays = [pa.array(x, pa.int64()) for x in (size, removed, spans)]
-            arrays.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
+            arrays.append(pa.array([hashlib.sha256(k).digest() for k in kept], pa.binary()))
             names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 arrays.append(pa.array(kept, pa.binary()))
@@ -62,6 +63,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     kind = Kind(False, length, min(GRAM, length))
     texts = repeats.distinct_texts(docs)
     runs = repeats.repeated_windows(docs, texts, kind, _in_order, keep_first=False, hot=hot)
-    rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "copies", "runs")
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return repeats.to_documents(docs, rows.mapInArrow(_keep(length, with_text), schema))
+    rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "copies", "runs", "first")
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 binary" + ", kept binary" * with_text
+    results = repeats.to_documents(docs, rows.mapInArrow(_keep(length, with_text), schema))
+    return results.withColumn("kept_sha256", F.lower(F.hex("kept_sha256")))
