@@ -201,7 +201,7 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     shared = settled(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
 
     occurrence = F.struct("first", "k1", "k2", "place")
-    spans = shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(occurrence).alias("head"))
+    spans = settled(shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(occurrence).alias("head")), "spans")
     copied = lookup(shared, spans.filter("n > 1"), ["g", "s"], "k1", "inner", SALTS)
     low, high = _low_high(F.col("place"))
     runs = copied.filter(occurrence != F.col("head") if keep_first else F.lit(True)).select("k1", "k2", low.alias("low"), high.alias("high"))
