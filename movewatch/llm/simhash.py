@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc
 #: similarity s differ in about arccos(2 s / (1 + s)) / pi of the bits: 39 of 256 for 0.8; 44 leaves room for chance.
 WIDE, WIDE_BUDGET = 4, 44
 #: Bits of a segment by which candidates meet, three to a word, and how many of its least certain bits each side may flip.
-KEY_BITS, FLIPS = 21, 2
+KEY_BITS, FLIPS = 21, 3
 ALL_PAIRS = 1024
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SEGMENTS = np.arange(WIDE * (64 // KEY_BITS))[:, None]
