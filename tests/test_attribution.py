@@ -2,11 +2,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import EVENT_DAY, by_key, ms
+from conftest import EVENT_DAY, by_key, ms, rows_of
 from movewatch import schemas
 from movewatch.functions.scalar import has_advice
 from movewatch.operators.anomaly import score_watchlist
-from movewatch.operators.attribution import AttributionParams, attribute, prior_weekday
+from movewatch.operators.attribution import AttributionParams, attribute, evidence_items, prior_weekday, sector_members
 from movewatch.sources.sinks import finding_rows
 
 
@@ -24,6 +24,19 @@ def test_known_causes(bars, news, discussion, companies):
     assert got["VOL"]["posts_causal"] == 6 and got["BB1"]["peers_alike"] == 2
 
 
+def test_all_evidence_in_long_form(bars, news, discussion, companies):
+    flagged = score_watchlist(bars).filter("flagged")
+    items = rows_of(evidence_items(flagged, news, discussion, companies), "company_id", "type", "item_id")
+    assert items == [("AAA", "news", "n1")] + [("VOL", "discussion", f"d{i}") for i in range(6)]
+    members = rows_of(sector_members(flagged, companies), "company_id", "peers_alike")
+    assert ("BB1", 2) in members and ("CCC", 0) in members
+
+
+def test_least_number_of_news(bars, news, discussion, companies):
+    found = attribute(score_watchlist(bars).filter("flagged"), news, discussion, companies, AttributionParams(min_news=2))
+    assert by_key(found, "company_id")["AAA"]["primary_driver"] == "unexplained"
+
+
 def test_texts_give_no_advice(bars, news, discussion, companies):
     found = attribute(score_watchlist(bars).filter("flagged"), news, discussion, companies)
     assert found.filter(has_advice("hypothesis")).count() == 0

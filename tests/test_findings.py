@@ -238,7 +238,24 @@ def test_market_hours_and_iso(spark):
     }
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want boolean")
     assert df.filter(scalar.is_market_hours(F.col("t").cast("timestamp")) != F.col("want")).count() == 0
-    iso = {"2024-01-01T00:00:07.179Z": 1704067207179, "2024-01-01T05:30:07+05:30": 1704067207000, "2024-01-01": 1704067200000, "2024": None, "soon": None, "2024-13-01T00:00:00Z": None}
+    iso = {"2024-01-01T00:00:07.179Z": 1704067207179, "2024-01-01T05:30:07+05:30": 1704067207000, "2024-01-01": 1704067200000, "2024": None, "soon": None, "2024-13-01T00:00:00Z": None,
+           "2024-01-01T10:00Z": 1704103200000, "20240101T100000Z": 1704103200000, "2024-01-01T10": 1704103200000, "20240101": 1704067200000,
+           "2024-01-01T1000+01:00": 1704099600000, "2024-01-01T10:00:00.5+0230": 1704094200500, "2024-0101": None, "2024-01-01T25:00Z": None}
     df = spark.createDataFrame([(k, v) for k, v in iso.items()], "t string, want long")
     assert df.filter(~scalar.iso_to_ms("t").eqNullSafe(F.col("want"))).count() == 0
     assert spark.range(1).select(scalar.ms_to_s(F.lit(-1))).first()[0] == -1
+
+
+def test_nothing_of_a_valid_text_is_lost(spark):
+    body = {
+        "ticker": "A", "trigger": {"z_score": "high", "note": {"k": 1}, "direction": "up"}, "hypothesis": "h", "primary_driver": "news",
+        "evidence": ["Reuters headline", {"type": "news", "ref": "r", "why": "w", "seen": True}, 7], "confidence": "high",
+        "needs_human_review": False, "advice": None,
+    }
+    row = fd.validate_findings(spark.createDataFrame([(json.dumps(body),)], "text string")).first()
+    assert row["reason"] is None and row["trigger"]["z_score"] is None and row["trigger"]["direction"] == "up"
+    assert json.loads(row["trigger_json"]) == body["trigger"] and json.loads(row["evidence_json"]) == body["evidence"]
+    assert [tuple(e) for e in row["evidence"]] == [(None, "Reuters headline", None), ("news", "r", "w"), (None, "7", None)]
+    df = fd.validate_findings(spark.createDataFrame([(json.dumps(body),)], "text string"))
+    back = scalar.decode_finding(scalar.encode_finding(df)).first()
+    assert back["evidence"] == row["evidence"] and json.loads(back["trigger_json"]) == body["trigger"]

@@ -126,6 +126,19 @@ def test_each_check_can_fail(spark, companies):
     assert v("CCC", calls=[[call("get_news", "CCC")], [call("get_news", "CCC")], [call("get_weather", "CCC")]]) == ["scenario_evidence"]
 
 
+def test_names_tied_to_other_words_are_found(spark):
+    companies = spark.createDataFrame(
+        [("ME", "Me Inc", "S"), ("HLIX", "Helix Therapeutics", "S"), ("BRK.B", "Smith-Jones Corp", "S")], schemas.COMPANY
+    )
+    said = {
+        "HLIX's sell-off": True, "an HLIX-led move": True, "pre-HLIX": True, "Helix Therapeutics's fall": True, "BRK.B's day": True,
+        "Smith-Jones Corp's": True, "helixes": False, "HLIXX": False, "Helix fell": False, "me inc": False,
+    }
+    rows = [(text, "ME", [("sector", text, "w")]) for text in said]
+    runs = spark.createDataFrame(rows, "run_id string, ticker string, evidence array<struct<type:string,ref:string,why:string>>")
+    assert {r["run_id"] for r in evaluation.cited_peers(runs, companies).collect()} == {t for t, hit in said.items() if hit}
+
+
 def test_shared_names_do_not_multiply(spark):
     rows = [(f"c{i}", "Same Name", "S") for i in range(300)]
     companies = spark.createDataFrame([*rows, ("solo", "Solo", "T")], schemas.COMPANY)
