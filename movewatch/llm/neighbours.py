@@ -3,8 +3,9 @@
 A table's hash of a unit vector is the signed axis nearest to it after a pseudo-rotation: three rounds of
 random sign flips and a fast Hadamard transform. Each vector is filed once per table, a query looks into the
 ``probes`` axes nearest to it in every table, and what it finds there is ranked by the exact inner product.
-Where norms differ, vectors get one more coordinate that makes all of them equally long, so that the
-largest inner product is the smallest angle.
+Where norms differ, vectors are filed by powers of two of the norm, each range by the vectors' own directions; a query
+looks into every range, into more axes where vectors are longer (``range_probes``). A query that finds fewer
+than k is compared with all rows.
 
 A bucket's vectors and queries are cut into blocks, by hashes of their ids, so that no task holds more than
 ``BLOCK`` times ``QUERY_BLOCK`` of them, however common a vector is. A block returns at most k rows a query. The
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from movewatch.llm.common import batched
+from movewatch.operators.joins import lookup
 from movewatch.session import materialized
 
 #: With these, recall of the 20 nearest of 50,000 random directions in 64 dimensions is above 0.95.
 TABLES, PROBES, ROUNDS, SEED = 6, 24, 3, 42
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Norm ranges: below the longest vector's by less than 2, 4, 8, ... times, the last with all shorter ones.
+RANGES = 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,17 +55,24 @@ def signed_axes(unit: np.ndarray, tables: int) -> Iterator[np.ndarray]:
         yield np.concatenate((turned, -turned), axis=1)
 
 
-def lifted(x: np.ndarray, longest: float, width: int) -> np.ndarray:
-    """Base vectors as unit vectors of ``width``: scaled, with one more coordinate where there is room for it."""
-    scaled = x / longest
-    rest = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
+def padded(x: np.ndarray, width: int) -> np.ndarray:
+    """The directions of vectors, as unit vectors of ``width``."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     out = np.zeros((len(x), width))
-    out[:, : x.shape[1]] = scaled
-    if width > x.shape[1]:
-        out[:, x.shape[1]] = rest
+    out[:, : x.shape[1]] = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
     return out
 
 
+def range_probes(counts: np.ndarray, axes: int, probes: int) -> np.ndarray:
+    """How many axes to look into in each norm range, given the rows in each, longest first.
+
+    A longer vector is among the nearest at a wider angle, and the range with the longest decides most. So a range has
+    its probes multiplied by the table's rows over those at least as long as its own; few long vectors are all looked at.
+    """
+    upto = np.maximum(1, np.cumsum(counts))
+    return np.minimum(axes, -(-min(probes, axes) * counts.sum() // upto))
+
+
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
@@ -108,65 +119,56 @@ def search(
     """
     clean = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     clean = clean.filter(F.col("id").isNotNull() & usable(F.col("v")))
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    lengths = clean.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.min(squares), F.max(squares))
-    most = lengths.orderBy(F.desc("n"), "dim").first()
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = F.log2(peak) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + x / peak * (x / peak))) / 2
+    clean = clean.withColumn("norm", norm)
+    most = clean.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm")).orderBy(F.desc("n"), "dim").first()
     if most is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, _, least, greatest = most
-    longest = math.sqrt(greatest)
-    even = greatest - least <= 1e-5 * greatest
-    width = 1 << math.ceil(math.log2(max(2, dim if even else dim + 1)))
-    buckets = tables * 2 * width
-    probes = min(probes, 2 * width)
+    dim, total, longest = most
+    clean = clean.filter(F.size("v") == dim)
+    below = F.least(F.floor(F.lit(longest) - F.col("norm")), F.lit(RANGES - 1)).cast("int")
+    clean = clean.select("id", "v", "asks", below.alias("range"))
+    width = 1 << math.ceil(math.log2(max(2, dim)))
+    axes = 2 * width
+    counts = np.zeros(RANGES, np.int64)
+    for at, n in clean.groupBy("range").count().collect():
+        counts[at] = n
+    wanted = range_probes(counts, axes, probes)
+    # where all axes are looked into, one table is enough
+    used = np.where(wanted < axes, tables, 1)
+    buckets = RANGES * tables * axes
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors as bytes, with the buckets they are in and, for queries, look into."""
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), float).reshape(-1, dim)
             asks = batch.column(2).to_numpy(zero_copy_only=False)
-            own = np.stack([a.argmax(axis=1) + t * 2 * width for t, a in enumerate(signed_axes(lifted(x, longest, width), tables))], axis=1)
+            band = batch.column(3).to_numpy()
+            own: list[list[int]] = [[] for _ in x]
             looks: list[list[int]] = [[] for _ in x]
-            if asks.any():
-                asked = x[asks]
-                unit = lifted(asked, 1.0, width) if even else lifted(asked / np.sqrt((asked**2).sum(axis=1, keepdims=True)), 1.0, width)
-                near = [np.argpartition(-a, probes - 1, axis=1)[:, :probes] + t * 2 * width for t, a in enumerate(signed_axes(unit, tables))]
-                for at, row in zip(np.flatnonzero(asks), np.concatenate(near, axis=1).tolist()):
-                    looks[at] = row
+            for t, near in enumerate(signed_axes(padded(x, width), tables)):
+                start = t * axes
+                for at in np.flatnonzero(t < used[band]):
+                    own[at].append(int(near[at].argmax()) + start + int(band[at]) * tables * axes)
+                if asks.any():
+                    order = np.argsort(-near[asks], axis=1, kind="stable")
+                    for r in np.flatnonzero((counts > 0) & (t < used)):
+                        for at, row in zip(np.flatnonzero(asks), (order[:, : wanted[r]] + start + r * tables * axes).tolist()):
+                            looks[at] += row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(looks, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own, pa.list_(pa.int32())), pa.array(looks, pa.list_(pa.int32()))],
                 ["id", "v", "own", "looks"],
             )
 
     hashed = materialized(
-        batched(clean).filter(F.size("v") == dim).mapInArrow(packed, "id long, v binary, own array<int>, looks array<int>"), "neighbours"
+        batched(clean).mapInArrow(packed, "id long, v binary, own array<int>, looks array<int>"), "neighbours"
     )
     filed = hashed.select(F.explode("own").alias("bucket"), F.lit(0).alias("asks"))
     asking = hashed.select(F.explode("looks").alias("bucket"), F.lit(1).alias("asks"))
     sizes = np.zeros((2, buckets), np.int64)
     for bucket, asks, n in filed.unionAll(asking).groupBy("bucket", "asks").count().collect():
         sizes[asks, bucket] = n
-    parts, query_parts = np.maximum(1, -(-sizes[0] // BLOCK)), np.maximum(1, -(-sizes[1] // QUERY_BLOCK))
-
-    def dealt(mine: int):
-        """Copies of each row for the blocks it belongs to: its own part of the bucket, against every part of the other side."""
-        own, other = (query_parts, parts) if mine else (parts, query_parts)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bucket, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-                needed = (sizes[1 - mine][bucket] > 0).astype(np.int64) * other[bucket]
-                at = np.repeat(np.arange(len(ids)), needed)
-                against = np.arange(len(at)) - np.repeat(np.cumsum(needed) - needed, needed)
-                part = _part(ids, own[bucket])[at]
-                first, second = (against, part) if mine else (part, against)
-                columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in (bucket[at], first, second))], ["id", "v", "bucket", "part", "qpart"])
-        return run
-
-    grid = "id long, v binary, bucket int, part int, qpart int"
-    base = hashed.select("id", "v", F.explode("own").alias("bucket")).mapInArrow(dealt(0), grid)
-    queries = hashed.select("id", "v", F.explode("looks").alias("bucket")).mapInArrow(dealt(1), grid)
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -178,9 +180,49 @@ def search(
         )
         return pa.table([pa.array(asked[q]), pa.array(found), pa.array(score)], names=names)
 
-    block = ("bucket", "part", "qpart")
-    found = base.groupBy(*block).cogroup(queries.groupBy(*block)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    # a pair found in several tables has one score, so one dense rank
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= k)
-    return top.dropDuplicates(["query_id", "vec_id"]).select("query_id", "rank", "vec_id", "score")
+    def compared(base: DataFrame, queries: DataFrame, sizes: np.ndarray) -> DataFrame:
+        """(query_id, vec_id, score) of what is best in each block, for rows (id, v, bucket) and the two sides' rows in each bucket."""
+        parts, query_parts = np.maximum(1, -(-sizes[0] // BLOCK)), np.maximum(1, -(-sizes[1] // QUERY_BLOCK))
+
+        def dealt(mine: int):
+            """Copies of each row for the blocks it belongs to: its own part of the bucket, against every part of the other side."""
+            own, other = (query_parts, parts) if mine else (parts, query_parts)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    bucket, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+                    needed = (sizes[1 - mine][bucket] > 0).astype(np.int64) * other[bucket]
+                    at = np.repeat(np.arange(len(ids)), needed)
+                    against = np.arange(len(at)) - np.repeat(np.cumsum(needed) - needed, needed)
+                    part = _part(ids, own[bucket])[at]
+                    first, second = (against, part) if mine else (part, against)
+                    columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int32)) for x in (bucket[at], first, second))], ["id", "v", "bucket", "part", "qpart"])
+            return run
+
+        grid = "id long, v binary, bucket int, part int, qpart int"
+        block = ("bucket", "part", "qpart")
+        base, queries = base.mapInArrow(dealt(0), grid), queries.mapInArrow(dealt(1), grid)
+        return base.groupBy(*block).cogroup(queries.groupBy(*block)).applyInArrow(rank, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        # a pair found in several tables has one score, so one dense rank
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        top = found.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= k)
+        return top.dropDuplicates(["query_id", "vec_id"]).select("query_id", "rank", "vec_id", "score")
+
+    top = ranked(compared(hashed.select("id", "v", F.explode("own").alias("bucket")), hashed.select("id", "v", F.explode("looks").alias("bucket")), sizes))
+    top = materialized(top, "neighbours-found")
+    # who finds less than there is to find
+    asked = hashed.filter(F.size("looks") > 0)
+    others = hashed.select("id").distinct().count() - 1
+    met = top.groupBy("query_id").agg(F.count("*").alias("met"))
+    short = asked.select(F.col("id").alias("query_id")).distinct().join(met, "query_id", "left").filter(F.coalesce("met", F.lit(0)) < min(k, others))
+    short = materialized(short.select(F.col("query_id").alias("id")), "neighbours-short")
+    again = lookup(asked.select("id", "v"), short, ["id"], "v", "left_semi")
+    rows = again.count()
+    if not rows:
+        return top
+    whole = F.lit(0).alias("bucket")
+    exact = compared(hashed.select("id", "v", whole), again.select("id", "v", whole), np.array([[total], [rows]]))
+    return ranked(top.select("query_id", "vec_id", "score").unionByName(exact))

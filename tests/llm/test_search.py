@@ -62,6 +62,32 @@ def test_all_probes_are_exact_with_ties_and_uneven_norms(spark, monkeypatch):
     assert got == plain_nearest(ids, x, 20)
 
 
+@pytest.mark.parametrize("kind", ["spread", "outlier", "long few"])
+def test_recall_with_uneven_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "spread":
+        x *= rng.lognormal(0, 0.7, (4000, 1))
+    else:
+        x[1 : 2 if kind == "outlier" else 300] *= 50
+    ids = np.arange(4000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(6)
+    got, best = found(neighbours.search(df, F.col("vec_id") % 20 == 0)), plain_nearest(ids, x, 20)
+    assert all(len(got[q]) == 20 for q in best)
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in best[q]}) for q in best) >= 0.95 * 20 * len(best)
+
+
+def test_query_that_finds_too_few_is_compared_with_all(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((np.eye(64)[:1] + rng.normal(size=(500, 64)) * 1e-3, -np.eye(64)[:1]))
+    ids = np.arange(500, 1001)
+    x[ids % 20 == 0] *= -1
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(neighbours.search(df, F.col("vec_id") % 20 == 0, 40)) == plain_nearest(ids, x, 40)
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, []),
