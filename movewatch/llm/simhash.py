@@ -181,21 +181,31 @@ _VALUES = 1 << np.arange(KEY_BITS - 1, -1, -1)
 _SUBSETS = np.array([[m >> i & 1 for m in range(1 << FLIPS)] for i in range(FLIPS)])
 
 
-def wide_print(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The wide fingerprint of a text (``WIDE`` numbers) and its candidate keys.
-
-    A bit is as certain as its majority is large. In each segment the least certain bits are flipped in every
-    combination, so two texts meet if in some segment each bit that differs is among those of either.
-    """
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; of the whole text if it has fewer words."""
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
-        return np.zeros(WIDE, np.uint64), np.zeros(1, np.int64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = [e + i for i, e in enumerate(accumulate(map(len, found)))]
     span = min(words, len(found))
     starts = [0, *(e + 1 for e in ends[: len(found) - span])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[span - 1 :])], np.uint64)
+    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[span - 1 :])], np.uint64))
+
+
+def wide_print(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wide fingerprint of a text (``WIDE`` numbers) and its candidate keys, from its distinct shingles.
+
+    A bit is as certain as its majority is large. In each segment the least certain bits are flipped in every
+    combination, so two texts meet if in some segment each bit that differs is among those of either.
+    """
+    return _wide_print(shingles(text, words))
+
+
+def _wide_print(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(hashes):
+        return np.zeros(WIDE, np.uint64), np.zeros(1, np.int64)
     mixed = hashes[:, None] ^ _SALTS
     mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ mixed >> np.uint64(29)).astype(">u8")
@@ -210,11 +220,14 @@ def wide_print(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _wide_prints(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wide_print(t, words) for t in batch.column(0).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            made = [_wide_print(x) for x in sets]
             fps = np.array([m[0] for m in made], np.uint64).reshape(-1, WIDE).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
             keys = pa.array([m[1] for m in made], pa.list_(pa.int64()))
-            arrays = [*(batch.column(c) for c in range(1, width)), *(pa.array(fps[:, i].copy()) for i in range(WIDE)), keys]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], *(f"f{i}" for i in range(WIDE)), "keys"])
+            size = pa.array([len(x) for x in sets], pa.int64())
+            arrays = [*(batch.column(c) for c in range(1, width)), *(pa.array(fps[:, i].copy()) for i in range(WIDE)), keys, pa.array(node), size]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], *(f"f{i}" for i in range(WIDE)), "keys", "node", "size"])
     return run
 
 
@@ -291,24 +304,116 @@ def _wide_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(*(np.concatenate(x) for x in zip(*held)))
 
 
+# --- what fingerprints only suggest, held against the shingles themselves ---
+
+#: A near copy shares ``LEAST`` of the shingles of both, as a fraction.
+LEAST = (4, 5)
+#: Members and shingles of a family in a block, and members that are compared with all blocks.
+FAMILY_BLOCK, FAMILY_SHINGLES, SPOKESMEN = 512, 1 << 21, 16
+
+
+def set_links(label: np.ndarray, sets: list[np.ndarray], asks: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similar sets that join what ``label`` keeps apart, until no asking set is similar to one apart from it."""
+    ends = np.cumsum([len(x) for x in sets])
+    size = np.diff(ends, prepend=0)
+    root = np.unique(label, return_inverse=True)[1]
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    top, whole = LEAST
+    out = []
+    for i in np.flatnonzero(asks):
+        apart = (root != root[i]) & (whole * np.minimum(size, size[i]) >= top * np.maximum(size, size[i]))
+        if not apart.any():
+            continue
+        mine = np.zeros(len(values), bool)
+        mine[code[ends[i] - size[i] : ends[i]]] = True
+        met = np.concatenate(([0], np.cumsum(mine[code])))
+        both = met[ends] - met[ends - size]
+        similar = np.flatnonzero(apart & (whole * both >= top * (size + size[i] - both)))
+        joined, at = np.unique(root[similar], return_index=True)
+        out += [(int(i), int(j)) for j in similar[at]]
+        root[np.isin(root, joined)] = root[i]
+    return out
+
+
+def _compare(group: pa.Table) -> pa.Table:
+    node = group.column("node").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    pairs = np.array(set_links(group.column("label").to_numpy(), sets, group.column("asks").to_numpy(zero_copy_only=False)), np.int64).reshape(-1, 2)
+    return pa.table([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["u", "v"])
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    return F.ceil(F.greatest(n / FAMILY_BLOCK, size / FAMILY_SHINGLES, F.lit(1.0))).cast("int")
+
+
+def _every(parts: Column) -> Column:
+    return F.sequence(F.lit(0), parts - 1)
+
+
+def verified(families: DataFrame, prints: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(u, v) links that join what chains of truly similar texts join, within each family (node, root) of candidates.
+
+    A family is cut into blocks, each compared inside and with some members that go to all blocks, its spokesmen. Pairs
+    that can still join anything have a member outside the family's largest group then; those are compared with all.
+    ``prints`` has node, size and row of every text, ``texts`` row and t.
+    """
+    members = families.unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
+    one = lookup(prints.select("node", "row", "size"), members, ["node"], "row").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("root").alias("family"))
+    one = materialized(one, "family-members")
+    cut = one.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    cut = cut.select("family", "n", _blocks(F.col("n"), F.col("all")).alias("parts"))
+    placed = lookup(one, cut, ["family"], "node")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([shingles(t, words).tobytes() for t in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], "shingles"])
+
+    found = lookup(texts.select("t", "row"), placed, ["row"], "t").select("t", "node", "family", "size", "n", "parts").dropDuplicates(["node"])
+    found = found.mapInArrow(sets, "node long, family long, size long, n long, parts int, shingles binary")
+    mark = F.xxhash64(F.lit(5), F.col("node"))
+    part = F.pmod(F.xxhash64(F.lit(6), F.col("node")), F.col("parts")).cast("int")
+    found = materialized(found.withColumn("part", part), "family-sets")
+    speaks = F.pmod(mark, F.ceil(F.col("n") / SPOKESMEN)) == 0
+    own = F.when(speaks, _every(F.col("parts"))).otherwise(F.array("part"))
+    inside = found.select("node", "family", F.explode(own).alias("block"), "shingles", F.col("node").alias("label"), F.lit(True).alias("asks"))
+    links = materialized(inside.groupBy("family", "block").applyInArrow(_compare, "u long, v long"), "family-links")
+    large = found.filter("parts > 1")
+    if large.isEmpty():
+        return links
+    groups = components(links)
+    labelled = lookup(large, groups, ["node"], "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    most = labelled.groupBy("family", "label").agg(F.count("*").alias("held")).groupBy("family").agg(F.max_by("label", F.struct("held", "label")).alias("most"))
+    labelled = lookup(labelled, most, ["family"], "node").withColumn("asks", F.col("label") != F.col("most"))
+    outside = labelled.filter("asks").groupBy("family").agg(_blocks(F.count("*"), F.sum("size")).alias("turns"))
+    labelled = materialized(lookup(labelled, outside, ["family"], "node"), "family-rest")
+    turn = F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("turns")).cast("int")
+    told = labelled.withColumn("asks", F.lit(False)).withColumn("turn", F.explode(_every(F.col("turns")))).withColumn("block", F.col("part"))
+    asked = labelled.filter("asks").withColumn("turn", turn).withColumn("block", F.explode(_every(F.col("parts"))))
+    columns = ["family", "turn", "block", "node", "shingles", "label", "asks"]
+    rest = told.select(columns).unionByName(asked.select(columns)).groupBy("family", "turn", "block").applyInArrow(_compare, "u long, v long")
+    return links.unionByName(rest)
+
+
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, but of each group of near copies only the one with the smallest doc_id.
 
-    Near copies are texts whose wide fingerprints over shingles of ``words`` words are linked (``WIDE_BUDGET``),
-    directly or over others. Null ids come last, equal ids in the order of a hash of the row; of rows that agree in every
-    column one stays. Texts without words are copies of each other. An empty table gives an empty one.
+    Near copies are texts whose sets of shingles of ``words`` words have a Jaccard similarity of ``LEAST`` or more,
+    directly or over others; those are compared whose wide fingerprints are linked (``WIDE_BUDGET``), directly or over
+    others. Null ids come last, equal ids in the order of a hash of the row; of rows that agree in every column one
+    stays. Texts without words are copies of each other. An empty table gives an empty one.
     """
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     narrow = batched(docs).select(F.col("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), row.alias("row"))
     fields = ", ".join(f"f{i} long" for i in range(WIDE))
-    prints = narrow.mapInArrow(_wide_prints(words, 4), f"doc_id long, own string, row long, {fields}, keys array<long>")
+    prints = narrow.mapInArrow(_wide_prints(words, 4), f"doc_id long, own string, row long, {fields}, keys array<long>, node long, size long")
     fps = [F.col(f"f{i}") for i in range(WIDE)]
-    prints = materialized(prints.withColumn("node", F.xxhash64(*fps)), "wide-prints")
-    distinct = prints.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)], F.min("keys").alias("keys"))
+    prints = materialized(prints, "wide-prints")
+    distinct = prints.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)], F.first("keys").alias("keys"))
     rows = distinct.select(F.explode("keys").alias("key"), "node", *fps)
     links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_link, "u long, v long")
-    roots = components(links).select(F.col("node").alias("linked"), "root")
+    roots = components(verified(components(links), prints, narrow, words)).select(F.col("node").alias("linked"), "root")
     rooted = lookup(prints.select("doc_id", "own", "row", F.col("node").alias("linked")), roots, ["linked"], "row", "left")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "own", "row")
     stay = rooted.groupBy(F.coalesce("root", "linked").alias("root")).agg(F.min(order).alias("stay"))

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from movewatch.llm import decontaminate, simhash
+from tests.llm.test_simhash import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +55,11 @@ def test_one_document_of_each_group(stages):
     assert sorted(r.doc_id for r in after) == sorted(d for d in ids if find(d) == d)
 
 
+def test_groups_are_those_of_shingles(stages):
+    before, after = stages["SimHash near-dedup"]
+    assert {r.doc_id for r in after} == plain_kept([(r.doc_id, r.text) for r in before])
+
+
 def test_no_benchmark_item_left(spark, stages):
     before, after = stages["benchmark decontamination"]
     rows = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

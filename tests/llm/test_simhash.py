@@ -136,3 +136,22 @@ def test_one_of_each_of_edge_cases(edge_docs, no_docs):
     assert [r.doc_id for r in rows if not (r.text or "").strip()] == [22]
     assert {1, 2, 3, 4, 5}.issubset({r.doc_id for r in rows})
     assert simhash.one_of_each(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+
+
+def plain_kept(rows):
+    """Smallest ids of the groups that pairs of five-word Jaccard 0.8 make, all pairs compared."""
+    sets = {}
+    for doc, text in rows:
+        w = text.encode().lower().split()
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    links = [(a, b) for a, s in sets.items() for b, t in sets.items() if a < b and 5 * len(s & t) >= 4 * len(s | t)]
+    return set(plain_groups(links, list(sets)).values())
+
+
+def test_repeated_line_makes_no_near_copies(spark):
+    line = prose(700, 12)
+    rows = [(i, prose(710 + i, 200) + " " + " ".join([line] * 40)) for i in range(12)]
+    rows += [(100 + i, prose(710 + i, 200) + " " + " ".join([line] * 38)) for i in range(12)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    assert plain_kept(rows) == set(range(12))
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == plain_kept(rows)
