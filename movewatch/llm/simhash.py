@@ -170,8 +170,8 @@ def near_duplicates(df: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc
 # --- near copies in the wide sense: a similarity rather than a few bits ---
 
 #: Words of a wide fingerprint, and the differing bits up to which two are linked. Sets of shingles with a Jaccard
-#: similarity s differ in about arccos(2 s / (1 + s)) / pi of the bits: 39 of 256 for 0.8; 44 leaves room for chance.
-WIDE, WIDE_BUDGET = 4, 44
+#: similarity s differ in about arccos(2 s / (1 + s)) / pi of the bits: 39 of 256 for 0.8; spread about 6; 60 leaves room for chance.
+WIDE, WIDE_BUDGET = 4, 60
 #: Bits of a segment by which candidates meet, three to a word, and how many of its least certain bits each side may flip.
 KEY_BITS, FLIPS = 21, 3
 ALL_PAIRS = 1024

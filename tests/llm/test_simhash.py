@@ -155,3 +155,20 @@ def test_repeated_line_makes_no_near_copies(spark):
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
     assert plain_kept(rows) == set(range(12))
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == plain_kept(rows)
+
+
+@pytest.mark.parametrize("block", [512, 7])  # families whole and in blocks
+def test_chains_and_crowds_equal_plain(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(simhash, "SPOKESMEN", 2)
+    rnd = random.Random(17)
+    rows = []
+    for g in range(4):  # crowds about one text, some of whose members are less than 0.8 alike
+        base = prose(800 + g, 250)
+        rows += [(len(rows) + i, similar(base, rnd, rnd.randrange(1, 9))) for i in range(30)]
+    text = prose(820, 250)  # each like the one before it only
+    for _ in range(20):
+        text = similar(text, rnd, 4)
+        rows.append((len(rows), text))
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == plain_kept(rows)
