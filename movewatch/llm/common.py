@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movewatch.session import materialized
-
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,24 +44,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows that go to Python at once: whole texts of a megabyte each still fit.
+#: Rows that an operator's Python code takes at once: whole texts of a megabyte each still fit.
 BATCH_ROWS = 256
 
+ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-def batched(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the rows in a batch for Python in its session."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
 
+def in_slices(run: ArrowMap) -> ArrowMap:
+    """``run`` for ``mapInArrow``, given at most ``BATCH_ROWS`` rows at a time whatever the session's batches are."""
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(start, BATCH_ROWS)
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """``materialized``, after which the shuffle files of the job that made it are given up.
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(slices(batches))
 
-    Spark removes them once the driver's garbage collector finds the job unused, which it otherwise asks for every
-    half hour; until then they take disk beside those of the next job.
-    """
-    out = materialized(df, label)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return sliced

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.llm.common import batched, free_name
+from movewatch.llm.common import free_name, in_slices
 from movewatch.llm.windows import PrefixHashes, batches
 
 GRAM, EDIT_SHARE = 8, 0.1
@@ -206,13 +206,13 @@ def find(
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    narrow = batched(docs).select(F.col(text).alias(free_name(docs, "_text")), *keep)
+    narrow = docs.select(F.col(text).alias(free_name(docs, "_text")), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
     found = []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("text", "id"), F.lit(blocks)) == block).collect()
         held = Items([r["id"] for r in own], [normal(r["text"]) for r in own], q, share)
-        found.append(narrow.mapInArrow(_search(held, len(keep) + 1), f"{schema}, item_id long, start long, end long, edits long"))
+        found.append(narrow.mapInArrow(in_slices(_search(held, len(keep) + 1)), f"{schema}, item_id long, start long, end long, edits long"))
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
@@ -228,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, share: float = E
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         held = Items(list(range(len(own))), [normal(r["text"]) for r in own], q, share)
-        docs = batched(docs).mapInArrow(_filter(held, place), docs.schema)
+        docs = docs.mapInArrow(in_slices(_filter(held, place)), docs.schema)
     return docs
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.llm.common import batched, free_name
+from movewatch.llm.common import free_name, in_slices
 
 # fixed values of HTML: elements by their role
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -260,6 +260,6 @@ def extract(df: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_
                 [*batch.schema.names[1:], "text", "n_chars"],
             )
 
-    narrow = batched(df).select(F.col(markup).alias(free_name(df, "_markup")), *keep)
+    narrow = df.select(F.col(markup).alias(free_name(df, "_markup")), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(run, f"{schema}, text string, n_chars long")
+    return narrow.mapInArrow(in_slices(run), f"{schema}, text string, n_chars long")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from movewatch.llm.common import batched
+from movewatch.llm.common import in_slices
 from movewatch.operators.joins import lookup
 from movewatch.session import materialized
 
@@ -162,7 +162,7 @@ def search(
             )
 
     hashed = materialized(
-        batched(clean).mapInArrow(packed, "id long, v binary, own array<int>, looks array<int>"), "neighbours"
+        clean.mapInArrow(in_slices(packed), "id long, v binary, own array<int>, looks array<int>"), "neighbours"
     )
     filed = hashed.select(F.explode("own").alias("bucket"), F.lit(0).alias("asks"))
     asking = hashed.select(F.explode("looks").alias("bucket"), F.lit(1).alias("asks"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.llm.common import batched, free_name
+from movewatch.llm.common import free_name, in_slices
 from movewatch.session import materialized
 
 FEATURES = (
@@ -122,9 +122,9 @@ def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             made = pa.array(rows, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], "features"])
 
-    narrow = batched(df).select(F.col(text).alias(free_name(df, "_text")), *keep)
+    narrow = df.select(F.col(text).alias(free_name(df, "_text")), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(run, f"{schema}, features array<double>")
+    return narrow.mapInArrow(in_slices(run), f"{schema}, features array<double>")
 
 
 def held_out(key: Column) -> Column:
@@ -193,4 +193,4 @@ def kept(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
             x = np.array([statistics(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= least))
 
-    return batched(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_slices(run), docs.schema)

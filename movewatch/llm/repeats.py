@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.llm.common import batched, content_key, settled
+from movewatch.llm.common import content_key, in_slices
 from movewatch.llm.windows import BASES, Kind, PrefixHashes, anchors, batches, span_codes, window_starts
 from movewatch.operators.joins import lookup
+from movewatch.session import materialized
 
 SALTS = 2
 #: Surroundings of a gram up to which its windows are compared in one part, the windows a part has beyond, and the
@@ -194,14 +195,14 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     """
     k1, k2 = content_key(F.col("text"))
     first = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) if keep_first else F.lit(0).cast("long")
-    rows = batched(docs).select(k1.alias("k1"), k2.alias("k2"), first.alias("first"), F.coalesce("text", F.lit("")).alias("text"))
-    often = rows.mapInArrow(_anchors(kind, True), "g long").groupBy("g").count().filter("count > 1").select("g")
-    placed = rows.mapInArrow(_anchors(kind, False), "g long, s long, k1 long, k2 long, first long, place long")
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), first.alias("first"), F.coalesce("text", F.lit("")).alias("text"))
+    often = rows.mapInArrow(in_slices(_anchors(kind, True)), "g long").groupBy("g").count().filter("count > 1").select("g")
+    placed = rows.mapInArrow(in_slices(_anchors(kind, False)), "g long, s long, k1 long, k2 long, first long, place long")
     shared = lookup(placed, often, ["g"], "k1", "left_semi", SALTS)
-    shared = settled(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
+    shared = materialized(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
 
     occurrence = F.struct("first", "k1", "k2", "place")
-    spans = settled(shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(occurrence).alias("head")), "spans")
+    spans = materialized(shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(occurrence).alias("head")), "spans")
     copied = lookup(shared, spans.filter("n > 1"), ["g", "s"], "k1", "inner", SALTS)
     low, high = _low_high(F.col("place"))
     runs = copied.filter(occurrence != F.col("head") if keep_first else F.lit(True)).select("k1", "k2", low.alias("low"), high.alias("high"))
@@ -213,12 +214,12 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     )
     # all columns of the texts, used or not: as the same exchange it is made once for all joins of texts
     cut = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
-    segments = cut.mapInArrow(_segments(kind, hot, False), "g long, part int, k1 long, k2 long, first long, low long, raw binary")
+    segments = cut.mapInArrow(in_slices(_segments(kind, hot, False)), "g long, part int, k1 long, k2 long, first long, low long, raw binary")
     by_gram = segments.repartition("g", "part").sortWithinPartitions("g", "part")
     runs = runs.unionByName(by_gram.mapInArrow(_compare(kind, removed), "k1 long, k2 long, low long, high long"))
 
     crowd = cut.filter(F.exists("listed", lambda a: a["spans"] > hot))
-    single = crowd.mapInArrow(_segments(kind, hot, True), "h1 long, h2 long, k1 long, k2 long, first long, low long")
+    single = crowd.mapInArrow(in_slices(_segments(kind, hot, True)), "h1 long, h2 long, k1 long, k2 long, first long, low long")
     window = F.struct("first", "k1", "k2", "low")
     seen = single.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(window).alias("head")).filter("n > 1")
     again = lookup(single, seen, ["h1", "h2"], "k1", "inner", SALTS)

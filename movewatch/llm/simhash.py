@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewatch.llm.common import batched, free_name
+from movewatch.llm.common import free_name, in_slices
 from movewatch.llm.components import components, local_roots
 from movewatch.operators.joins import lookup
 from movewatch.session import materialized
@@ -57,9 +57,9 @@ def fingerprints(df: DataFrame, words: int = 3, text: str = "text", keep: tuple[
             made = pa.array([fingerprint(t, words) for t in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], "fp"])
 
-    narrow = batched(df).select(F.col(text).alias(free_name(df, "_text")), *keep)
+    narrow = df.select(F.col(text).alias(free_name(df, "_text")), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(run, f"{schema}, fp long")
+    return narrow.mapInArrow(in_slices(run), f"{schema}, fp long")
 
 
 def _bits(fp: Column, low: int, width: int) -> Column:
@@ -370,7 +370,7 @@ def verified(families: DataFrame, prints: DataFrame, texts: DataFrame, words: in
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], "shingles"])
 
     found = lookup(texts.select("t", "row"), placed, ["row"], "t").select("t", "node", "family", "size", "n", "parts").dropDuplicates(["node"])
-    found = found.mapInArrow(sets, "node long, family long, size long, n long, parts int, shingles binary")
+    found = found.mapInArrow(in_slices(sets), "node long, family long, size long, n long, parts int, shingles binary")
     mark = F.xxhash64(F.lit(5), F.col("node"))
     part = F.pmod(F.xxhash64(F.lit(6), F.col("node")), F.col("parts")).cast("int")
     found = materialized(found.withColumn("part", part), "family-sets")
@@ -405,9 +405,9 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    narrow = batched(docs).select(F.col("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), row.alias("row"))
+    narrow = docs.select(F.col("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), row.alias("row"))
     fields = ", ".join(f"f{i} long" for i in range(WIDE))
-    prints = narrow.mapInArrow(_wide_prints(words, 4), f"doc_id long, own string, row long, {fields}, keys array<long>, node long, size long")
+    prints = narrow.mapInArrow(in_slices(_wide_prints(words, 4)), f"doc_id long, own string, row long, {fields}, keys array<long>, node long, size long")
     fps = [F.col(f"f{i}") for i in range(WIDE)]
     prints = materialized(prints, "wide-prints")
     distinct = prints.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(WIDE)], F.first("keys").alias("keys"))

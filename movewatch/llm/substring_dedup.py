@@ -105,7 +105,7 @@ def remove_later(docs: DataFrame, words: int = 20, with_text: bool = False, hot:
     runs = repeats.repeated_windows(docs, texts, kind, _by_blocks, keep_first=True, hot=hot)
     rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "first", "runs", "copies")
     fields = "struct<n_removed:long,kept_sha256:binary" + ",kept:string" * with_text + ">"
-    results = rows.mapInArrow(_keep(words, with_text), f"k1 long, k2 long, first long, n_words long, own {fields}, copy {fields}")
+    results = rows.mapInArrow(in_slices(_keep(words, with_text)), f"k1 long, k2 long, first long, n_words long, own {fields}, copy {fields}")
     found = repeats.to_documents(docs, results)
     earliest = F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.LAST)) == F.col("first")
     return found.select("doc_id", "n_words", F.when(earliest, F.col("own")).otherwise(F.col("copy")).alias("r")).select("doc_id", "n_words", "r.*").withColumn("kept_sha256", F.lower(F.hex("kept_sha256")))

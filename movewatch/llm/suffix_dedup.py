@@ -65,5 +65,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     runs = repeats.repeated_windows(docs, texts, kind, _in_order, keep_first=False, hot=hot)
     rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "copies", "runs", "first")
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 binary" + ", kept binary" * with_text
-    results = repeats.to_documents(docs, rows.mapInArrow(_keep(length, with_text), schema))
+    results = repeats.to_documents(docs, rows.mapInArrow(in_slices(_keep(length, with_text)), schema))
     return results.withColumn("kept_sha256", F.lower(F.hex("kept_sha256")))
