@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from movewatch.functions.scalar import ratio
 from movewatch.operators.bars import DAY_BUCKET, anchors, last_n
 from movewatch.operators.joins import lookup
-from movewatch.operators.ordered import time_bucket
+from movewatch.operators.ordered import positions, time_bucket
 from movewatch.schemas import MS_PER_DAY
 
 # --- fixed values: scan defaults --------------------------------------------
@@ -90,6 +90,50 @@ def score_watchlist(
     return _score(stats).withColumn("flagged", F.coalesce(hit, F.lit(False)))
 
 
+def backfill_scores(
+    bars: DataFrame,
+    n: int = N_WINDOW,
+    z: float = Z_THRESHOLD,
+    vol: float = VOL_THRESHOLD,
+    min_bars: int | None = None,
+    block: int = 1024,
+    bucket_ms: int = DAY_BUCKET,
+) -> DataFrame:
+    """What ``score_watchlist`` would have said at every bar: one row per company and bar with at least ``min_bars`` bars so far.
+
+    A company's bars are numbered and cut into blocks of ``block``; the last n - 1 bars of a block also go to the next
+    one, as the halo its first windows reach back into. So a company with any share of the bars is spread over as many
+    tasks as it has blocks, and the windows are bounded frames inside a block.
+    """
+    if block < n:
+        raise ValueError("a block must hold a whole window")
+    narrow = bars.select("company_id", "ts_ms", "close", "volume")
+    placed = positions(narrow, ["company_id"], ["ts_ms"], time_bucket("ts_ms", bucket_ms))
+    own = F.floor(F.col("position") / F.lit(block))
+    copies = F.when(F.col("position") % block > block - n, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = placed.withColumn("_own", own).withColumn("_block", F.explode(copies))
+    inside = Window.partitionBy("company_id", "_block").orderBy("position")
+    window, steps = inside.rowsBetween(-(n - 1), 0), inside.rowsBetween(-(n - 2), 0)
+    rows = rows.withColumn("prev_close", F.lag("close").over(inside)).withColumn("ret", ratio(F.col("close"), F.col("prev_close")) - 1)
+    missing = F.max((_missing("close") | _missing("volume")).cast("int")).over(window) == 1
+    from_zero = F.max(F.coalesce(F.col("prev_close") == 0, F.lit(False)).cast("int")).over(steps) == 1
+    stats = rows.select(
+        "company_id", "_own", "_block",
+        F.least(F.col("position") + 1, F.lit(n)).cast("long").alias("n_bars"),
+        F.col("ts_ms").alias("anchor_ms"),
+        F.col("close").alias("latest_close"),
+        F.col("ret").alias("latest_return"),
+        F.avg("ret").over(steps).alias("_mean"),
+        F.stddev_pop("ret").over(steps).alias("_std"),
+        F.col("volume").cast("double").alias("_volume"),
+        F.avg("volume").over(window).alias("_mean_volume"),
+        (missing | from_zero).alias("_bad"),
+    )
+    stats = stats.filter((F.col("_own") == F.col("_block")) & (F.col("n_bars") >= (n if min_bars is None else min_bars)))
+    hit = (F.abs("z_score") >= z) | (F.col("volume_ratio") >= vol)
+    return _score(stats).withColumn("flagged", F.coalesce(hit, F.lit(False)))
+
+
 def with_trigger(scores: DataFrame, digits: int = 2) -> DataFrame:
     """Adds the rounded trigger struct stored with a finding."""
     return scores.withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from movewatch.functions.scalar import evidence_entries, once, strip_fence
-from movewatch.operators.ordered import top_n
+from movewatch.operators.ordered import prefix_sums, top_n
 from movewatch.schemas import CONFIDENCES, DRIVERS, EVIDENCE, TOOL_WINDOW_DAYS, TOOLS, TRIGGER
 
 # --- fixed values: required fields in checking order, and run limits ---------
@@ -297,3 +297,34 @@ def driver_history(findings: DataFrame, unit: str = "week") -> DataFrame:
     drivers = [F.count_if(F.col("primary_driver") == d).alias(f"n_{d}") for d in DRIVERS]
     levels = [F.count_if(F.col("confidence") == c).alias(f"n_{c}") for c in CONFIDENCES]
     return findings.groupBy(period).agg(F.count(F.lit(1)).alias("n"), *drivers, *levels)
+
+
+def company_trend(findings: DataFrame, unit: str = "week") -> DataFrame:
+    """Findings of each company per period, with its confidence so far: a row for every period from its first to its last one.
+
+    ``confidence`` is the mean level of the period's findings (low 1, medium 2, high 3), NULL in a period without any;
+    ``confidence_so_far`` that of all findings up to the period's end, ``change`` the period's mean less the mean before it.
+    Findings are combined per company and period before anything is ordered, and the running sums are carried from
+    year to year, so a company with most of the findings costs one row a period.
+    """
+    steps = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}
+    level = F.array_position(F.array(*[F.lit(c) for c in ("low", "medium", "high")]), F.col("confidence"))
+    known = F.when(level > 0, level)
+    period = F.date_trunc(unit, F.timestamp_millis("created_at")).cast("date")
+    drivers = [F.count_if(F.col("primary_driver") == d).alias(f"n_{d}") for d in DRIVERS]
+    held = findings.filter(F.col("company_id").isNotNull() & F.col("created_at").isNotNull()).groupBy("company_id", period.alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), *drivers, F.count(known).alias("_rated"), F.sum(known).alias("_levels")
+    )
+    ends = held.groupBy("company_id").agg(F.min("period").alias("_from"), F.max("period").alias("_to"))
+    every = ends.select("company_id", F.explode(F.sequence("_from", "_to", F.expr(f"interval {steps[unit]}"))).alias("period"))
+    counted = ["n", *[f"n_{d}" for d in DRIVERS], "_rated", "_levels"]
+    filled = every.join(held, ["company_id", "period"], "left").fillna(0, counted)
+    running = prefix_sums(filled, ["company_id"], ["period"], F.year("period"), {"_n": F.col("n"), "_r": F.col("_rated"), "_l": F.col("_levels")})
+
+    def mean(total: Column, count: Column) -> Column:
+        return total / F.nullif(count, F.lit(0))
+    now, before = mean(F.col("_levels"), F.col("_rated")), mean(F.col("_l"), F.col("_r"))
+    return running.select(
+        "company_id", "period", "n", *[f"n_{d}" for d in DRIVERS], (F.col("_n") + F.col("n")).alias("n_so_far"),
+        now.alias("confidence"), mean(F.col("_l") + F.col("_levels"), F.col("_r") + F.col("_rated")).alias("confidence_so_far"), (now - before).alias("change"),
+    )

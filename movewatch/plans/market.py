@@ -191,6 +191,26 @@ def resample_daily(m: Market) -> DataFrame:
     return bars.resample_daily(m.bars)
 
 
+_BACK = "OVER (PARTITION BY company_id ORDER BY ts_ms ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@query("rm1_backfill_scores", f"""
+SELECT company_id, anchor_ms, n_bars, round(nullif(close, 'nan'::DOUBLE), 6) AS latest_close, round(CASE WHEN NOT bad THEN ret END, 6) AS latest_return,
+  round(CASE WHEN NOT bad THEN coalesce((ret - m) / nullif(sd, 0), 0) END, 6) AS z_score,
+  round(CASE WHEN NOT bad THEN coalesce(volume / nullif(mv, 0), 0) END, 6) AS volume_ratio,
+  CASE WHEN NOT bad THEN CASE WHEN ret > 0 THEN 'up' ELSE 'down' END END AS direction, CASE WHEN bad THEN 'bad_data' ELSE 'ok' END AS status,
+  coalesce(NOT bad AND (abs(coalesce((ret - m) / nullif(sd, 0), 0)) >= 2.0 OR coalesce(volume / nullif(mv, 0), 0) >= 2.5), false) AS flagged
+FROM (SELECT company_id, ts_ms AS anchor_ms, close, volume, ret, count(*) {_BACK.format(29)} AS n_bars,
+    avg(r) {_BACK.format(28)} AS m, stddev_pop(r) {_BACK.format(28)} AS sd, avg(volume) {_BACK.format(29)} AS mv,
+    bool_or(close IS NULL OR isnan(close) OR volume IS NULL) {_BACK.format(29)} OR bool_or(coalesce(prev = 0, false)) {_BACK.format(28)} AS bad
+  FROM (SELECT *, close / nullif(prev, 0) - 1 AS ret, CASE WHEN NOT isnan(close / nullif(prev, 0)) THEN close / nullif(prev, 0) - 1 END AS r
+    FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY ts_ms) AS prev FROM gap_tick)))
+WHERE n_bars >= 30""")
+def backfill_scores(m: Market) -> DataFrame:
+    """The score of every company at every tick that has 30 ticks behind it."""
+    return anomaly.backfill_scores(m.gap_ticks)
+
+
 @query("st1_watchlist", """
 SELECT company_id, cast(min(list_no * 1000000000000 + ordinal) // 1000000000000 AS int) AS list_no, min(list_no * 1000000000000 + ordinal) % 1000000000000 AS ordinal FROM (
   SELECT company_id, 0 AS list_no, min(event_id) AS ordinal FROM ev WHERE event_type = 'purchase' GROUP BY 1

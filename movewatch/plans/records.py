@@ -194,6 +194,35 @@ def driver_history(m: Market) -> DataFrame:
     return history.withColumn("week", F.to_date("period").cast("string")).drop("period")
 
 
+_LEVEL = "CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END"
+
+
+_TREND = {
+    "trend_held": f"""
+  SELECT company_id, cast(date_trunc('week', make_timestamp(created_at * 1000)) AS date) AS period, count(*) AS n,
+    count(*) FILTER (primary_driver = 'news') AS n_news, count(*) FILTER (primary_driver = 'discussion') AS n_discussion,
+    count(*) FILTER (primary_driver = 'sector') AS n_sector, count(*) FILTER (primary_driver = 'unexplained') AS n_unexplained,
+    count({_LEVEL}) AS rated, sum({_LEVEL}) AS levels
+  FROM finding GROUP BY ALL""",
+    "trend_filled": """
+  SELECT company_id, period, coalesce(n, 0) AS n, coalesce(n_news, 0) AS n_news, coalesce(n_discussion, 0) AS n_discussion, coalesce(n_sector, 0) AS n_sector,
+    coalesce(n_unexplained, 0) AS n_unexplained, coalesce(rated, 0) AS rated, coalesce(levels, 0) AS levels
+  FROM (SELECT company_id, cast(unnest(generate_series(min(period), max(period), INTERVAL 7 DAYS)) AS date) AS period FROM trend_held GROUP BY 1)
+  LEFT JOIN trend_held USING (company_id, period)""",
+}
+
+
+@query("rm2_company_trend", """
+SELECT company_id, period::varchar AS period, n, n_news, n_discussion, n_sector, n_unexplained, n_all::BIGINT AS n_so_far,
+  round(levels / nullif(rated, 0), 6) AS confidence, round(l / nullif(r, 0), 6) AS confidence_so_far,
+  round(levels / nullif(rated, 0) - (l - levels) / nullif(r - rated, 0), 6) AS change
+FROM (SELECT *, sum(n) OVER w AS n_all, sum(rated) OVER w AS r, sum(levels) OVER w AS l
+  FROM trend_filled WINDOW w AS (PARTITION BY company_id ORDER BY period))""", views=_TREND)
+def company_trend(m: Market) -> DataFrame:
+    trend = findings.company_trend(m.findings, "week")
+    return trend.withColumn("period", F.col("period").cast("string"))
+
+
 @query("sink4_finding_rows", f"""
 SELECT regexp_replace(md5(company_id || '|' || {AS_OF_MS} || '|' || hypothesis), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id,
   company_id, {AS_OF_MS}::BIGINT AS created_at, driver AS primary_driver, hypothesis, confidence, cast(driver = 'unexplained' AS int) AS needs_human_review

@@ -36,7 +36,7 @@ SELECT *, min(rn) FILTER (bad) OVER (PARTITION BY company_id, poll) AS first_bad
 FROM (SELECT *, n AS rn, {bad} AS bad FROM ({poll}) WHERE n <= 5)"""
 _NEWS_FEED = _FEED.format(bad="event_id % 7 <> 3 AND event_id % 11 = 5", poll=_poll("error"))
 _POST_FEED = _FEED.format(bad="event_id % 11 = 5", poll=_poll("click"))
-_NEWS_ROWS = f"""
+NEWS_ROWS = f"""
 SELECT cast(event_id // 2 AS varchar) AS id, company_id, 'Item ' || k AS headline, '' AS summary, 'wire' AS source,
   CASE WHEN event_id % 7 <> 3 THEN 'https://example.org/' || (event_id // 2) ELSE '' END AS url,
   CASE WHEN event_id % 11 <> 5 THEN ms END AS published_at, cast(rn - 1 AS int) AS pos,
@@ -44,23 +44,26 @@ SELECT cast(event_id // 2 AS varchar) AS id, company_id, 'Item ' || k AS headlin
 FROM ({_NEWS_FEED})"""
 
 
-@query("src3_ingest_news", _NEWS_ROWS)
+@query("src3_ingest_news", NEWS_ROWS)
 def ingest_news(m: Market) -> DataFrame:
     return feeds.ingest_news(m.news_polls)
 
 
-@query("src4_ingest_discussion", f"""
+POST_ROWS = f"""
 SELECT cast(event_id AS varchar) AS id, company_id, 'Post ' || k AS title, '' AS summary, 'Stocktwits' AS source,
   'https://stocktwits.com/message/' || event_id AS url, CASE WHEN NOT bad THEN ms END AS published_at,
   cast(rn - 1 AS int) AS pos, CASE WHEN rn > coalesce(first_bad, 99) THEN 'after_bad' WHEN bad THEN 'bad_date' END AS reason
-FROM ({_POST_FEED})""")
+FROM ({_POST_FEED})"""
+
+
+@query("src4_ingest_discussion", POST_ROWS)
 def ingest_discussion(m: Market) -> DataFrame:
     return feeds.ingest_discussion(m.discussion_polls)
 
 
 @query("sink1_append_news", f"""
 SELECT * EXCLUDE (reason, rank) FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY company_id, published_at, pos) AS rank FROM ({_NEWS_ROWS}) WHERE reason IS NULL)
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY company_id, published_at, pos) AS rank FROM ({NEWS_ROWS}) WHERE reason IS NULL)
 WHERE rank = 1 AND id NOT IN (SELECT id FROM news)""")
 def append_news(m: Market) -> DataFrame:
     """New articles by id; the same id under two companies is kept for the first."""
@@ -360,7 +363,7 @@ def sector_members(m: Market) -> DataFrame:
 
 
 @query("sink1_refused", f"""
-SELECT 'null:headline' AS reason, count(*) AS n FROM ({_NEWS_ROWS}) WHERE reason IS NULL AND cast(substring(headline, 6) AS int) % 7 = 0
+SELECT 'null:headline' AS reason, count(*) AS n FROM ({NEWS_ROWS}) WHERE reason IS NULL AND cast(substring(headline, 6) AS int) % 7 = 0
 HAVING count(*) > 0""")
 def refused_rows(m: Market) -> DataFrame:
     """Rows without a required value are kept with the reason."""

@@ -9,8 +9,9 @@ from movewatch.operators.attribution import AttributionParams
 from movewatch.plans.bindings import NEWS_LEAST, SCHEMAS, Market
 from movewatch.plans.catalog import query, score_sql
 from movewatch.plans.market import _SCORE_COLUMNS
+from movewatch.plans.signals import NEWS_ROWS, POST_ROWS
 from movewatch.session import fresh_dir
-from movewatch.sources import sinks
+from movewatch.sources import feeds, sinks
 from movewatch.streaming import ingest, scan
 
 
@@ -41,6 +42,41 @@ def stream_ingest(m: Market) -> DataFrame:
     return sinks.open_table(m.spark, "bar", f"{base}/bars").select("company_id", "ts_ms", "close", "volume")
 
 
+def _landing(m: Market, polls: DataFrame, base: str) -> None:
+    """Polls as files of JSON lines, a line in 50 of them cut short."""
+    line = F.to_json(F.struct("ticker", "payload"))
+    broken = F.pmod(F.xxhash64("ticker", "payload"), F.lit(50)) == 7
+    cut = polls.filter(broken).select(F.substring(line, 1, 30).alias("value"))
+    polls.select(line.alias("value")).unionByName(cut).repartition(6).write.text(f"{base}/landing")
+
+
+def _landed_stream(m: Market, kind: str, polls: DataFrame) -> DataFrame:
+    base = fresh_dir(m.spark, f"landed-{kind}")
+    _landing(m, polls, base)
+    stream = feeds.landed(m.spark, kind, f"{base}/landing", stream=True, files_per_batch=3)
+    ingest.stream_ingest(stream, kind, f"{base}/{kind}", f"{base}/checkpoint").awaitTermination()
+    return sinks.open_table(m.spark, kind, f"{base}/{kind}")
+
+
+# Of an article that comes twice the first by company, time and place stays, if both are in a batch; over batches
+# the earlier batch's. What doesn't depend on the cut is what is compared.
+@query("ss1_stream_news", f"""
+SELECT id, min(headline) AS headline, min(url) AS url FROM ({NEWS_ROWS}) WHERE reason IS NULL GROUP BY id HAVING count(*) = 1
+UNION ALL
+SELECT id, NULL, min(url) FROM ({NEWS_ROWS}) WHERE reason IS NULL GROUP BY id HAVING count(*) > 1""")
+def stream_news(m: Market) -> DataFrame:
+    """Articles stored from a landing folder; the headline is shown where only one poll had the article."""
+    often = feeds.accepted(feeds.ingest_news(m.news_polls)).groupBy("id").agg((F.count(F.lit(1)) > 1).alias("twice"))
+    stored = _landed_stream(m, "news", m.news_polls).join(often, "id", "left")
+    return stored.select("id", F.when(~F.col("twice"), F.col("headline")).alias("headline"), "url")
+
+
+@query("ss1_stream_discussion", f"""
+SELECT id, company_id, title, source, url, published_at FROM ({POST_ROWS}) WHERE reason IS NULL""")
+def stream_discussion(m: Market) -> DataFrame:
+    return _landed_stream(m, "discussion", m.discussion_polls).select("id", "company_id", "title", "source", "url", "published_at")
+
+
 @query("ss2_stream_dedup", "SELECT company_id, ts_ms // 3600000 AS hour FROM bar")
 def stream_dedup(m: Market) -> DataFrame:
     """First event of each company and hour."""

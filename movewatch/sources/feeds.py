@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,40 @@ NEWS_PAYLOAD = "array<struct<id:string,content:struct<title:string,summary:strin
 DISCUSSION_PAYLOAD = "struct<messages:array<struct<id:string,body:string,created_at:string>>>"
 
 
+#: Columns of a landed file by kind: a line is a poll for news and discussion, a price row for bars.
+POLL = "ticker string, payload string"
+PRICE_ROW = "ticker string, ts string, open string, high string, low string, close string, volume string"
+_CORRUPT = "_corrupt_record"
+
+
+def landed(spark: SparkSession, kind: str, folder: str, extra: str = "", stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Files of JSON lines in a landing folder, as polls or price rows with ``file`` and ``corrupt``.
+
+    The schema is pinned: no file is read to guess it and a field that is not named is passed over. A payload may
+    be JSON inside the line or a string. A line that is no JSON object keeps its text in ``corrupt``; ``readable``
+    and ``corrupt`` split the rows, so that unreadable lines can be set aside by file. ``extra`` names further columns, such as those
+    of a poll. With ``stream`` the folder is followed, at most ``files_per_batch`` new files at a time.
+    """
+    schema = (PRICE_ROW if kind == "bar" else POLL) + (f", {extra}" if extra else "") + f", {_CORRUPT} string"
+    reader = spark.readStream if stream else spark.read
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # lines as text, parsed here: a JSON scan refuses to give the unreadable lines alone
+    lines = reader.text(folder).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = lines.withColumn("row", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
+    unread = F.col("row").isNull() | F.col(f"row.{_CORRUPT}").isNotNull()
+    return parsed.select("row.*", "file", F.when(unread, F.col("value")).alias("corrupt")).drop(_CORRUPT)
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("corrupt").isNull()).drop("corrupt", "file")
+
+
+def corrupt(rows: DataFrame) -> DataFrame:
+    """The lines that could not be read, with their file."""
+    return rows.filter(F.col("corrupt").isNotNull()).select("file", "corrupt")
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.filter(F.col("reason").isNull()).drop("reason")
 

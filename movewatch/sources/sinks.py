@@ -13,6 +13,7 @@ from movewatch.functions.scalar import decode_finding, encode_finding
 from movewatch.operators.joins import lookup
 from movewatch.operators.ordered import top_n
 from movewatch.session import materialized
+from movewatch.sources import key_index
 
 BAR_KEYS = ("company_id", "ts_ms")
 ITEM_KEYS = ("id",)
@@ -136,18 +137,58 @@ def append_table(new: DataFrame, kind: str, path: str, order: Sequence[Column])
     """Insert-or-ignore into a stored table; columns the table does not have only order.
 
     A bar's key fixes its day, so only the folders of the days in ``new`` are read back; the
-    list of days is short by nature. Ids of other tables may come back with another date,
-    so their id column is read in full.
+    list of days is short by nature. Ids of other tables may come back with another date, so
+    these tables have an index of their ids (``path + '_ids'``) and no folder is read back.
     """
     stored = open_table(new.sparkSession, kind, path)
     placed = _with_day(new, kind)
-    if kind == "bar":
-        days = [r["day"] for r in placed.select("day").distinct().collect()]
-        stored = stored.filter(F.col("day").isin(days)) if days else stored.limit(0)
-    fresh = append_new(placed, stored, _KEYS[kind], order, REQUIRED.get(kind, ()))
+    if kind != "bar":
+        _append_by_index(placed, kind, path, order)
+        return
+    fresh = append_new(placed, _on_days(stored, placed), _KEYS[kind], order, REQUIRED.get(kind, ()))
     fresh.select(*stored_columns(kind), "day").write.mode("append").partitionBy("day").parquet(path)
 
 
+def _on_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    days = [r["day"] for r in rows.select("day").distinct().collect()]
+    return stored.filter(F.col("day").isin(days)) if days else stored.limit(0)
+
+
+def _append_by_index(placed: DataFrame, kind: str, path: str, order: Sequence[Column]) -> None:
+    """Append the rows whose id the table's index lacks.
+
+    The rows wait in a folder of their own while index and table are written. What is found there at the next
+    append stems from a run that was cut off: it is finished first, from the folders of the rows' days.
+    """
+    spark = placed.sparkSession
+    index, waiting = f"{path}_ids", f"{path}_waiting"
+    columns = [*stored_columns(kind), "day"]
+    schema = T.StructType([*_STORED[kind].fields, T.StructField("day", T.DateType())])
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(waiting)
+    left = spark.read.schema(schema).parquet(waiting)
+    if not left.isEmpty():
+        missing = left.join(_on_days(open_table(spark, kind, path), left).select("id"), "id", "left_anti")
+        _store(missing.select(*columns), left, index, path)
+    elif not _exists(spark, index):
+        key_index.add(open_table(spark, kind, path).select(F.col("id").alias("key")), index)  # new, or from before the index
+    rows = first_of(placed, kind, order)
+    stored = key_index.known(rows.select(F.col("id").alias("key")), index).withColumnRenamed("key", "id")
+    rows.join(stored, "id", "left_anti").select(*columns).write.mode("overwrite").parquet(waiting)
+    fresh = spark.read.schema(schema).parquet(waiting)
+    _store(fresh, fresh, index, path)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(waiting)
+
+
+def _store(rows: DataFrame, indexed: DataFrame, index: str, path: str) -> None:
+    key_index.add(indexed.select(F.col("id").alias("key")), index)
+    rows.write.mode("append").partitionBy("day").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def write_findings(rows: DataFrame, path: str) -> None:
     """Store finding rows with trigger and evidence as JSON text, ignoring ids already there."""
     append_table(encode_finding(rows), "finding", path, [F.asc("company_id")])

@@ -54,6 +54,8 @@ def stream_ingest(
       ``on_bad='row'`` refuses bad rows only: one of the two is required;
     * ``arrival`` names the bar feed's columns that say in which order rows came, so that the first
       copy of a bar wins in a batch as it does between batches.
+
+    ``raw`` may be a landing folder (``feeds.landed``): its unreadable lines go into ``target + '_corrupt'``.
     """
     convert = KINDS[kind]
     if kind == "bar":
@@ -63,6 +65,9 @@ def stream_ingest(
     order = [F.asc(c) for c in ORDERS.get(kind, [*arrival, *BAR_TIES])]
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if "corrupt" in batch.columns:
+            feeds.corrupt(batch).write.mode("overwrite").parquet(f"{target}_corrupt/batch_id={batch_id}")
+            batch = feeds.readable(batch)
         rows = convert(batch, **options).persist()
         try:
             good = feeds.accepted(rows)

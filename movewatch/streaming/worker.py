@@ -22,17 +22,27 @@ SCORE = (
 )
 
 
-def newest_bars(n: int):
-    """Cuts each Arrow batch to the newest n bars per company, before any shuffle.
+#: Bars of all companies that a task holds before it sends them on.
+HELD_ROWS = 1 << 19
 
-    Only the newest n can end up in a company's state, so a hot company sends n rows per
-    batch on and not all of them.
+
+def newest_bars(n: int, held_rows: int = HELD_ROWS):
+    """Cuts each partition to the newest n bars per company, before any shuffle, whatever its batches are.
+
+    Only the newest n can end up in a company's state, so a hot company sends n rows a task on
+    and not all it has. A partition of very many companies is sent on in pieces.
     """
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for frame in frames:
-            ordered = frame.sort_values(["company_id", "ts_ms"], kind="stable")
-            distinct = ordered.drop_duplicates(["company_id", "ts_ms"])
-            yield distinct.groupby("company_id").tail(n)
+            rows = frame if held is None else pd.concat([held, frame])
+            ordered = rows.sort_values(["company_id", "ts_ms"], kind="stable")
+            held = ordered.drop_duplicates(["company_id", "ts_ms"]).groupby("company_id").tail(n)
+            if len(held) > held_rows:
+                yield held
+                held = None
+        if held is not None:
+            yield held
     return cut
 
 

@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,10 +83,15 @@ def test_stream_scan_reports_each_batch(spark, tmp_path):
     assert got == [(1, 29, False), (2, 30, True), (3, 30, True)]  # too old a bar changes nothing
 
 
-def test_newest_bars_cut_is_per_arrow_batch(spark):
-    df = spark.range(5000, numPartitions=1).select(F.lit("hot").alias("company_id"), F.col("id").alias("ts_ms"), F.lit(1.0).alias("close"), F.lit(1).cast("long").alias("volume"))
-    out = df.mapInPandas(worker.newest_bars(30), df.schema)
-    assert out.count() <= 60 and out.agg(F.max("ts_ms")).first()[0] == 4999
+@pytest.mark.parametrize("held_rows", [worker.HELD_ROWS, 1000])
+def test_newest_bars_cut_is_per_partition(held_rows):
+    frames = [pd.DataFrame({"company_id": ["hot"] * 90 + [f"c{i % 50}"] * 10, "ts_ms": range(i * 100, i * 100 + 100), "close": 1.0, "volume": 1}) for i in range(200)]
+    out = pd.concat(worker.newest_bars(30, held_rows)(iter(frames)))
+    hot = out[out.company_id == "hot"]
+    assert hot.ts_ms.max() == 19_989 and set(range(19_960, 19_990)) <= set(hot.ts_ms)
+    assert len(out) == 51 * 30 if held_rows == worker.HELD_ROWS else len(out) < 6000
+    first = pd.concat(worker.newest_bars(2)(iter([pd.DataFrame({"company_id": ["A"], "ts_ms": [1], "close": [c], "volume": [1]}) for c in (1.0, 2.0)])))
+    assert first.close.tolist() == [1.0]  # of two copies the first stays
 
 
 def cut_by(rows, key):
