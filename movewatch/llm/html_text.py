@@ -2,18 +2,23 @@
 
 A page's text is cut into blocks, each with the path of tags from the root to it. For every path the text
 length and the punctuation of its blocks are added up; per block of the path they give two ratios, which
-are fused into one (less the share of text in links, more for paths through an article element),
-smoothed along the page, and held against a threshold from their spread. Paths above it are content; a
-block counts as content if its path does, or if it stands in the same container as one (headings, short
-paragraphs). Elements that never hold main text (scripts, menus, forms, notices by their name, ...) are
-left out beforehand.
+are fused into one (less the share of text in links), smoothed along the page, and held against a threshold
+from their spread. Paths above it are content; a block counts as content if its path does, or if it stands in
+the same container as one (headings, short paragraphs).
+
+Names only weigh: inside an article element the ratio counts more; inside navigation, footers, forms and what is named like
+an advert, a notice, a sidebar or readers' comments it counts less, and such a block has to pass by itself, whatever its container. A
+name of which only a part says so doesn't weigh on an element that holds most of the page's text, and no class does on an article.
+What a browser doesn't show as text (scripts, styles, controls, hidden elements) is left out beforehand.
+
+Paths are numbers, each made of its parent's and a label, so that a page's memory follows its length however deep it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,51 +45,62 @@ ENDS = {
     "tfoot": ("thead tbody tfoot tr td th", "table"),
 }
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
+#: Elements whose content is no text of the page.
 DROPPED = frozenset(
-    "head script style noscript template iframe object svg math canvas audio video nav aside footer form button select option input "
-    "textarea fieldset label menu dialog noembed noframes xmp".split()
+    "head script style noscript template iframe object svg math canvas audio video button select option input "
+    "textarea noembed noframes xmp".split()
 )
 ARTICLE = frozenset("article main".split())
 #: Elements that hold blocks; the empty name is the page itself.
 HOLDERS = frozenset(["", "html", "body", "div", "article", "main", "section", "td", "center", "header"])
+ASIDE = frozenset("nav aside footer form fieldset label menu dialog legend".split())
+COMMENTS = re.compile(r"comments?|commentlist|respond|replies|disqus", re.I)
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|footer|masthead|topbar|"
+    r"ads?|adverts?|advertis\w*|banner|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|footer|masthead|topbar|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscri\w*|newsletter|signup|sign-up|login|share|sharing|social|"
-    r"comments?|commentlist|respond|replies|disqus|related|recommend\w*|breadcrumbs?|widget|pagination|pager|search|toolbar|"
-    r"skip|copyright|legal|disclaimer|outbrain|taboola|hidden)(?:$|[\s_-])",
+    r"related|recommend\w*|breadcrumbs?|widget|pagination|pager|search|toolbar|"
+    r"skip|copyright|legal|disclaimer|outbrain|taboola",
     re.I,
 )
-HEADING = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|head)(?:$|[\s_-])", re.I)
+HEADING = re.compile(r"site-?header|page-?header|header|head", re.I)
 LAYOUT = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.I)
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</[^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNFINISHED = re.compile(r"<(?:[a-zA-Z/][^>]*)?\Z")
-SPACE = re.compile(r"[\s ]+")
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 
-#: Share of the ratios' spread, and of the greatest ratio, below which a path is not content.
-SPREAD, GREATEST = 0.5, 0.25
-#: What a path through an article element counts more.
-ARTICLE_FACTOR = 4.0
+#: Share of the ratios' spread, and of the greatest ratio, below which a path is not content; and the lowest ratio of content.
+SPREAD, GREATEST, FLOOR = 0.5, 0.25, 0.5
+#: What names make of a path's ratio: in an article; in what is beside it by its element, role or whole name; by part of a name.
+IN_ARTICLE, BESIDE, NAMED = 4.0, 0.05, 0.1
+#: The least a block counts that is all links, and the share of a page's text from which part of a name doesn't weigh.
+ALL_LINKS, MOST = 0.05, 0.5
 
 
 @dataclass(slots=True)
 class Element:
     name: str
-    path: str
+    path: int
+    box: int  # place in the stack of the block it is in, itself included
+    holder: int  # and of the container
     dropped: bool
     article: bool
     linked: bool
+    beside: bool
+    named: int  # number of the innermost element around that part of a name weighs on, 0 for none
 
 
 @dataclass(slots=True)
 class Block:
-    path: str
-    container: str
+    path: int
+    container: int
     article: bool
+    beside: bool
+    named: int
     text: list[str] = field(default_factory=list)
     linked: int = 0
+    weight: float = 1.0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -95,29 +111,36 @@ def _label(name: str, attributes: dict[str, str]) -> str:
     return ".".join([name, *attributes.get("class", "").split()[:2]]) + (f"#{attributes['id']}" if "id" in attributes else "")
 
 
-def _noise(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    if name in ARTICLE or name in ("html", "body"):
-        return bool(name == "article" and NOISE.search(attributes.get("class", "")))
-    # "with-sidebar" and the like name a page's layout, not the part itself
-    named = " ".join(n for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not LAYOUT.match(n))
+def _hidden(attributes: dict[str, str]) -> bool:
     return (
         "hidden" in attributes
         or attributes.get("aria-hidden") == "true"
-        or attributes.get("role", "").lower() in NOISE_ROLE
         or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")) is not None
-        or NOISE.search(named) is not None
-        or (not in_article and name != "header" and HEADING.search(named) is not None)
     )
 
 
+def _beside(name: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is beside the article by its kind or whole name, and whether part of a name says so."""
+    if name in ARTICLE or name in ("html", "body"):
+        return False, False
+    whole = name in ASIDE or (name == "header" and not in_article) or attributes.get("role", "").lower() in NOISE_ROLE
+    if not attributes:
+        return whole, False
+    # "with-sidebar" and the like name a page's layout, not the part itself
+    names = [n for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not LAYOUT.match(n)]
+    parts = [part for n in names for part in re.split("[-_]", n)]
+    whole = whole or any(NOISE.fullmatch(n) for n in names) or any(COMMENTS.fullmatch(x) for x in parts)
+    part = any(NOISE.fullmatch(x) for x in parts) or (not in_article and name != "header" and any(HEADING.fullmatch(n) for n in names))
+    return whole, part
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without those that never hold main text and without empty ones."""
+    """The page's blocks in order, without empty ones and what is never shown, weighed by the names around them."""
     out: list[Block] = []
-    stack = [Element("", "", False, False, False)]
+    stack = [Element("", 0, 0, 0, False, False, False, False, 0)]
+    paths: dict[tuple[int, str], int] = {}
+    around = [0]  # of each element that part of a name weighs on, the next such one around it
+    opened: Counter[str] = Counter()
     current: Block | None = None
     at, length = 0, len(page)
 
@@ -130,9 +153,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not decoded.strip():
                 return
-            box = next(e for e in reversed(stack) if e.name in BLOCK or not e.name)
-            holder = next(e for e in reversed(stack) if e.name in HOLDERS)
-            current = Block(box.path, holder.path, top.article)
+            current = Block(stack[top.box].path, stack[top.holder].path, top.article, top.beside, top.named)
             out.append(current)
         current.text.append(decoded)
         if top.linked:
@@ -140,8 +161,10 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(depth: int) -> None:
         nonlocal current
-        if any(e.name in BLOCK for e in stack[depth:]):
-            current = None
+        for e in stack[depth:]:
+            opened[e.name] -= 1
+            if e.name in BLOCK:
+                current = None
         del stack[depth:]
 
     while at < length:
@@ -163,9 +186,8 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if depth:
-                pop_to(depth)
+            if opened[name]:
+                pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             elif name in BLOCK:
                 current = None
             continue
@@ -176,11 +198,9 @@ def blocks(page: str) -> list[Block]:
             elif name == "hr":
                 current = None
             continue
-        if name in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in BLOCK), 0)
-            if depth and stack[depth].name == "p":
-                pop_to(depth)
-        if name in ENDS:
+        if name in CLOSES_P and stack[stack[-1].box].name == "p":
+            pop_to(stack[-1].box)
+        if name in ENDS and any(opened[n] for n in ENDS[name][0]):
             ended, bound = ENDS[name]
             depth = len(stack)
             for i in range(len(stack) - 1, 0, -1):
@@ -189,42 +209,80 @@ def blocks(page: str) -> list[Block]:
                 if stack[i].name in ended:
                     depth = i
             pop_to(depth)
-        if name in BLOCK:
-            current = None
-        top = stack[-1]
-        label = _label(name, attributes) if attributes else name
-        article = top.article or name in ARTICLE or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        element = Element(
-            name, f"{top.path}/{label}", top.dropped or _noise(name, attributes, article), article, top.linked or name == "a"
-        )
         if name in RAW:
+            if name in BLOCK:
+                current = None
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             at = end.start() if end else length
             close = page.find(">", at)
             at = close + 1 if end and close >= 0 else length
             continue
-        stack.append(element)
+        top, depth = stack[-1], len(stack)
+        if name in BLOCK:
+            current = None
+        label = _label(name, attributes) if attributes else name
+        article = top.article or name in ARTICLE or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
+        whole, part = _beside(name, attributes, article)
+        if part and not whole:
+            around.append(top.named)
+        stack.append(Element(
+            name,
+            paths.setdefault((top.path, label), len(paths) + 1),
+            depth if name in BLOCK else top.box,
+            depth if name in HOLDERS else top.holder,
+            top.dropped or name in DROPPED or _hidden(attributes),
+            article,
+            top.linked or name == "a",
+            top.beside or whole,
+            len(around) - 1 if part and not whole else top.named,
+        ))
+        opened[name] += 1
     for block in out:
         block.text = [" ".join("".join(block.text).split())]
-    return [b for b in out if b.text[0]]
+    out = [b for b in out if b.text[0]]
+    _weigh(out, around)
+    return out
 
 
-def ratios(found: list[Block]) -> np.ndarray:
-    """The smoothed, fused ratio of every block's path."""
-    length, marks, linked, count = (defaultdict(float) for _ in range(4))
+def _weigh(found: list[Block], around: list[int]) -> None:
+    """Set what the names around each block make of its ratio."""
+    held = [0] * len(around)
+    for b in found:
+        held[b.named] += len(b.text[0])
+    for i in range(len(around) - 1, 0, -1):  # an element comes before those inside it
+        held[around[i]] += held[i]
+    weighs = [False] * len(around)
+    for i in range(1, len(around)):
+        weighs[i] = weighs[around[i]] or held[i] <= MOST * held[0]
     for b in found:
-        length[b.path] += len(b.text[0])
-        marks[b.path] += len(PUNCTUATION.findall(b.text[0]))
-        linked[b.path] += min(b.linked, len(b.text[0]))
-        count[b.path] += 1
-    fused = {
-        p: np.sqrt(length[p] / count[p] * (1 + marks[p] / count[p])) * (1 - linked[p] / length[p])
-        for p in count
-    }
-    raw = np.array([fused[b.path] * (ARTICLE_FACTOR if b.article else 1.0) for b in found])
-    weights = np.exp(-0.5 * np.arange(-1, 2) ** 2)
-    padded = np.pad(raw, 1, mode="edge")
-    return np.convolve(padded, weights / weights.sum(), mode="valid")
+        b.weight = (IN_ARTICLE if b.article else 1.0) * (BESIDE if b.beside else NAMED if weighs[b.named] else 1.0)
+
+
+def ratios(found: list[Block]) -> np.ndarray:
+    """The fused ratio of every block's path, smoothed along the page, then weighed by links and names: a neighbour doesn't lift an advert."""
+    path = np.unique([b.path for b in found], return_inverse=True)[1]
+    count = np.bincount(path)
+    length, marks, linked, weight = (
+        np.bincount(path, v)
+        for v in zip(*[(len(b.text[0]), len(PUNCTUATION.findall(b.text[0])), min(b.linked, len(b.text[0])), b.weight) for b in found])
+    )
+    fused = np.sqrt(length / count * (1 + marks / count))
+    kernel = np.exp(-0.5 * np.arange(-1, 2) ** 2)
+    smooth = np.convolve(np.pad(fused[path], 1, mode="edge"), kernel / kernel.sum(), mode="valid")
+    return smooth * (np.maximum(1 - linked / length, ALL_LINKS) * weight / count)[path]
+
+
+def chosen(found: list[Block], ratio: np.ndarray) -> np.ndarray:
+    """Which blocks are content, given their ratios."""
+    # a path is judged by the mean of its blocks, so that smoothing doesn't cut it in two
+    path = np.unique([b.path for b in found], return_inverse=True)[1]
+    level = np.bincount(path, ratio) / np.bincount(path)
+    top = level.max()
+    cut = max(GREATEST * top, min(SPREAD * float(np.std(ratio)), 0.5 * top), FLOOR)
+    content = level[path] >= cut
+    homes = {b.container for b, c in zip(found, content) if c}
+    light = np.array([b.weight < 1.0 for b in found])
+    return content | (~light & np.array([b.container in homes for b in found]))
 
 
 def main_text(page: str | None) -> str:
@@ -232,18 +290,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    ratio = ratios(found)
-    # a path is judged by the mean of its blocks, so that smoothing doesn't cut it in two
-    by_path: dict[str, list[float]] = defaultdict(list)
-    for b, r in zip(found, ratio):
-        by_path[b.path].append(float(r))
-    level = {p: sum(v) / len(v) for p, v in by_path.items()}
-    cut = max(GREATEST * max(level.values()), min(SPREAD * float(np.std(ratio)), 0.5 * max(level.values())))
-    content = {p for p, v in level.items() if v >= cut}
-    homes = {b.container for b in found if b.path in content}
-    if any(b.article for b in found if b.path in content):
-        homes |= {b.container for b in found if b.article}
-    return "\n\n".join(b.text[0] for b in found if b.path in content or b.container in homes)
+    return "\n\n".join(b.text[0] for b, c in zip(found, chosen(found, ratios(found))) if c)
 
 
 def extract(df: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
