@@ -15,7 +15,7 @@ driver sees the number of vectors and queries of each bucket: tables * axes numb
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,20 +113,22 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest found of every row that ``is_query`` marks, among all other rows.
 
     Nearness is the inner product of the original vectors in double precision, ties go to the smaller id. Vectors
-    that are null, all zero or hold null or non-finite components take no part, nor do rows without an id or those
-    whose vector isn't as long as most are. An id that occurs more than once is one candidate, by its best score, and no
-    candidate for itself. A query that finds nothing has no row; an empty table gives an empty one.
+    that are null, all zero or hold null or non-finite components take no part, nor do rows without an id. Vectors are
+    searched among those of their length: those as long as most are by the index, the others in blocks, exactly. An id that
+    occurs more than once is one candidate of a length, by its best score, and no candidate for itself; asked with several
+    vectors, it gets the nearest to any of them. A query that finds nothing has no row; an empty table gives an empty one.
     """
     clean = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     clean = clean.filter(F.col("id").isNotNull() & usable(F.col("v")))
     peak = F.array_max(F.transform("v", F.abs))
     norm = F.log2(peak) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + x / peak * (x / peak))) / 2
     clean = clean.withColumn("norm", norm)
-    most = clean.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm")).orderBy(F.desc("n"), "dim").first()
-    if most is None:
+    # a row for each length that occurs
+    lengths = clean.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm"), F.count_if("asks")).collect()
+    if not lengths:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total, longest = most
-    clean = clean.filter(F.size("v") == dim)
+    dim, total, longest, _ = min(lengths, key=lambda r: (-r[1], r[0]))
+    rest, clean = clean.filter(F.size("v") != dim), clean.filter(F.size("v") == dim)
     below = F.least(F.floor(F.lit(longest) - F.col("norm")), F.lit(RANGES - 1)).cast("int")
     clean = clean.select("id", "v", "asks", below.alias("range"))
     width = 1 << math.ceil(math.log2(max(2, dim)))
@@ -174,10 +176,8 @@ def search(
         names = ["query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
-        asked = right.column("id").to_numpy()
-        q, found, score = nearest_in(
-            asked, _rows(right.column("v").combine_chunks(), dim), left.column("id").to_numpy(), _rows(left.column("v").combine_chunks(), dim), k
-        )
+        asked, own, width = right.column("id").to_numpy(), left.column("v").combine_chunks(), len(left.column("v")[0].as_py()) // 8
+        q, found, score = nearest_in(asked, _rows(right.column("v").combine_chunks(), width), left.column("id").to_numpy(), _rows(own, width), k)
         return pa.table([pa.array(asked[q]), pa.array(found), pa.array(score)], names=names)
 
     def compared(base: DataFrame, queries: DataFrame, sizes: np.ndarray) -> DataFrame:
@@ -206,12 +206,34 @@ def search(
         return base.groupBy(*block).cogroup(queries.groupBy(*block)).applyInArrow(rank, "query_id long, vec_id long, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
-        # a pair found in several tables has one score, so one dense rank
+        # a pair may be found in several tables, and an id with several vectors
+        pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        top = found.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= k)
-        return top.dropDuplicates(["query_id", "vec_id"]).select("query_id", "rank", "vec_id", "score")
+        return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     top = ranked(compared(hashed.select("id", "v", F.explode("own").alias("bucket")), hashed.select("id", "v", F.explode("looks").alias("bucket")), sizes))
+    if len(lengths) > 1:
+        of_length = np.zeros((2, max(r[0] for r in lengths) + 1), np.int64)
+        for other, n, _, asking in lengths:
+            of_length[:, other] = n, asking
+        rows = rest.select("id", "v", "asks").mapInArrow(in_slices(_plain), "id long, v binary, bucket int, asks boolean")
+        rows = materialized(rows, "neighbours-lengths")
+        side = ["id", "v", "bucket"]
+        apart = ranked(compared(rows.select(side), rows.filter("asks").select(side), of_length))
+        return ranked(_topped_up(top, hashed, k, compared, ranked, total).unionByName(apart).select("query_id", "vec_id", "score"))
+    return _topped_up(top, hashed, k, compared, ranked, total)
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes, filed by their length."""
+    for batch in batches:
+        rows = [np.array(x, float) for x in batch.column(1).to_pylist()]
+        packed = pa.array([x.tobytes() for x in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in rows], pa.int32()), batch.column(2)], ["id", "v", "bucket", "asks"])
+
+
+def _topped_up(top: DataFrame, hashed: DataFrame, k: int, compared: Callable, ranked: Callable, total: int) -> DataFrame:
+    """``top``, with the queries that found fewer than there are compared with all rows."""
     top = materialized(top, "neighbours-found")
     # who finds less than there is to find
     asked = hashed.filter(F.size("looks") > 0)

@@ -75,9 +75,8 @@ def equal_shares(rows: int, shards: int) -> list[int]:
 
 
 def position(by: Sequence[str]) -> Column:
-    """A row's place on the ring, 63 bits: from the first column, or from the others where it is null."""
-    first, *others = by
-    return F.shiftrightunsigned(F.when(F.col(first).isNotNull(), F.xxhash64(first)).otherwise(F.xxhash64(*others)), 1)
+    """A row's place on the ring, 63 bits: from all columns, so that many rows of one id lie all around it."""
+    return F.shiftrightunsigned(F.xxhash64(*by), 1)
 
 
 def assign(
@@ -85,9 +84,9 @@ def assign(
 ) -> DataFrame:
     """``df`` with ``shard`` (0 up to ``shards`` - 1) and ``slot`` (0, 1, ... within the shard).
 
-    ``by`` names the key and at least one column to go by where the key is null. Columns called shard
-    or slot are replaced. Rows that agree in all of ``by`` may swap slots; nothing else depends on the
-    order of the input. An empty table gives an empty one.
+    ``by`` names the columns that make a row's place, null or not. Columns called shard or slot are replaced. Rows that
+    agree in all of ``by`` lie in one place and may swap slots; nothing else depends on the order of the input. An empty
+    table gives an empty one.
     """
     df = df.drop("shard", "slot")
     place, cell, rank = (free_name(df, c) for c in ("_place", "_cell", "_rank"))

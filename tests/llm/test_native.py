@@ -202,6 +202,15 @@ def test_no_rows(no_docs):
     assert sharding.assign(no_docs, 8).count() == 0
 
 
+def test_one_id_with_a_third_of_the_rows_lies_all_around_the_ring(spark):
+    rows = [(7 if i % 3 == 0 else i, i) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, n long").repartition(8)
+    cell = F.shiftright(sharding.position(("doc_id", "n")), 63 - sharding.CELL_BITS)
+    assert df.groupBy(cell).count().agg(F.max("count")).first()[0] < 12
+    got = sharding.assign(df, 8, ("doc_id", "n")).groupBy("shard").agg(F.count("*").alias("rows"), F.max("slot").alias("top"), F.countDistinct("slot").alias("slots")).collect()
+    assert all(r.rows == 3750 == r.slots and r.top == 3749 for r in got) and len(got) == 8
+
+
 def test_native_plans_have_no_python(spark):
     for name in ("op5_url_filter", "op9_shards"):
         plan = plan_of(queries.QUERIES[name](spark, str(DATA)))

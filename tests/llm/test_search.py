@@ -99,6 +99,24 @@ def test_vectors_that_take_no_part(spark):
     assert neighbours.search(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_with_other_vectors_and_every_length(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8))
+    ids = np.arange(300) // 2 * 5  # every id twice, with different vectors
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    short, single = rng.normal(size=(90, 3)), rng.normal(size=(70, 1))
+    rows += [(int(i), v.tolist()) for part in (short, single) for i, v in zip(np.arange(len(part)) * 10, part)]
+    got = found(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 20 == 0, 30))
+    want = defaultdict(dict)
+    for own, part in ((ids, x), (np.arange(90) * 10, short), (np.arange(70) * 10, single)):
+        for q, best in plain_nearest(own, part, len(own)).items():
+            for v, score in best:
+                want[q][v] = max(score, want[q].get(v, -np.inf))
+    for q, best in want.items():
+        assert [v for v, _ in got[q]] == [v for v, _ in sorted(best.items(), key=lambda b: (-b[1], b[0]))[:30]]
+        assert [s for _, s in got[q]] == pytest.approx(sorted(best.values(), reverse=True)[:30])
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(5, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
