@@ -31,9 +31,9 @@ def utf8_bytes(text: Column) -> Column:
 
 
 def content_key(text: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes that stand for a text's content; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    """128 bits of the SHA-256 of a text, as two numbers that stand for its content; null counts as empty."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return tuple(F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17))
 
 
 def free_name(df: DataFrame, name: str) -> str:

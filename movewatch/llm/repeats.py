@@ -2,15 +2,18 @@
 
 1. Every text is stood for by the anchors of its windows (windows.py). Anchors whose gram occurs only once in the
    corpus drop out; with them go all windows they stand for.
-2. Anchors that agree in gram and in the hash of all tokens their windows cover are copies of each other, window
-   by window. The first one in document order goes on for all of them.
+2. Anchors that agree in gram and in the hash of all tokens their windows cover are taken for copies of each other, window
+   by window. Their tokens are sent and compared, in blocks that each hold the first of them in document order, so
+   that a passage with any number of copies is spread over tasks. The first one goes on for all of them.
 3. What is left are first anchors whose gram also occurs in other surroundings: the ends of repeated passages.
-   Only their tokens are sent, grouped by gram, and their windows compared within the group. A gram with
+   Their tokens are sent, grouped by gram, and their windows compared within the group. A gram with
    many surroundings is cut into parts by the windows' distance from the anchor, since equal windows have
-   equal distance, and from ``HOT`` surroundings on its windows are counted by their hashes, pre-aggregated.
+   equal distance; of one with over ``HOT``, windows whose hash occurs once drop out, and the others are compared
+   as in step 2, each window by itself.
 
-Steps 1 and 2 handle a few numbers an anchor. Every count is an aggregate with a map side, and rows are
-joined to them with salted keys, so one gram may hold most of the corpus.
+Hashes only bring together what is compared: every removed window was found equal to another by ``removed``, the operator's own
+method, token by token. Step 1 handles a few numbers an anchor. Every count is an aggregate with a map side, and
+rows are joined to them with salted keys, so one gram may hold most of the corpus.
 """
 
 from __future__ import annotations
@@ -23,14 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movewatch.llm.common import content_key, in_slices
-from movewatch.llm.windows import BASES, Kind, PrefixHashes, anchors, batches, span_codes, window_starts
+from movewatch.llm.windows import BASES, Kind, PrefixHashes, Tokens, anchors, batches, span_codes, window_starts
 from movewatch.operators.joins import lookup
 from movewatch.session import materialized
 
 SALTS = 2
 #: Surroundings of a gram up to which its windows are compared in one part, the windows a part has beyond, and the
-#: number beyond which windows are counted by hash.
+#: number beyond which windows that can't have an equal are sorted out first.
 WHOLE, PART_WINDOWS, HOT = 256, 32, 1 << 16
+#: Copies of a passage that are compared together.
+COPIES = 1024
+#: Bits of each of the two distances in a packed place.
+DISTANCE = 16
 CHUNK_BYTES = 2 << 20
 LAST = (1 << 63) - 1  # the order of a document without an id
 
@@ -83,43 +90,60 @@ def _anchors(kind: Kind, brief: bool):
                     yield pa.RecordBatch.from_arrays([gram], ["g"])
                     continue
                 span = span_codes(kind, PrefixHashes(tokens.codes, BASES[1]), found)
-                place = (found.at - tokens.begins[found.text]) << 24 | (found.at - found.first) << 12 | (found.last - found.first)
+                place = ((found.at - tokens.begins[found.text]) << DISTANCE | (found.at - found.first)) << DISTANCE | (found.last - found.first)
                 own = [pa.array(k[i:j][found.text]) for k in keys]
                 yield pa.RecordBatch.from_arrays([gram, pa.array(span.view(np.int64)), *own, pa.array(place)], ["g", "s", "k1", "k2", "first", "place"])
     return run
 
 
+_FAR = (1 << DISTANCE) - 1
+
+
 def _ends(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last window of a packed place."""
-    first = (place >> 24) - (place >> 12 & 4095)
-    return first, first + (place & 4095)
+    first = (place >> 2 * DISTANCE) - (place >> DISTANCE & _FAR)
+    return first, first + (place & _FAR)
 
 
-def _low_high(place: Column) -> tuple[Column, Column]:
-    low = F.shiftright(place, 24) - F.shiftright(place, 12).bitwiseAND(F.lit(4095))
-    return low, low + place.bitwiseAND(F.lit(4095))
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's entries begin, and the entries' fields."""
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], [f.to_numpy() for f in column.flatten().flatten()]
 
 
-def _segments(kind: Kind, hot: int, crowded: bool):
-    """The tokens of the listed anchors of each text, cut into parts; or, for crowded grams, their windows' hashes."""
+def _segments(kind: Kind, hot: int):
+    """The tokens of the listed anchors of each text: ends cut into parts, copies whole."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts, listed = _utf8(batch.column(3)), batch.column(4)
+            texts = _utf8(batch.column(3))
             keys = [batch.column(i).to_numpy() for i in range(3)]
-            offsets, flat = listed.offsets.to_numpy(), listed.flatten()
-            gram, place, spans = (f.to_numpy() for f in flat.flatten())
-            offsets = offsets - offsets[0]
+            offsets, (gram, place, spans, block) = _listed(batch.column(4))
             for i, j in batches(texts):
                 own = slice(offsets[i], offsets[j])
                 owner = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
-                chosen = np.flatnonzero((spans[own] > hot) == crowded)
-                if len(chosen):
-                    cut = _single if crowded else _parts
-                    yield cut(kind, texts[i:j], [k[i:j] for k in keys], owner[chosen], gram[own][chosen], place[own][chosen], spans[own][chosen])
+                tokens = kind.tokens(texts[i:j])
+                copy = block[own] >= 0
+                for cut, chosen in ((_whole, np.flatnonzero(copy)), (_parts, np.flatnonzero(~copy & (spans[own] <= hot)))):
+                    if len(chosen):
+                        fields = [f[own][chosen] for f in (gram, place, spans, block)]
+                        yield cut(kind, tokens, [k[i:j] for k in keys], owner[chosen], *fields)
     return run
 
 
-def _single(kind: Kind, texts, keys, owner, gram, place, spans) -> pa.RecordBatch:
+def _crowded(kind: Kind):
+    """A row for each window of the listed anchors of each text: two hashes of it, and where it is."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            texts = _utf8(batch.column(3))
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            offsets, (place,) = _listed(batch.column(4))
+            for i, j in batches(texts):
+                owner = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
+                yield _single(kind, texts[i:j], [k[i:j] for k in keys], owner, place[offsets[i] : offsets[j]])
+    return run
+
+
+def _single(kind: Kind, texts, keys, owner, place) -> pa.RecordBatch:
     """A row for each window: two hashes of it, and where it is."""
     tokens = kind.tokens(texts)
     first, last = _ends(place)
@@ -128,29 +152,39 @@ def _single(kind: Kind, texts, keys, owner, gram, place, spans) -> pa.RecordBatc
     low = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = low + tokens.begins[owner[row]]
     codes = [PrefixHashes(tokens.codes, b).of(start, np.int64(kind.window)).view(np.int64) for b in BASES]
-    arrays = [*codes, *(k[owner[row]] for k in keys), low]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h1", "h2", "k1", "k2", "first", "low"])
+    # a window's place is that of an anchor that stands for it alone
+    arrays = [*codes, *(k[owner[row]] for k in keys), low << 2 * DISTANCE]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["g", "s", "k1", "k2", "first", "place"])
+
+
+def _rows(kind: Kind, tokens: Tokens, keys, owner, gram, part, low, windows) -> pa.RecordBatch:
+    """Segments of ``windows`` windows from ``low`` on, with their tokens."""
+    start = low + tokens.begins[owner]
+    end = start + windows - 1 + kind.window
+    byte_from, byte_to = (start, end) if tokens.byte_from is None else (tokens.byte_from[start], tokens.byte_to[end - 1])
+    raw = [tokens.raw[a:b] for a, b in zip(byte_from.tolist(), byte_to.tolist())]
+    arrays = [gram, part.astype(np.int32), *(k[owner] for k in keys), low]
+    return pa.RecordBatch.from_arrays([*(pa.array(a) for a in arrays), pa.array(raw, pa.binary())], ["g", "part", "k1", "k2", "first", "low", "raw"])
 
 
-def _parts(kind: Kind, texts, keys, owner, gram, place, spans) -> pa.RecordBatch:
+def _whole(kind: Kind, tokens: Tokens, keys, owner, gram, place, spans, block) -> pa.RecordBatch:
+    """The tokens of each anchor's windows, for its block of copies."""
+    first, last = _ends(place)
+    return _rows(kind, tokens, keys, owner, gram, block, first, last - first + 1)
+
+
+def _parts(kind: Kind, tokens: Tokens, keys, owner, gram, place, spans, block) -> pa.RecordBatch:
     """The tokens of each anchor's windows, cut by distance from the anchor where its gram has many surroundings."""
-    tokens = kind.tokens(texts)
-    at = place >> 24
+    at = place >> 2 * DISTANCE
     first, last = _ends(place)
-    wide = np.where(spans > WHOLE, PART_WINDOWS, 4096)
+    wide = np.where(spans > WHOLE, PART_WINDOWS, 1 << DISTANCE)
     nearest, farthest = at - last, at - first
     parts = farthest // wide - nearest // wide + 1
     row = np.repeat(np.arange(len(place)), parts)
     part = nearest[row] // wide[row] + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
     far = np.minimum(farthest[row], (part + 1) * wide[row] - 1)
     near = np.maximum(nearest[row], part * wide[row])
-    low = at[row] - far
-    start = low + tokens.begins[owner[row]]
-    end = start + (far - near) + kind.window
-    byte_from, byte_to = (start, end) if tokens.byte_from is None else (tokens.byte_from[start], tokens.byte_to[end - 1])
-    raw = [tokens.raw[a:b] for a, b in zip(byte_from.tolist(), byte_to.tolist())]
-    arrays = [gram[row], part.astype(np.int32), *(k[owner[row]] for k in keys), low]
-    return pa.RecordBatch.from_arrays([*(pa.array(a) for a in arrays), pa.array(raw, pa.binary())], ["g", "part", "k1", "k2", "first", "low", "raw"])
+    return _rows(kind, tokens, keys, owner[row], gram[row], part, at[row] - far, far - near + 1)
 
 
 def _compare(kind: Kind, removed: Compare):
@@ -193,6 +227,8 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     document id (null last; documents with one id by their texts' hashes) and place; else if there is any other one.
     Copies of a whole text aren't counted here: the caller knows them from ``copies``.
     """
+    if kind.reach > _FAR:
+        raise ValueError(f"a window may have {_FAR} grams at most")
     k1, k2 = content_key(F.col("text"))
     first = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) if keep_first else F.lit(0).cast("long")
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), first.alias("first"), F.coalesce("text", F.lit("")).alias("text"))
@@ -201,33 +237,51 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     shared = lookup(placed, often, ["g"], "k1", "left_semi", SALTS)
     shared = materialized(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
 
-    occurrence = F.struct("first", "k1", "k2", "place")
-    spans = materialized(shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(occurrence).alias("head")), "spans")
-    copied = lookup(shared, spans.filter("n > 1"), ["g", "s"], "k1", "inner", SALTS)
-    low, high = _low_high(F.col("place"))
-    runs = copied.filter(occurrence != F.col("head") if keep_first else F.lit(True)).select("k1", "k2", low.alias("low"), high.alias("high"))
-
+    spans = materialized(shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(_occurrence()).alias("head")), "spans")
+    copies = _in_blocks(shared, spans)
     grams = spans.groupBy("g").agg(F.count("*").alias("spans")).filter("spans > 1")
-    ends = lookup(spans, grams, ["g"], "s", "inner", SALTS)
-    wanted = ends.groupBy(F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")).agg(
-        F.collect_list(F.struct("g", F.col("head.place").alias("place"), "spans")).alias("listed")
-    )
+    ends = lookup(spans, grams, ["g"], "s", "inner", SALTS).select("g", "head.k1", "head.k2", "head.place", "spans", F.lit(-1).alias("block"))
+    ends = materialized(ends, "ends")
     # all columns of the texts, used or not: as the same exchange it is made once for all joins of texts
-    cut = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
-    segments = cut.mapInArrow(in_slices(_segments(kind, hot, False)), "g long, part int, k1 long, k2 long, first long, low long, raw binary")
+    cut = texts.join(_by_text(ends.unionByName(copies)), ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
+    segments = cut.mapInArrow(in_slices(_segments(kind, hot)), _SEGMENT)
+
+    crowd = ends.filter(F.col("spans") > hot)
+    if not crowd.isEmpty():
+        listed = crowd.groupBy("k1", "k2").agg(F.collect_list(F.struct("place")).alias("listed"))
+        single = texts.join(listed, ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
+        single = single.mapInArrow(in_slices(_crowded(kind)), "g long, s long, k1 long, k2 long, first long, place long")
+        windows = materialized(single.select("g", "s", "k1", "k2", "place", "first" if keep_first else F.lit(0).cast("long").alias("first")), "windows")
+        again = _in_blocks(windows, windows.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(_occurrence()).alias("head")))
+        beside = texts.join(_by_text(again), ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
+        segments = segments.unionByName(beside.mapInArrow(in_slices(_segments(kind, hot)), _SEGMENT))
+
     by_gram = segments.repartition("g", "part").sortWithinPartitions("g", "part")
-    runs = runs.unionByName(by_gram.mapInArrow(_compare(kind, removed), "k1 long, k2 long, low long, high long"))
-
-    crowd = cut.filter(F.exists("listed", lambda a: a["spans"] > hot))
-    single = crowd.mapInArrow(in_slices(_segments(kind, hot, True)), "h1 long, h2 long, k1 long, k2 long, first long, low long")
-    window = F.struct("first", "k1", "k2", "low")
-    seen = single.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(window).alias("head")).filter("n > 1")
-    again = lookup(single, seen, ["h1", "h2"], "k1", "inner", SALTS)
-    again = again.filter(window != F.col("head") if keep_first else F.lit(True))
-    runs = runs.unionByName(again.select("k1", "k2", "low", F.col("low").alias("high")))
+    runs = by_gram.mapInArrow(_compare(kind, removed), "k1 long, k2 long, low long, high long")
     return runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
+_SEGMENT = "g long, part int, k1 long, k2 long, first long, low long, raw binary"
+
+
+def _occurrence() -> Column:
+    return F.struct("first", "k1", "k2", "place")
+
+
+def _in_blocks(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows (g, s, k1, k2, first, place) of every span that occurs more than once, in blocks of about ``COPIES``; the
+    first one of a span is in all its blocks."""
+    copied = lookup(rows, spans.filter("n > 1"), ["g", "s"], "k1", "inner", SALTS)
+    blocks = F.ceil(F.col("n") / COPIES).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(9), "k1", "k2", "place"), blocks).cast("int")
+    block = F.when(_occurrence() == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    return copied.select(F.xxhash64("g", "s").alias("g"), "k1", "k2", "place", F.col("n").alias("spans"), F.explode(block).alias("block"))
+
+
+def _by_text(anchors: DataFrame) -> DataFrame:
+    return anchors.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "place", "spans", "block")).alias("listed"))
+
+
 def covered(low: np.ndarray, high: np.ndarray, window: int, tokens: int) -> np.ndarray:
     """Whether each token of a text lies in a window of the runs."""
     change = np.zeros(tokens + 1, np.int64)

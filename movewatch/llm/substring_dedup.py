@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from movewatch.llm import repeats
+from movewatch.llm.common import in_slices
 from movewatch.llm.windows import Kind, mix
 
 GRAM = 6
@@ -59,8 +60,10 @@ def _by_blocks(found: repeats.Segments) -> np.ndarray:
     new = np.concatenate(([True], code[order][1:] != code[order][:-1])) if len(order) else np.zeros(0, bool)
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = np.flatnonzero(~new)
-    # equal hashes are checked word by word
-    words = np.lib.stride_tricks.sliding_window_view(codes, window)
+    # equal hashes are checked word by word: a number stands for each different word
+    numbers: dict[bytes, int] = {}
+    spelt = np.array([numbers.setdefault(w, len(numbers)) for w in found.tokens.raw.split()], np.int64)
+    words = np.lib.stride_tricks.sliding_window_view(spelt, window)
     for i in range(0, len(later), 1 << 15):
         part = later[i : i + (1 << 15)]
         new[part] = (words[starts[order[part]]] != words[starts[first[part]]]).any(axis=1)

@@ -164,5 +164,5 @@ def anchors(kind: Kind, tokens: Tokens, hashes: PrefixHashes) -> Anchors:
 def span_codes(kind: Kind, hashes: PrefixHashes, found: Anchors) -> np.ndarray:
     """A hash of all tokens that an anchor's windows cover, and of where the anchor is among them."""
     length = found.last - found.first + kind.window
-    shape = ((found.at - found.first) * 4099 + length).astype(_U)
+    shape = ((found.at - found.first) * 65537 + length).astype(_U)
     return mix(hashes.raw(found.first, length) + shape * _U(0xFF51AFD7ED558CCD))

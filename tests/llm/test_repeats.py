@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from movewatch.llm import queries, substring_dedup, suffix_dedup
+from movewatch.llm import queries, repeats, substring_dedup, suffix_dedup
 from movewatch.llm.suffixes import SuffixOrder
 from movewatch.llm.windows import Kind, PrefixHashes, anchors, byte_tokens
 
@@ -81,6 +81,52 @@ def test_documents_that_share_an_id_are_ordered_by_content(spark):
     assert sorted(r.n_removed for r in substring_dedup.remove_later(docs, 20).collect()) == [0, 30]
 
 
+def test_nothing_is_removed_but_by_the_comparison(spark, monkeypatch):
+    shared = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{shared} {i} tail" for i in range(6)] + [f"{'head ' * i}{shared}" for i in range(1, 6)] + ["one two " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (1 << 16, 1):
+        assert sum(r.n_removed for r in suffix_dedup.remove_repeats(docs, 60, hot=hot).collect()) > 2000
+        assert sum(r.n_removed for r in substring_dedup.remove_later(docs, 20, hot=hot).collect()) > 500
+    monkeypatch.setattr(suffix_dedup, "_in_order", lambda found: np.zeros(len(found.starts), bool))
+    monkeypatch.setattr(substring_dedup, "_by_blocks", lambda found: np.zeros(len(found.starts), bool))
+    for hot in (1 << 16, 1):
+        assert sum(r.n_removed for r in suffix_dedup.remove_repeats(docs, 60, hot=hot).collect()) == 0
+        assert sum(r.n_removed for r in substring_dedup.remove_later(docs, 20, hot=hot).collect()) == 0
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_equal_hashes_of_different_windows_remove_nothing(monkeypatch, words):
+    texts = [b"a b c d e f g h", b"a b c d e f g i", b"q b c d e f g h", b"a b c d e f g h"]
+    kind = Kind(words, 4 if words else 8, 2)
+    monkeypatch.setattr(PrefixHashes, "raw", lambda self, start, length: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(PrefixHashes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
+    n = len(texts)
+    found = repeats.Segments(kind, np.zeros(n, np.int64), [np.arange(n)] * 3, np.zeros(n, np.int64), texts)
+    gone = (substring_dedup._by_blocks if words else suffix_dedup._in_order)(found)
+    tokens = [t.split() for t in texts] if words else texts
+    windows = [tuple(tokens[i][p : p + kind.window]) for i, p in zip(found.segment, found.place)]
+    assert all(windows.count(w) > 1 for w, g in zip(windows, gone) if g)
+
+
+def test_a_passage_with_many_copies_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "COPIES", 4)
+    shared = " ".join(f"w{i}" for i in range(30))
+    rows_ = [(i, f"{'x' * (i % 7)} {i} {shared} {i * 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
+    assert rows(suffix_dedup.remove_repeats(docs, 60), *BYTES) == sorted(plain_suffixes(rows_, 60), key=repr)
+    assert rows(substring_dedup.remove_later(docs, 20), *WORDS) == sorted(plain_windows(rows_, 20), key=repr)
+
+
+def test_long_windows(spark):
+    rows_ = [(i, "ab c" * 1200 + str(i) + "xyz" * 900) for i in range(3)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert rows(suffix_dedup.remove_repeats(docs, 5500), *BYTES) == sorted(plain_suffixes(rows_, 5500), key=repr)
+    assert rows(suffix_dedup.remove_repeats(docs, 4700), *BYTES) == sorted(plain_suffixes(rows_, 4700), key=repr)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, 70_000)
+
+
 def test_texts_on_demand(edge_docs):
     got = suffix_dedup.remove_repeats(edge_docs.filter("doc_id < 25"), 60, with_text=True).collect()
     assert all(digest(bytes(r.kept)) == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
