@@ -207,6 +207,11 @@ def _digests(window: DataFrame, bucket_ms: int) -> DataFrame:
     )
 
 
+def day_digests(bars: DataFrame, bucket_ms: int = DAY_BUCKET) -> DataFrame:
+    """The digests of all bars, one row per company and day (``_bucket``, days since 1970): what ``movement_of`` puts together."""
+    return _digests(bars, bucket_ms)
+
+
 def _merge_digests(digests: DataFrame) -> DataFrame:
     """Per-company statistics from its digests, as ``_statistics`` gives them from bars.
 
@@ -254,7 +259,12 @@ def price_movement(
     number of bars, so it is digested per day first and the days are put together.
     """
     window = movement_window(bars.select("company_id", "ts_ms", "close", "volume"), days)
-    scored = _score(_merge_digests(_digests(window, bucket_ms)))
+    return movement_of(_digests(window, bucket_ms), companies, digits)
+
+
+def movement_of(digests: DataFrame, companies: DataFrame, digits: int = 4) -> DataFrame:
+    """The movement of every company from the digests of its window."""
+    scored = _score(_merge_digests(digests))
     many = F.col("n_bars") >= 2
     result = scored.select(
         "company_id",

@@ -9,7 +9,8 @@ from movewatch.operators import anomaly, attribution, bars, retrieval
 from movewatch.operators.ordered import top_n
 from movewatch.plans.bindings import AS_OF_MS, NEWS_LEAST, Market
 from movewatch.plans.catalog import VIEWS, query, score_sql
-from movewatch.sources import sinks
+from movewatch.session import fresh_dir
+from movewatch.sources import digests, sinks
 
 _SCORE_COLUMNS = """company_id, n_bars, anchor_ms, round(latest_close, 6) AS latest_close, round(latest_return, 6) AS latest_return,
   round(z_score, 6) AS z_score, round(volume_ratio, 6) AS volume_ratio, direction, status, flagged"""
@@ -61,7 +62,7 @@ def score_gaps(m: Market) -> DataFrame:
     return anomaly.score_watchlist(m.gap_ticks)
 
 
-@query("an2_price_movement", """
+_MOVEMENT = """
 SELECT c.company_id, coalesce(n_bars, 0) AS n_bars,
   round(CASE WHEN n_bars >= 2 THEN round(latest_close, 4) ELSE latest_close END, 6) AS latest_close,
   round(CASE WHEN scored THEN ret * 100 END, 4) AS latest_return_pct,
@@ -75,7 +76,10 @@ FROM company c LEFT JOIN (
   FROM (SELECT *, close / nullif(prev, 0) - 1 AS r FROM (
     SELECT b.*, lag(close) OVER (PARTITION BY b.company_id ORDER BY ts_ms) AS prev
     FROM bar b JOIN anchor a USING (company_id) WHERE ts_ms >= anchor_ms - 2592000000))
-  GROUP BY company_id) s USING (company_id)""")
+  GROUP BY company_id) s USING (company_id)"""
+
+
+@query("an2_price_movement", _MOVEMENT)
 def price_movement(m: Market) -> DataFrame:
     return anomaly.price_movement(m.bars, m.companies)
 
@@ -191,6 +195,17 @@ def resample_daily(m: Market) -> DataFrame:
     return bars.resample_daily(m.bars)
 
 
+@query("an2_stored_movement", _MOVEMENT)
+def stored_movement(m: Market) -> DataFrame:
+    """The same from stored bars and their daily digests: bars come in two batches, a third of them late."""
+    base = fresh_dir(m.spark, "movement")
+    bars_path, path = f"{base}/bars", f"{base}/digests"
+    late = F.pmod(F.xxhash64("company_id", "ts_ms"), F.lit(3)) == 0
+    for part in (~late, late):
+        digests.append_bars(m.bars.filter(part), bars_path, path, [F.asc("close")])
+    return digests.price_movement(m.spark, bars_path, path, m.companies)
+
+
 _BACK = "OVER (PARTITION BY company_id ORDER BY ts_ms ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 
 
