@@ -166,6 +166,8 @@ def search(
     hashed = materialized(
         clean.mapInArrow(in_slices(packed), "id long, v binary, own array<int>, looks array<int>"), "neighbours"
     )
+    ids = hashed.select("id").distinct().count()
+    several = ids < total or len(lengths) > 1
     filed = hashed.select(F.explode("own").alias("bucket"), F.lit(0).alias("asks"))
     asking = hashed.select(F.explode("looks").alias("bucket"), F.lit(1).alias("asks"))
     sizes = np.zeros((2, buckets), np.int64)
@@ -206,10 +208,13 @@ def search(
         return base.groupBy(*block).cogroup(queries.groupBy(*block)).applyInArrow(rank, "query_id long, vec_id long, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
-        # a pair may be found in several tables, and an id with several vectors
-        pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if several:  # an id counts once, by its best vector
+            found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        else:  # a pair found in several tables has one score, so one dense rank, which each map task cuts at k
+            top = found.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= k).dropDuplicates(["query_id", "vec_id"])
+        return top.select("query_id", "rank", "vec_id", "score")
 
     top = ranked(compared(hashed.select("id", "v", F.explode("own").alias("bucket")), hashed.select("id", "v", F.explode("looks").alias("bucket")), sizes))
     if len(lengths) > 1:
@@ -220,8 +225,8 @@ def search(
         rows = materialized(rows, "neighbours-lengths")
         side = ["id", "v", "bucket"]
         apart = ranked(compared(rows.select(side), rows.filter("asks").select(side), of_length))
-        return ranked(_topped_up(top, hashed, k, compared, ranked, total).unionByName(apart).select("query_id", "vec_id", "score"))
-    return _topped_up(top, hashed, k, compared, ranked, total)
+        return ranked(_topped_up(top, hashed, k, compared, ranked, total, ids - 1).unionByName(apart).select("query_id", "vec_id", "score"))
+    return _topped_up(top, hashed, k, compared, ranked, total, ids - 1)
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +237,11 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in rows], pa.int32()), batch.column(2)], ["id", "v", "bucket", "asks"])
 
 
-def _topped_up(top: DataFrame, hashed: DataFrame, k: int, compared: Callable, ranked: Callable, total: int) -> DataFrame:
+def _topped_up(top: DataFrame, hashed: DataFrame, k: int, compared: Callable, ranked: Callable, total: int, others: int) -> DataFrame:
     """``top``, with the queries that found fewer than there are compared with all rows."""
     top = materialized(top, "neighbours-found")
     # who finds less than there is to find
     asked = hashed.filter(F.size("looks") > 0)
-    others = hashed.select("id").distinct().count() - 1
     met = top.groupBy("query_id").agg(F.count("*").alias("met"))
     short = asked.select(F.col("id").alias("query_id")).distinct().join(met, "query_id", "left").filter(F.coalesce("met", F.lit(0)) < min(k, others))
     short = materialized(short.select(F.col("query_id").alias("id")), "neighbours-short")

@@ -36,6 +36,8 @@ SALTS = 2
 WHOLE, PART_WINDOWS, HOT = 256, 32, 1 << 16
 #: Copies of a passage that are compared together.
 COPIES = 1024
+#: Tokens of a text, as a power of two, whose copies elsewhere are compared together.
+STRETCH_BITS = 10
 #: Bits of each of the two distances in a packed place.
 DISTANCE = 16
 CHUNK_BYTES = 2 << 20
@@ -168,9 +170,14 @@ def _rows(kind: Kind, tokens: Tokens, keys, owner, gram, part, low, windows) ->
 
 
 def _whole(kind: Kind, tokens: Tokens, keys, owner, gram, place, spans, block) -> pa.RecordBatch:
-    """The tokens of each anchor's windows, for its block of copies."""
+    """The tokens of the anchors' windows, those that follow each other in a text and go to one block in one piece."""
     first, last = _ends(place)
-    return _rows(kind, tokens, keys, owner, gram, block, first, last - first + 1)
+    order = np.lexsort((first, block, gram, owner))
+    owner, gram, block, first, last = owner[order], gram[order], block[order], first[order], last[order]
+    same = (owner[1:] == owner[:-1]) & (gram[1:] == gram[:-1]) & (block[1:] == block[:-1]) & (first[1:] <= last[:-1] + 1)
+    head = np.flatnonzero(np.concatenate(([True], ~same)))
+    end = np.maximum.reduceat(last, head)
+    return _rows(kind, tokens, keys, owner[head], gram[head], block[head], first[head], end - first[head] + 1)
 
 
 def _parts(kind: Kind, tokens: Tokens, keys, owner, gram, place, spans, block) -> pa.RecordBatch:
@@ -238,7 +245,7 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
     shared = materialized(shared.groupBy("g", "s", "k1", "k2", "place").agg(F.min("first").alias("first")), "anchors")
 
     spans = materialized(shared.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(_occurrence()).alias("head")), "spans")
-    copies = _in_blocks(shared, spans)
+    copies = _in_blocks(shared, spans, 0)
     grams = spans.groupBy("g").agg(F.count("*").alias("spans")).filter("spans > 1")
     ends = lookup(spans, grams, ["g"], "s", "inner", SALTS).select("g", "head.k1", "head.k2", "head.place", "spans", F.lit(-1).alias("block"))
     ends = materialized(ends, "ends")
@@ -252,7 +259,7 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
         single = texts.join(listed, ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
         single = single.mapInArrow(in_slices(_crowded(kind)), "g long, s long, k1 long, k2 long, first long, place long")
         windows = materialized(single.select("g", "s", "k1", "k2", "place", "first" if keep_first else F.lit(0).cast("long").alias("first")), "windows")
-        again = _in_blocks(windows, windows.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(_occurrence()).alias("head")))
+        again = _in_blocks(windows, windows.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(_occurrence()).alias("head")), 1)
         beside = texts.join(_by_text(again), ["k1", "k2"]).select("k1", "k2", "first", "text", "listed", "copies")
         segments = segments.unionByName(beside.mapInArrow(in_slices(_segments(kind, hot)), _SEGMENT))
 
@@ -268,14 +275,20 @@ def _occurrence() -> Column:
     return F.struct("first", "k1", "k2", "place")
 
 
-def _in_blocks(rows: DataFrame, spans: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, spans: DataFrame, step: int) -> DataFrame:
     """The rows (g, s, k1, k2, first, place) of every span that occurs more than once, in blocks of about ``COPIES``; the
-    first one of a span is in all its blocks."""
+    first one of a span is in all its blocks.
+
+    Spans whose first occurrences lie in one stretch of a text go together, so that a passage is sent in one piece. ``step``
+    keeps rows of two calls apart: a window that came twice would be its own copy.
+    """
     copied = lookup(rows, spans.filter("n > 1"), ["g", "s"], "k1", "inner", SALTS)
-    blocks = F.ceil(F.col("n") / COPIES).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(9), "k1", "k2", "place"), blocks).cast("int")
+    # a power of two, so that the spans of a passage mostly agree in it
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / COPIES, F.lit(1.0))))).cast("int")
+    together = F.xxhash64(F.lit(step), "head.k1", "head.k2", F.shiftright("head.place", 2 * DISTANCE + STRETCH_BITS), blocks)
+    own = F.pmod(F.xxhash64(F.lit(9), "k1", "k2"), blocks).cast("int")
     block = F.when(_occurrence() == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    return copied.select(F.xxhash64("g", "s").alias("g"), "k1", "k2", "place", F.col("n").alias("spans"), F.explode(block).alias("block"))
+    return copied.select(together.alias("g"), "k1", "k2", "place", F.col("n").alias("spans"), F.explode(block).alias("block"))
 
 
 def _by_text(anchors: DataFrame) -> DataFrame:
