@@ -4,6 +4,8 @@ An item of m characters that occurs in a document with at most k edits shares m
 q-grams with it, all on k + 1 neighbouring diagonals (place in the document less place in the item). Shared
 q-grams are counted in bands of 2 * (k + 1) diagonals, each overlapping the next by half, so some band
 holds them all; bands that reach the bound are verified by alignment within the band, which gives the edits.
+Where very many do, as with a phrase that many items share, those go first around which too many of the item's 3-grams
+are missing, each edit taking three at most.
 
 The items go to the tasks in blocks of bounded size, one pass over the documents a block.
 """
@@ -11,7 +13,6 @@ The items go to the tasks in blocks of bounded size, one pass over the documents
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,12 @@ GRAM, EDIT_SHARE = 8, 0.1
 BLOCK_CHARS, BATCH_CHARS = 1 << 21, 1 << 19
 _FILTER_BITS = 22
 _U = np.uint64
+#: Shared q-grams that are held at once, and items of an index: together they bound the memory, however common a phrase is.
+HITS, PART_ITEMS = 1 << 21, 512
+#: Short grams of sketches, their bits, places of a text a sketch's row is for, and bands from which sketches are worth it.
+_SHORT, _SKETCH_BITS, _SPAN, _FEW = 3, 10, 64, 256
+_WORDS = (1 << _SKETCH_BITS) // 64
+_SHIFT = 1 << 33  # diagonals may be negative
 
 
 def normal(text: str | None) -> str:
@@ -48,9 +55,61 @@ def edit_budget(length: int, share: float, q: int) -> int:
     return max(0, min(int(share * length), (length - q) // q))
 
 
+class Index:
+    """The q-grams of some items: for each different one, the items and places it occurs at."""
+
+    def __init__(self, codes: list[np.ndarray], which: list[int], q: int):
+        grams = [_grams(codes[i], q) for i in which]
+        item = np.repeat(np.array(which, np.int64), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        code = np.concatenate(grams) if grams else np.zeros(0, _U)
+        order = np.argsort(code, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.gram, self.begin = np.unique(code[order], return_index=True)
+        self.count = np.diff(np.append(self.begin, len(code)))
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self.gram >> _U(64 - _FILTER_BITS)] = True
+
+    def slots(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``grams`` of those that are in the index, and their numbers there."""
+        at = np.flatnonzero(self.filter[grams >> _U(64 - _FILTER_BITS)])
+        slot = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
+        same = self.gram[slot] == grams[at]
+        return at[same], slot[same]
+
+
+class Sketch:
+    """Which short grams stand near a place of a text, as bits of a few words: to drop what can't be within its edits."""
+
+    def __init__(self, codes: np.ndarray, longest: int):
+        own = np.zeros((len(codes) // _SPAN + 1, _WORDS), _U)
+        bit = _short_bits(codes)
+        np.bitwise_or.at(own, (np.arange(len(bit)) // _SPAN, bit >> 6), _U(1) << (bit & 63).astype(_U))
+        self.levels = [own]
+        while 2 ** len(self.levels) <= longest // _SPAN + 2:
+            last, step = self.levels[-1], 2 ** (len(self.levels) - 1)
+            self.levels.append(last | np.concatenate((last[step:], np.repeat(last[-1:], step, axis=0)))[: len(last)])
+
+    def near(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The bits of the short grams that start in each range of places, and some around it."""
+        top = len(self.levels[0]) - 1
+        a, b = np.clip(low // _SPAN, 0, top), np.clip(high // _SPAN, 0, top)
+        level = np.minimum(np.frexp(b - a + 1)[1] - 1, len(self.levels) - 1)
+        out = np.empty((len(a), _WORDS), _U)
+        for j in np.unique(level):
+            at = level == j
+            out[at] = self.levels[j][a[at]] | self.levels[j][np.maximum(a[at], b[at] - 2**j + 1)]
+        return out
+
+
+def _short_bits(codes: np.ndarray) -> np.ndarray:
+    """The bit that stands for the short gram at each place."""
+    return (_grams(codes, _SHORT) >> _U(64 - _SKETCH_BITS)).astype(np.int64) if len(codes) >= _SHORT else np.zeros(0, np.int64)
+
+
 @dataclass
 class Items:
-    """A block of items with an index of their q-grams: items too short to have one apart."""
+    """A block of items with indexes of their q-grams, each of a bounded number of items; items too short for one apart."""
 
     ids: list
     texts: list[str]
@@ -61,40 +120,52 @@ class Items:
         self.codes = [_codes(t) for t in self.texts]
         self.short = [i for i, c in enumerate(self.codes) if 0 < len(c) < self.q]
         long = [i for i, c in enumerate(self.codes) if len(c) >= self.q]
-        grams = [_grams(self.codes[i], self.q) for i in long]
-        item = np.repeat(np.array(long, np.int64), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        code = np.concatenate(grams) if grams else np.zeros(0, _U)
-        order = np.argsort(code, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.gram, self.begin = np.unique(code[order], return_index=True)
-        self.count = np.diff(np.append(self.begin, len(code)))
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.gram >> _U(64 - _FILTER_BITS)] = True
+        self.parts = [Index(self.codes, long[i : i + PART_ITEMS], self.q) for i in range(0, len(long), PART_ITEMS)]
         length = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.array([edit_budget(n, self.share, self.q) for n in length], np.int64)
         self.bound = length + 1 - self.q - self.budget * self.q
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in it, place in ``codes``) of every shared q-gram."""
-        grams = _grams(codes, self.q)
-        at = np.flatnonzero(self.filter[grams >> _U(64 - _FILTER_BITS)])
-        if not len(at) or not len(self.gram):
-            return (np.zeros(0, np.int64),) * 3
-        slot = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
-        same = self.gram[slot] == grams[at]
-        at, slot = at[same], slot[same]
-        count = self.count[slot]
-        entry = np.repeat(self.begin[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return self.item[entry], self.place[entry], np.repeat(at, count)
+        #: What an occurrence takes up in a text at most.
+        self.longest = int((length + 4 * self.budget + 4).max(initial=0)) + self.q
+        self.bits = np.zeros((len(self.codes), _WORDS), _U)
+        for i, c in enumerate(self.codes):
+            bit = _short_bits(c)
+            np.bitwise_or.at(self.bits[i], bit >> 6, _U(1) << (bit & 63).astype(_U))
 
     def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, band) whose shared q-grams reach the bound; band b holds diagonals from b * (k + 1) on."""
-        item, place, at = self.hits(codes)
+        """(item, diagonal) where the bands begin whose shared q-grams reach the bound, and whose short grams leave room for it.
+
+        The text goes through in windows of at most ``HITS`` shared q-grams, or of two occurrences' length, each reaching one
+        occurrence's length into the next: every occurrence lies in a window as a whole.
+        """
+        grams = _grams(codes, self.q)
+        found, sketch = [np.zeros((2, 0), np.int64)], None
+        for part in self.parts:
+            at, slot = part.slots(grams)
+            total = np.cumsum(part.count[slot])
+            low = 0
+            while low < len(at):
+                before = total[low - 1] if low else 0
+                high = max(int(np.searchsorted(total, before + HITS, "right")), int(np.searchsorted(at, at[low] + 2 * self.longest)))
+                item, band = self._full(part, at[low:high], slot[low:high])
+                diagonal = band * (self.budget[item] + 1) - _SHIFT
+                if len(item) > _FEW:
+                    sketch = sketch or Sketch(codes, self.longest)
+                    near = self._near(sketch, item, diagonal)
+                    item, diagonal = item[near], diagonal[near]
+                found.append(np.stack((item, diagonal)))
+                if high >= len(at):
+                    break
+                low = max(low + 1, int(np.searchsorted(at, at[high] - self.longest)))
+        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+
+    def _full(self, part: Index, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) that reach the bound in a window; band b holds diagonals from b * (k + 1) on."""
+        count = part.count[slot]
+        entry = np.repeat(part.begin[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        item, place, at = part.item[entry], part.place[entry], np.repeat(at, count)
         if not len(item):
             return item, item
-        shift = 1 << 33  # diagonals may be negative
-        own = (at - place + shift) // (self.budget[item] + 1)
+        own = (at - place + _SHIFT) // (self.budget[item] + 1)
         key = np.concatenate((own, own - 1)) | np.concatenate((item, item)) << 36
         ordered = np.sort(key)
         new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -107,8 +178,18 @@ class Items:
             pairs = np.unique(slot[among] << 32 | np.concatenate((place, place))[among])
             size = np.bincount(pairs >> 32, minlength=len(full))
             full = full[size >= self.bound[full >> 36]]
-        found = full >> 36
-        return found, (full & ((1 << 36) - 1)) * (self.budget[found] + 1) - shift
+        return full >> 36, full & ((1 << 36) - 1)
+
+    def _near(self, sketch: Sketch, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Whether an item's short grams that are missing around a band leave it within its edits: one edit takes ``_SHORT``."""
+        out = np.empty(len(item), bool)
+        length = self.bound + self.q - 1 + self.budget * self.q
+        for i in range(0, len(item), 1 << 16):
+            x, k = item[i : i + (1 << 16)], self.budget[item[i : i + (1 << 16)]]
+            low = diagonal[i : i + (1 << 16)] - k
+            bits = sketch.near(low, low + length[x] + 4 * k + 4)
+            out[i : i + (1 << 16)] = np.bitwise_count(self.bits[x] & ~bits).sum(axis=1, dtype=np.int64) <= _SHORT * k
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline as pipeline
-from movewatch.llm import decontaminate, simhash
+from movewatch.llm import decontaminate
 from tests.llm.test_simhash import plain_kept
 
 SF = "/root/testdata/sf0.001"
@@ -38,23 +38,6 @@ def test_quality_keeps_good_documents(spark, stages):
     assert {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
-def test_one_document_of_each_group(stages):
-    before, after = stages["SimHash near-dedup"]
-    prints = {r.doc_id: simhash.wide_print(r.text, 5) for r in before}
-    ids = sorted(prints)
-    root = {d: d for d in ids}
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if set(prints[a][1].tolist()) & set(prints[b][1].tolist()) and int(simhash._distance(prints[a][0], prints[b][0])) <= simhash.WIDE_BUDGET:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert sorted(r.doc_id for r in after) == sorted(d for d in ids if find(d) == d)
-
-
 def test_groups_are_those_of_shingles(stages):
     before, after = stages["SimHash near-dedup"]
     assert {r.doc_id for r in after} == plain_kept([(r.doc_id, r.text) for r in before])

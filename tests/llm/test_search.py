@@ -1,6 +1,7 @@
 """Nearest neighbours and benchmark search against brute force."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -181,6 +182,45 @@ def test_planted_items_are_found_and_clean_documents_left(spark):
         assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in rows if r[0] is not None} - {d for d, _ in expected})
 
 
+def phrased(n_items, times, seed=3):
+    """Items that share a phrase of 56 characters, a text that holds it many times and some of the items, and which."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(3, 9)))
+    phrase = "which of the following statements about the topic is tru"
+    items = [f"{phrase} {' '.join(word() for _ in range(8))}" for _ in range(n_items)]
+    planted = set(range(0, n_items, max(1, n_items // 7)))
+    parts = [f"{phrase} {' '.join(word() for _ in range(12))}" for _ in range(times)]
+    for at, i in enumerate(planted):
+        k = decontaminate.edit_budget(len(items[i]), 0.1, 8)
+        parts.insert(at * times // 9, edited(items[i], rnd, at % (k + 1)))
+    return items, " ".join(parts), planted
+
+
+def test_a_phrase_that_all_items_share(monkeypatch):
+    items, text, planted = phrased(300, 60)
+    for hits, part_items in ((decontaminate.HITS, 512), (3000, 50)):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        monkeypatch.setattr(decontaminate, "PART_ITEMS", part_items)
+        held = decontaminate.Items(list(range(len(items))), items, 8, 0.1)
+        assert {i for i, *_ in decontaminate.leaks(held, text)} == planted
+    for i in sorted(planted)[:3]:
+        assert plain_edits(items[i], text) <= held.budget[i]
+
+
+def test_memory_stays_bounded_where_a_phrase_is_common():
+    peaks = []
+    for times in (60, 240):
+        items, text, planted = phrased(600, times)
+        held = decontaminate.Items(list(range(len(items))), items, 8, 0.1)
+        tracemalloc.start()
+        assert {i for i, *_ in decontaminate.leaks(held, text)} == planted
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # 1.8 and 7 million shared q-grams; what is held follows HITS
+    assert peaks[1] < 500e6 and peaks[1] < 2 * peaks[0]
+    assert 1 in decontaminate._suspects(held, ["which of the following", text])
+
+
 def test_empty_sides(spark, edge_docs, no_docs):
     benchmark = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
     assert decontaminate.find(no_docs, benchmark).count() == 0
