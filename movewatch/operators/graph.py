@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from movewatch.operators.joins import lookup
 from movewatch.operators.retrieval import latest_signals, ordered_peers
@@ -104,3 +105,41 @@ def node_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     removed = before.join(after, "node_id", "left_anti").withColumn("change", F.lit("removed"))
     added = after.join(before, "node_id", "left_anti").withColumn("change", F.lit("added"))
     return removed.unionByName(added)
+
+
+# --- stored snapshots --------------------------------------------------------
+
+BUCKETS = 64
+
+
+def store_snapshot(nodes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store a node set in buckets by id, with a digest of each bucket that does not depend on the order of its rows."""
+    spread = nodes.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(buckets)).cast("int"))
+    spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nodes")
+    stored = nodes.sparkSession.read.schema(spread.schema).parquet(f"{path}/nodes")
+    row = F.struct(*[F.col(c) for c in nodes.columns])
+    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(20,0)")).alias(f"d{seed}") for seed in (1, 2)]
+    digests = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums)
+    digests.coalesce(1).write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def snapshot_diff(spark: SparkSession, old: str, new: str, nodes: T.StructType) -> DataFrame:
+    """(node_id, change) between two stored snapshots of as many buckets: removed, added, or changed in some other column.
+
+    The digests are compared first, a row a bucket; only buckets whose digests differ are opened, in both snapshots.
+    """
+    schema = T.StructType([*nodes.fields, T.StructField("bucket", T.IntegerType())])
+    before, after = (spark.read.parquet(f"{path}/digests") for path in (old, new))
+    other = before.join(after.toDF("bucket", "_n", "_d1", "_d2"), "bucket", "full").filter(
+        ~(F.col("n").eqNullSafe(F.col("_n")) & F.col("d1").eqNullSafe(F.col("_d1")) & F.col("d2").eqNullSafe(F.col("_d2")))
+    )
+    buckets = sorted(r["bucket"] for r in other.select("bucket").collect())
+
+    def opened(path: str, name: str) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(f"{path}/nodes")
+        rows = rows.filter(F.col("bucket").isin(buckets)) if buckets else rows.limit(0)
+        return rows.select("node_id", F.struct(*[F.col(c) for c in nodes.names]).alias(name))
+
+    both = opened(old, "_old").join(opened(new, "_new"), "node_id", "full")
+    change = F.when(F.col("_new").isNull(), "removed").when(F.col("_old").isNull(), "added").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
+    return both.select("node_id", change.alias("change")).filter(F.col("change").isNotNull())

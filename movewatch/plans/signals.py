@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from movewatch.functions import scalar
 from movewatch.operators import attribution, bars, graph, quality, retrieval
 from movewatch.operators.anomaly import score_watchlist
+from movewatch.operators.ordered import top_n
 from movewatch.plans.bindings import AS_OF_MS, NEWS_LEAST, Market
 from movewatch.plans.catalog import VIEWS, _poll, query
 from movewatch.plans.market import lead_movers
+from movewatch.session import fresh_dir
 from movewatch.sources import feeds, sinks
 
 # --- sources and sinks ------------------------------------------------------
@@ -448,3 +450,24 @@ def node_diff(m: Market) -> DataFrame:
     def ids(news: DataFrame) -> DataFrame:
         return retrieval.latest_signals(news).select(F.col("id").alias("node_id"))
     return graph.node_diff(ids(m.news.filter(F.col("published_at") < 1_705_708_800_000)), ids(m.news))
+
+
+_RANKED = """SELECT id, company_id, headline, published_at, row_number() OVER (PARTITION BY company_id ORDER BY published_at DESC, id) AS place FROM {items}"""
+
+
+@query("jn9_changed_nodes", f"""
+SELECT coalesce(o.id, n.id) AS node_id, CASE WHEN n.id IS NULL THEN 'removed' WHEN o.id IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM (SELECT * FROM ({_RANKED.format(items="news WHERE published_at < 1705708800000")}) WHERE place <= 5) o
+FULL JOIN (SELECT * FROM ({_RANKED.format(items="news")}) WHERE place <= 5) n ON o.id = n.id
+WHERE o.id IS NULL OR n.id IS NULL OR o.place <> n.place""")
+def changed_nodes(m: Market) -> DataFrame:
+    """News nodes, with their place among their company's newest five, between two stored snapshots."""
+    base = fresh_dir(m.spark, "snapshots")
+
+    def nodes(news: DataFrame) -> DataFrame:
+        newest = top_n(news, ["company_id"], [F.desc("published_at"), F.asc("id")], 5, "place")
+        return newest.select(F.col("id").alias("node_id"), "company_id", "headline", "published_at", "place")
+    now = nodes(m.news)
+    graph.store_snapshot(nodes(m.news.filter(F.col("published_at") < 1_705_708_800_000)), f"{base}/old", 16)
+    graph.store_snapshot(now, f"{base}/new", 16)
+    return graph.snapshot_diff(m.spark, f"{base}/old", f"{base}/new", now.schema)
