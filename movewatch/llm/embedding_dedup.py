@@ -2,7 +2,7 @@
 
 A hash of a unit vector is its projection on a random Gaussian direction, shifted and cut into steps of ``WIDTH``; a
 bucket of a table is ``HASHES`` of them. Unit vectors with a cosine of 0.9 are 0.447 apart and share a given table's bucket
-with probability 0.115, so one of the ``TABLES`` tables with 0.98; at 0.92 it is 0.994, at 0.95 0.9999.
+with probability 0.115, so one of the ``TABLES`` tables with 0.98; at 0.92 it is 0.994, at 0.95 0.9997.
 
 Near copies of one text can be a third of all rows and are not paired. In the buckets of the first table, cut into
 blocks, vectors within half the threshold's angle of a leader form a class: all its pairs are links. A class is filed
