@@ -35,12 +35,12 @@ SALTS = 2
 #: number beyond which windows that can't have an equal are sorted out first.
 WHOLE, PART_WINDOWS, HOT = 256, 32, 1 << 16
 #: Copies of a passage that are compared together.
-COPIES = 1024
+COPIES = 512
 #: Tokens of a text, as a power of two, whose copies elsewhere are compared together.
 STRETCH_BITS = 10
 #: Bits of each of the two distances in a packed place.
 DISTANCE = 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 LAST = (1 << 63) - 1  # the order of a document without an id
 
 #: (numbers of groups, texts' order, segments) -> per window whether it is removed; see ``Segments``.
