@@ -264,7 +264,7 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, kind: Kind, removed: Com
         segments = segments.unionByName(beside.mapInArrow(in_slices(_segments(kind, hot)), _SEGMENT))
 
     by_gram = segments.repartition("g", "part").sortWithinPartitions("g", "part")
-    runs = by_gram.mapInArrow(_compare(kind, removed), "k1 long, k2 long, low long, high long")
+    runs = by_gram.mapInArrow(in_slices(_compare(kind, removed)), "k1 long, k2 long, low long, high long")
     return runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
