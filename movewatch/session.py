@@ -25,6 +25,9 @@ RUNTIME_CONF = {
 #: The temporary folders of sessions of one process, by application.
 _OWN: dict[str, str] = {}
 
+#: Set while a command runs, it makes Spark delete the command's shuffle files once it is done.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -77,7 +80,20 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: for input used several times
-    that is costly to make. Cuts lineage, survives executors, keeps column pruning."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    that is costly to make. Cuts lineage, survives executors, keeps column pruning.
+
+    The table stands for the work behind it, so the shuffle files of that work are deleted with the write
+    rather than whenever the driver next collects garbage. The session's setting is put back.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
