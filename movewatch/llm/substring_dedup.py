@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from movewatch.llm import repeats
 from movewatch.llm.common import in_slices
 from movewatch.llm.windows import Kind, mix
+from movewatch.session import materialized
 
 GRAM = 6
 _U = np.uint64
@@ -106,6 +107,8 @@ def remove_later(docs: DataFrame, words: int = 20, with_text: bool = False, hot:
     kind = Kind(True, words, min(GRAM, words))
     texts = repeats.distinct_texts(docs)
     runs = repeats.repeated_windows(docs, texts, kind, _by_blocks, keep_first=True, hot=hot)
+    # the compared tokens leave the disk before the texts are moved again
+    runs = materialized(runs, "runs")
     rows = repeats.with_runs(texts, runs).select("k1", "k2", "text", "first", "runs", "copies")
     fields = "struct<n_removed:long,kept_sha256:binary" + ",kept:string" * with_text + ">"
     results = rows.mapInArrow(in_slices(_keep(words, with_text)), f"k1 long, k2 long, first long, n_words long, own {fields}, copy {fields}")
